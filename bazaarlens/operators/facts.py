@@ -65,6 +65,28 @@ def customer_sequence(orders: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -
     )
 
 
+ROLLUP_COLUMNS = (
+    "payment_total", "n_payments", "max_installments", "dominant_payment_type",
+    "n_items", "n_unique_products", "n_unique_categories", "n_unique_sellers",
+    "items_subtotal", "items_freight", "items_revenue", "avg_unit_price", "max_unit_price",
+    "dominant_category", "review_score", "review_lag_days",
+)
+
+
+def order_rollups(orders: DataFrame, payments: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row per order with payment, item and review attributes (no customer sequence)."""
+    review = reviews.select("order_id", "review_score", "review_answer_timestamp")
+    lag = cal.boundary_diff("day", "order_delivered_customer_date", "review_answer_timestamp")
+    joined = (
+        orders.join(payment_rollup(payments), "order_id", "left")
+        .join(item_rollup(items), "order_id", "left")
+        .join(review, "order_id", "left")
+    )
+    return joined.withColumns(
+        {"payment_total": ex.zero_if_null("payment_total"), "review_lag_days": lag}
+    ).select(*orders.columns, *ROLLUP_COLUMNS)
+
+
 def fact_orders(
     orders: DataFrame,
     payments: DataFrame,
@@ -73,20 +95,9 @@ def fact_orders(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """One row per order with every roll-up, the review and the customer sequence."""
-    review = reviews.select("order_id", "review_score", "review_answer_timestamp")
-    joined = (
-        orders.join(payment_rollup(payments), "order_id", "left")
-        .join(item_rollup(items), "order_id", "left")
-        .join(review, "order_id", "left")
-        .join(customer_sequence(orders, rows_per_slice), "order_id", "left")
-    )
-    lag = cal.boundary_diff("day", "order_delivered_customer_date", "review_answer_timestamp")
-    return joined.withColumn("payment_total", ex.zero_if_null("payment_total")).select(
-        *orders.columns,
-        "payment_total", "n_payments", "max_installments", "dominant_payment_type",
-        "n_items", "n_unique_products", "n_unique_categories", "n_unique_sellers",
-        "items_subtotal", "items_freight", "items_revenue", "avg_unit_price", "max_unit_price",
-        "dominant_category", "review_score", lag.alias("review_lag_days"),
+    rolled = order_rollups(orders, payments, items, reviews)
+    return rolled.join(customer_sequence(orders, rows_per_slice), "order_id", "left").select(
+        *rolled.columns,
         "customer_order_rank", "customer_total_orders", "days_since_prior_order",
         "is_first_purchase", "customer_first_order_at",
     )

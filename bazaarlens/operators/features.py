@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar as cal
 from bazaarlens.functions import expressions as ex
-from bazaarlens.operators.ordered import ROWS_PER_SLICE, group_sequence
+from bazaarlens.operators.ordered import ROWS_PER_SLICE, global_prefix, group_sequence, median_of_counts
 
 PLACED = "order_purchase_timestamp"
 FACTORS = ("category_en", "seller_volume_tier", "customer_state", "calendar_month")
@@ -114,10 +114,18 @@ def encode_labels(df: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:
     return wide.withColumns(codes).drop("__labels")
 
 
-def complete_rows(covariates: DataFrame, spec: TreatmentSpec, drop_missing_category: bool = True) -> DataFrame:
-    """Grace cut-off and removal of rows without the adjustment variables."""
+def complete_rows(
+    covariates: DataFrame,
+    spec: TreatmentSpec,
+    drop_missing_category: bool = True,
+    history: DataFrame | None = None,
+) -> DataFrame:
+    """Grace cut-off and removal of rows without the adjustment variables.
+
+    `history` (for instance the plain orders) supplies the last week more cheaply.
+    """
     needed = [*(["category_en"] if drop_missing_category else []), "seller_volume_tier", "customer_state"]
-    return within_grace(covariates, spec.grace_weeks).dropna(subset=needed)
+    return within_grace(covariates, spec.grace_weeks, history=history).dropna(subset=needed)
 
 
 def finalise_spec(frame: DataFrame, spec: TreatmentSpec) -> TreatmentSpec:
@@ -327,3 +335,17 @@ def freight_cells(facts: DataFrame, spec: TreatmentSpec) -> DataFrame:
         F.avg("items_subtotal").alias("avg_subtotal"),
         F.avg("payment_total").alias("avg_payment"),
     )
+
+
+def value_profile(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Count, min, max and exact median, from the distinct values and their frequencies."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    placed = global_prefix(
+        counts, ["value"], {"below": "times"}, totals={"below": "total"}, rows_per_slice=rows_per_slice
+    )
+    return placed.agg(
+        F.max("total").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+        median_of_counts("value", "times", "below", "total").alias("median"),
+    )

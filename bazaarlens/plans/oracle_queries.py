@@ -228,3 +228,497 @@ SELECT items_subtotal >= {THRESHOLD} AS eligible, date_diff('day', DATE '1970-01
   count(*) AS n_orders, {r("avg(items_freight)", 4, "avg_freight")}, {r("avg(items_subtotal)", 4, "avg_subtotal")},
   {r("avg(payment_total)", 4, "avg_payment")}
 FROM facts CROSS JOIN cutover c WHERE items_subtotal IS NOT NULL GROUP BY 1, 2""")
+
+# ------------------------------------------------------------- A/B tests -----------
+def phi(z: str) -> str:
+    """P(Z > z) for z ≥ 0 by Abramowitz & Stegun 26.2.17."""
+    t = f"(1.0 / (1.0 + 0.2316419 * ({z})))"
+    poly = f"((((1.330274429 * {t} - 1.821255978) * {t} + 1.781477937) * {t} - 0.356563782) * {t} + 0.319381530)"
+    return f"(exp(-({z}) * ({z}) / 2.0) / sqrt(2.0 * pi()) * {poly} * {t})"
+
+
+def two_sided(z: str) -> str:
+    return f"least(1.0, 2.0 * {phi(f'abs({z})')})"
+
+
+def cdf(z: str) -> str:
+    return f"CASE WHEN ({z}) >= 0 THEN 1.0 - {phi(f'abs({z})')} ELSE {phi(f'abs({z})')} END"
+
+
+Z975 = "1.959963984540054"
+Z_TEST = f"""
+SELECT *, diff - {Z975} * wald AS ci_low, diff + {Z975} * wald AS ci_high, {two_sided("z")} AS p_value
+FROM (SELECT *, rate_treated - rate_control AS diff,
+        (rate_treated - rate_control) / sqrt(pool * (1 - pool) * (1.0 / n_treated + 1.0 / n_control)) AS z,
+        sqrt(rate_treated * (1 - rate_treated) / n_treated + rate_control * (1 - rate_control) / n_control) AS wald
+  FROM (SELECT *, successes_treated / CAST(n_treated AS DOUBLE) AS rate_treated,
+          successes_control / CAST(n_control AS DOUBLE) AS rate_control,
+          (successes_treated + successes_control) / CAST(n_treated + n_control AS DOUBLE) AS pool
+    FROM (SELECT count_if(treatment = 1) AS n_treated, count_if(treatment = 1 AND is_on_time) AS successes_treated,
+            count_if(treatment = 0) AS n_control, count_if(treatment = 0 AND is_on_time) AS successes_control
+          FROM frame)))"""
+_sql("ab_two_proportion_z", f"""
+SELECT n_treated, n_control, successes_treated, successes_control,
+  {", ".join(r(c, 6) for c in ("rate_treated", "rate_control", "diff", "z", "p_value", "ci_low", "ci_high"))}
+FROM ({Z_TEST})""")
+
+# the tail of Student's t by Simpson's rule over the density, 4000 steps
+WELCH = """
+SELECT m.*, (SELECT 1.0 - 2.0 * exp(lgamma((m.df + 1) / 2) - lgamma(m.df / 2)) / sqrt(m.df * pi())
+    * sum((CASE WHEN g.i IN (0, 4000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END)
+          * pow(1 + pow(abs(m.t) * g.i / 4000.0, 2) / m.df, -(m.df + 1) / 2)) * abs(m.t) / 4000.0 / 3.0
+    FROM range(4001) g(i)) AS p_value
+FROM (SELECT *, diff / se AS t, pow(a + b, 2) / (a * a / (n_treated - 1) + b * b / (n_control - 1)) AS df
+  FROM (SELECT *, mean_treated - mean_control AS diff, sqrt(v1 / n_treated + v0 / n_control) AS se,
+          v1 / n_treated AS a, v0 / n_control AS b
+    FROM (SELECT avg(repeat_revenue) FILTER (treatment = 1) AS mean_treated,
+            avg(repeat_revenue) FILTER (treatment = 0) AS mean_control,
+            var_samp(repeat_revenue) FILTER (treatment = 1) AS v1,
+            var_samp(repeat_revenue) FILTER (treatment = 0) AS v0,
+            count_if(treatment = 1) AS n_treated, count_if(treatment = 0) AS n_control FROM revenue_rows))) m"""
+# its 97.5% point by sixty bisections of the same integral
+_sql("ab_welch_t", f"""
+SELECT n_treated, n_control, {r("mean_treated", 4)}, {r("mean_control", 4)}, {r("diff", 4)}, {r("t", 6)},
+  {r("df", 4)}, {r("p_value", 5)}, {r("diff - critical * se", 2, "ci_low")}, {r("diff + critical * se", 2, "ci_high")}
+FROM (SELECT w.*, (WITH RECURSIVE halving(step, low, high) AS (
+    SELECT 0, 0.0::DOUBLE, 64.0::DOUBLE UNION ALL
+    SELECT step + 1, CASE WHEN inside < 0.95 THEN (low + high) / 2 ELSE low END,
+      CASE WHEN inside < 0.95 THEN high ELSE (low + high) / 2 END
+    FROM (SELECT step, low, high, (SELECT 2.0 * exp(lgamma((w.df + 1) / 2) - lgamma(w.df / 2)) / sqrt(w.df * pi())
+        * sum((CASE WHEN g.i IN (0, 4000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END)
+          * pow(1 + pow((low + high) / 2 * g.i / 4000.0, 2) / w.df, -(w.df + 1) / 2)) * (low + high) / 2 / 4000.0 / 3.0
+        FROM range(4001) g(i)) AS inside FROM halving WHERE step < 60))
+    SELECT low FROM halving WHERE step = 60) AS critical
+  FROM ({WELCH}) w)""")
+
+
+def _rank_test(source: str, value: str) -> str:
+    return f"""
+SELECT n_treated, n_control, median_treated, median_control, u AS u_statistic,
+  least(1.0, 2.0 * (1.0 - {cdf("z")})) AS p_value
+FROM (SELECT *, (greatest(u, nn - u) - nn / 2.0 - 0.5)
+          / sqrt(nn / 12.0 * (n + 1.0 - ties / (n * (n - 1.0)))) AS z
+  FROM (SELECT *, r1 - n_treated * (n_treated + 1.0) / 2.0 AS u, CAST(n_treated AS DOUBLE) * n_control AS nn,
+          CAST(n_treated + n_control AS DOUBLE) AS n
+    FROM (SELECT count_if(treatment = 1) AS n_treated, count_if(treatment = 0) AS n_control,
+            CAST(median(v) FILTER (treatment = 1) AS DOUBLE) AS median_treated,
+            CAST(median(v) FILTER (treatment = 0) AS DOUBLE) AS median_control,
+            sum(CASE WHEN treatment = 1 THEN lo + (same - 1) / 2.0 END) AS r1,
+            sum(CAST(same AS DOUBLE) * same - 1.0) AS ties
+          FROM (SELECT treatment, v, rank() OVER (ORDER BY v) AS lo, count(*) OVER (PARTITION BY v) AS same
+                FROM (SELECT treatment, {value} AS v FROM {source})))))"""
+
+
+REVENUE_RANKS = _rank_test("revenue_rows", "round(repeat_revenue, 4)")
+SCORE_RANKS = _rank_test("review_rows", "review_score")
+for _name, _test in (("ab_mann_whitney", REVENUE_RANKS), ("ab_mann_whitney_score", SCORE_RANKS)):
+    _sql(_name, f"""
+SELECT n_treated, n_control, {r("median_treated", 4)}, {r("median_control", 4)}, {r("u_statistic", 1)}, {r("p_value", 6)}
+FROM ({_test})""")
+
+CHI = """
+SELECT n, chi2, df, exp(-chi2 / 2.0) * (1.0 + chi2 / 2.0) AS p_value
+FROM (SELECT CAST(max(total) AS BIGINT) AS n, sum(pow(k - rows_n * cols_n / total, 2) / (rows_n * cols_n / total)) AS chi2,
+        CAST((count(DISTINCT treatment) - 1) * (count(DISTINCT review_score) - 1) AS INTEGER) AS df
+  FROM (SELECT treatment, review_score, CAST(count(*) AS DOUBLE) AS k,
+          sum(count(*)) OVER (PARTITION BY treatment) AS rows_n,
+          sum(count(*)) OVER (PARTITION BY review_score) AS cols_n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total
+        FROM review_rows GROUP BY treatment, review_score))"""
+_sql("ab_chi_square", f"SELECT n, {r('chi2', 6)}, df, {r('p_value', 6)} FROM ({CHI})")
+_sql("ab_crosstab", "SELECT treatment, review_score, count(*) AS n FROM review_rows GROUP BY ALL")
+_sql("ab_crosstab_wide", "SELECT treatment, " + ", ".join(
+    f"count_if(review_score = {k}) AS score_{k}" for k in range(1, 6)) + " FROM review_rows GROUP BY treatment")
+
+
+def _melt(sub: str, test: str, outcome: str, metrics: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{test}' AS test, '{outcome}' AS outcome, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({sub})"
+        for m in metrics.split())
+
+
+_sql("ab_report", "SELECT test, outcome, metric, round(value + 1e-8, 4) AS value FROM (" + " UNION ALL ".join([
+    _melt(Z_TEST, "two_proportion_z", "on_time", "diff z p_value"),
+    _melt(WELCH, "welch_t", "repeat_revenue", "diff t df p_value"),
+    _melt(REVENUE_RANKS, "mann_whitney", "repeat_revenue", "u_statistic p_value"),
+    _melt(CHI, "chi_square", "review_score", "chi2 df p_value"),
+    _melt(SCORE_RANKS, "mann_whitney", "review_score", "u_statistic p_value")]) + ")")
+_sql("ab_report_lines", f"""
+SELECT printf('%-24s effect=%+.4f   95%% CI=[%+.4f, %+.4f]   p=%.4f %s', 'on-time (z)', diff, ci_low, ci_high,
+  p_value, CASE WHEN p_value < 0.05 THEN '*' ELSE ' ' END) AS line
+FROM ({Z_TEST})""")
+
+# -------------------------------------------------------- identification -----------
+_CELLS = (("00", 0, 0), ("01", 0, 1), ("10", 1, 0), ("11", 1, 1))
+
+
+def did(source: str, success: str) -> str:
+    counts = ", ".join(
+        f"count_if(eligible = {e} AND post = {p} AND {success}) AS k_{c}, count_if(eligible = {e} AND post = {p}) AS n_{c}"
+        for c, e, p in _CELLS)
+    rates = ", ".join(f"k_{c} / CAST(n_{c} AS DOUBLE) AS rate_{c}, ln(k_{c} / CAST(n_{c} - k_{c} AS DOUBLE)) AS l_{c}" for c, _, _ in _CELLS)
+    variance = " + ".join(f"1.0 / k_{c} + 1.0 / (n_{c} - k_{c})" for c, _, _ in _CELLS)
+    return f"""
+SELECT *, did_logit / did_se AS z, {two_sided("did_logit / did_se")} AS p_value
+FROM (SELECT * EXCLUDE (l_00, l_01, l_10, l_11), l_00 AS alpha, l_10 - l_00 AS beta_eligible, l_01 - l_00 AS beta_post,
+        l_11 - l_10 - l_01 + l_00 AS did_logit, sqrt({variance}) AS did_se,
+        (rate_11 - rate_10 - rate_01 + rate_00) * 100 AS did_pp
+  FROM (SELECT *, {rates} FROM (SELECT {counts} FROM {source})))"""
+
+
+_DID_ROUNDED = [f"rate_{c}" for c, _, _ in _CELLS] + [
+    "alpha", "beta_eligible", "beta_post", "did_logit", "did_se", "did_pp", "z", "p_value"]
+_sql("did_saturated", _replace(f"({did('frame', 'is_on_time')})", **{c: 6 for c in _DID_ROUNDED}))
+_sql("naive_vs_did", f"""
+SELECT {r("n.diff * 100", 6, "naive_pp")}, {r("n.z", 6, "naive_z")}, {r("n.p_value", 6, "naive_p")},
+  {r("d.beta_eligible", 6, "beta_eligible")}, {r("d.beta_post", 6, "beta_post")}, {r("d.did_logit", 6, "did_logit")},
+  {r("d.did_se", 6, "did_se")}, {r("d.did_pp", 6, "did_pp")}, {r("d.p_value", 6, "did_p")}
+FROM ({Z_TEST}) n CROSS JOIN ({did('frame', 'is_on_time')}) d""")
+
+
+def _pre_trend() -> str:
+    """The model is saturated in eligibility: two 2-parameter Newton fits, unrolled."""
+    steps = ["""weekly AS (SELECT w.*, (w.purchase_week - min(w.purchase_week) OVER ()) / 7.0 AS t FROM (
+      SELECT purchase_week, CASE WHEN items_subtotal >= 275000.0 THEN 1 ELSE 0 END AS e, CAST(count(*) AS DOUBLE) AS n,
+        CAST(sum(CAST(is_on_time AS INTEGER)) AS DOUBLE) AS k
+      FROM facts WHERE items_subtotal IS NOT NULL AND is_delivered GROUP BY 1, 2) w
+    CROSS JOIN cutover c WHERE date_diff('day', DATE '1970-01-01', w.purchase_week) < c.day)""",
+             "it0 AS (SELECT e, ln(sum(k) / (sum(n) - sum(k))) AS a, 0.0 AS b FROM weekly GROUP BY e)"]
+    info = """SELECT w.e, any_value(i.a) AS a, any_value(i.b) AS b, sum(k - n * p) AS g1, sum(t * (k - n * p)) AS g2,
+        sum(n * p * (1 - p)) AS h11, sum(t * n * p * (1 - p)) AS h12, sum(t * t * n * p * (1 - p)) AS h22,
+        sum(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS ll, count(*) AS cells
+      FROM (SELECT w.*, i.a, i.b, 1.0 / (1.0 + exp(-(i.a + i.b * w.t))) AS p
+            FROM weekly w JOIN {prev} i ON i.e = w.e) w JOIN {prev} i ON i.e = w.e GROUP BY w.e"""
+    for i in range(1, 9):
+        steps.append(f"""it{i} AS (SELECT e, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a,
+      b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM ({info.format(prev=f'it{i - 1}')}))""")
+    steps.append(f"fit AS (SELECT *, h22 / (h11 * h22 - h12 * h12) AS va, h11 / (h11 * h22 - h12 * h12) AS vb FROM ({info.format(prev='it8')}))")
+    body = f"""
+SELECT coefficient, {r("estimate", 5)}, {r("se", 5)}, {r(two_sided("estimate / se"), 5, "p_value")}, {r("aic", 3)}, df_resid,
+  CASE WHEN coefficient = 't_x_eligible' THEN CASE WHEN {two_sided("estimate / se")} >= 0.05
+    THEN 'consistent with parallel trends' ELSE 'parallel trends violated' END END AS verdict
+FROM (SELECT 'const' AS coefficient, f0.a AS estimate, sqrt(f0.va) AS se FROM fit f0 WHERE e = 0
+  UNION ALL SELECT 't', f0.b, sqrt(f0.vb) FROM fit f0 WHERE e = 0
+  UNION ALL SELECT 'eligible', f1.a - f0.a, sqrt(f1.va + f0.va) FROM fit f0 JOIN fit f1 ON f0.e = 0 AND f1.e = 1
+  UNION ALL SELECT 't_x_eligible', f1.b - f0.b, sqrt(f1.vb + f0.vb) FROM fit f0 JOIN fit f1 ON f0.e = 0 AND f1.e = 1)
+CROSS JOIN (SELECT -2 * sum(ll) + 8 AS aic, CAST(sum(cells) - 4 AS INTEGER) AS df_resid FROM fit)"""
+    # one more WITH list in front of the shared expressions
+    shared = with_ctes("SELECT 1 FROM facts, cutover")
+    return shared[: shared.rindex("SELECT 1 FROM facts, cutover")] + ", " + ",\n".join(steps) + body
+
+
+ORACLE["pre_trend"] = _pre_trend()
+
+SUBTOTALS = "(SELECT round(items_subtotal, 4) AS v FROM item_roll WHERE items_subtotal >= 0)"
+BINS = f"""
+SELECT CAST(s.i AS INTEGER) AS bin, 75000.0 + s.i * 12500.0 AS bin_low, 75000.0 + (s.i + 1) * 12500.0 AS bin_high,
+  75000.0 + s.i * 12500.0 + 6250.0 AS center, coalesce(h.n, 0) AS n
+FROM range(36) s(i) LEFT JOIN (
+  SELECT least(CAST(floor((v - 75000.0) / 12500.0) AS INTEGER), 35) AS b, count(*) AS n
+  FROM {SUBTOTALS} WHERE v BETWEEN 75000.0 AND 525000.0 GROUP BY 1) h ON h.b = s.i"""
+_sql("histogram", f"""
+SELECT bin, CAST(bin_low AS DOUBLE) AS bin_low, CAST(bin_high AS DOUBLE) AS bin_high, CAST(center AS DOUBLE) AS center, n
+FROM ({BINS})""")
+_sql("subtotal_profile", f"""
+SELECT count(*) AS n, {r("min(v)", 4, "min")}, {r("max(v)", 4, "max")}, {r("median(v)", 4, "median")} FROM {SUBTOTALS}""")
+
+
+def _bunching() -> str:
+    """The cubic by orthogonal polynomials built up on the kept bins."""
+    keep = "(center < 250000.0 OR center > 300000.0)"
+    steps = [
+        f"bins AS ({BINS})",
+        f"q0 AS (SELECT *, ln(CAST(center AS DOUBLE) / 275000.0) AS x, 1.0 AS p0, CASE WHEN {keep} THEN 1.0 ELSE 0.0 END AS w FROM bins)",
+        "q1 AS (SELECT *, x - (sum(w * x) OVER ()) / sum(w) OVER () AS p1 FROM q0)",
+        """q2 AS (SELECT *, p1 * (x - (sum(w * x * p1 * p1) OVER ()) / sum(w * p1 * p1) OVER ())
+             - p0 * (sum(w * p1 * p1) OVER ()) / sum(w * p0 * p0) OVER () AS p2 FROM q1)""",
+        """q3 AS (SELECT *, p2 * (x - (sum(w * x * p2 * p2) OVER ()) / sum(w * p2 * p2) OVER ())
+             - p1 * (sum(w * p2 * p2) OVER ()) / sum(w * p1 * p1) OVER () AS p3 FROM q2)""",
+        "fit AS (SELECT *, " + " + ".join(
+            f"p{i} * (sum(w * n * p{i}) OVER ()) / sum(w * p{i} * p{i}) OVER ()" for i in range(4)) + " AS predicted FROM q3)",
+    ]
+    body = f"""
+SELECT CAST(observed_below AS BIGINT) AS observed_below, {r("predicted_below", 3)},
+  CAST(observed_above AS BIGINT) AS observed_above, {r("predicted_above", 3)},
+  {r("observed_above - predicted_above", 3, "excess")}, {r("z", 4)},
+  CASE WHEN z > 1.96 THEN 'policy bunching' WHEN z < -1.96 THEN 'structural kink' ELSE 'clean' END AS regime
+FROM (SELECT *, (observed_above - predicted_above) / sqrt(greatest(predicted_above, 1.0)) AS z
+  FROM (SELECT sum(n) FILTER (center < 275000.0 AND center >= 262500.0) AS observed_below,
+          sum(predicted) FILTER (center < 275000.0 AND center >= 262500.0) AS predicted_below,
+          sum(n) FILTER (center > 275000.0 AND center <= 287500.0) AS observed_above,
+          sum(predicted) FILTER (center > 275000.0 AND center <= 287500.0) AS predicted_above FROM fit))"""
+    shared = with_ctes("SELECT 1 FROM item_roll")
+    return shared[: shared.rindex("SELECT 1 FROM item_roll")] + ", " + ",\n".join(steps) + body
+
+
+ORACLE["bunching"] = _bunching()
+
+
+def _independence(claim: str, x: str, y: str) -> str:
+    strata = "treatment, category_en, seller_volume_tier"
+    return f"""
+SELECT '{claim}' AS claim, count(*) AS n_strata, CAST(sum(n) AS BIGINT) AS n, sum(chi2) AS chi2, CAST(sum(df) AS INTEGER) AS df
+FROM (SELECT {strata}, max(total) AS n, sum(k * k * total / (rn * cn)) - max(total) AS chi2,
+        (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS df
+  FROM (SELECT {strata}, x, y, CAST(count(*) AS DOUBLE) AS k, CAST(sum(count(*)) OVER (PARTITION BY {strata}, x) AS DOUBLE) AS rn,
+          CAST(sum(count(*)) OVER (PARTITION BY {strata}, y) AS DOUBLE) AS cn,
+          CAST(sum(count(*)) OVER (PARTITION BY {strata}) AS DOUBLE) AS total
+        FROM (SELECT {strata}, {x} AS x, {y} AS y FROM frame) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY {strata}, x, y)
+  GROUP BY {strata}) WHERE df > 0"""
+
+
+_sql("stratified_independence", f"""
+SELECT claim, n_strata, n, {r("chi2", 4)}, df,
+  round(1.0 - ({cdf("(pow(chi2 / df, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / sqrt(2.0 / (9.0 * df))")}) + 1e-8, 6) AS p_value
+FROM ({_independence("basket|month", "least(floor(items_subtotal / 100000), 4)", "calendar_month")}
+  UNION ALL {_independence("freight|state", "least(floor(items_freight / 5000), 4)", "customer_state")})""")
+
+# ------------------------------------------------------- pooled effects ------------
+def _logit(cells: list[tuple[str, int]], success: str) -> str:
+    effect = " + ".join(
+        f"({sign}) * ln((count_if({c} AND {success}) + 0.5) / (count_if({c} AND NOT {success}) + 0.5))" for c, sign in cells)
+    variance = " + ".join(
+        f"1.0 / (count_if({c} AND {success}) + 0.5) + 1.0 / (count_if({c} AND NOT {success}) + 0.5)" for c, _ in cells)
+    return f"{effect} AS effect, {variance} AS variance"
+
+
+_SIGNED = [("(eligible = 1 AND post = 1)", 1), ("(eligible = 1 AND post = 0)", -1),
+           ("(eligible = 0 AND post = 1)", -1), ("(eligible = 0 AND post = 0)", 1)]
+_ARMS = [("(treatment = 1)", 1), ("(treatment = 0)", -1)]
+
+
+def effects(source: str, category: str, cells: list, success: str) -> str:
+    return f"SELECT {category} AS category, count(*) AS n, {_logit(cells, success)} FROM {source} GROUP BY {category}"
+
+
+def pool(sub: str, group: str = "", tau2: str = "tau2_dl") -> str:
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    return f"""
+SELECT * EXCLUDE (w, sw, sw2, swe, swe2, k, raw, tau2_dl, pw, muv, pull), sqrt(muv) AS mu_sd,
+  shrunk - 1.880794 * shrunk_sd AS low, shrunk + 1.880794 * shrunk_sd AS high, {cdf("shrunk / shrunk_sd")} AS p_positive
+FROM (SELECT *, (1.0 - pull) * coalesce(effect, 0.0) + pull * mu AS shrunk,
+        sqrt(coalesce(variance * tau2 / (variance + tau2), tau2) + pull * pull * muv) AS shrunk_sd
+  FROM (SELECT *, sum(pw * effect) {over} / sum(pw) {over} AS mu, 1.0 / sum(pw) {over} AS muv,
+          coalesce(variance / (variance + tau2), 1.0) AS pull
+    FROM (SELECT *, 1.0 / (variance + tau2) AS pw
+      FROM (SELECT *, {tau2} AS tau2
+        FROM (SELECT *, CASE WHEN raw > 1e-12 THEN raw ELSE 0.0 END AS tau2_dl
+          FROM (SELECT *, coalesce((swe2 - swe * swe / sw - (k - 1)) / nullif(sw - sw2 / sw, 0), 0.0) AS raw
+            FROM (SELECT *, sum(w) {over} AS sw, sum(w * w) {over} AS sw2, sum(w * effect) {over} AS swe,
+                    sum(w * effect * effect) {over} AS swe2, count(w) {over} AS k
+              FROM (SELECT *, 1.0 / variance AS w FROM ({sub})))))))))"""
+
+
+_POOL = ("effect", "variance", "tau2", "mu", "mu_sd", "shrunk", "shrunk_sd", "low", "high", "p_positive")
+ON_TIME = effects("frame", "category_en", _SIGNED, "is_on_time")
+NAIVE = effects("frame", "category_en", _ARMS, "is_on_time")
+_sql("category_did", _replace(f"({ON_TIME})", effect=6, variance=6))
+_sql("category_pooled", _replace(f"({pool(ON_TIME)})", **{c: 6 for c in _POOL}))
+_sql("category_naive_pooled", _replace(f"({pool(NAIVE)})", **{c: 6 for c in _POOL}))
+
+
+def mean_of(pooled: str, group: str = "") -> str:
+    key = f"{group}, " if group else ""
+    tail = f"GROUP BY {group}" if group else ""
+    return f"""
+SELECT {key}categories, mu, mu_sd, tau, mu - 1.880794 * mu_sd AS low, mu + 1.880794 * mu_sd AS high,
+  {cdf("mu / mu_sd")} AS p_positive
+FROM (SELECT {key}count(*) AS categories, max(mu) AS mu, max(mu_sd) AS mu_sd, sqrt(max(tau2)) AS tau FROM ({pooled}) {tail})"""
+
+
+_MEAN = ("mu", "mu_sd", "tau", "low", "high", "p_positive")
+_sql("pooled_mean", _replace(f"({mean_of(pool(ON_TIME))})", **{c: 6 for c in _MEAN}))
+
+_SIGN = "CASE WHEN eligible = post THEN 1.0 ELSE -1.0 END"
+STAGE_ONE = effects("revenue_rows", "first_category", _SIGNED, "economic_repeat = 1")
+STAGE_TWO = f"""
+SELECT category, n, CASE WHEN cells = 4 THEN did END AS effect,
+  CASE WHEN cells = 4 THEN s2 * (inverse_n + did_x * did_x / sxx_all) END AS variance
+FROM (SELECT category, CAST(sum(n) AS BIGINT) AS n, count(*) AS cells, sum(sign * (y - slope * x)) AS did, sum(sign * x) AS did_x,
+        sum(1.0 / n) AS inverse_n, max(sxx_all) AS sxx_all, max((syy_all - slope * sxy_all) / freedom) AS s2
+  FROM (SELECT *, sxy_all / sxx_all AS slope
+    FROM (SELECT *, sum(sxx) OVER () AS sxx_all, sum(sxy) OVER () AS sxy_all, sum(syy) OVER () AS syy_all,
+            sum(n) OVER () - count(*) OVER () - 1 AS freedom
+      FROM (SELECT first_category AS category, {_SIGN} AS sign, eligible, post, count(*) AS n,
+              avg(ln(repeat_revenue)) AS y, avg(log_first_subtotal) AS x,
+              var_pop(log_first_subtotal) * count(*) AS sxx, var_pop(ln(repeat_revenue)) * count(*) AS syy,
+              covar_pop(log_first_subtotal, ln(repeat_revenue)) * count(*) AS sxy
+            FROM revenue_rows WHERE economic_repeat = 1 GROUP BY first_category, eligible, post)))
+  GROUP BY category)"""
+HURDLE = pool(f"SELECT 'repeat' AS stage, * FROM ({STAGE_ONE}) UNION ALL SELECT 'spend', * FROM ({STAGE_TWO})", "stage")
+_sql("hurdle_effects", _replace(f"({HURDLE})", **{c: 6 for c in _POOL}))
+ORDINAL = pool(f"""
+SELECT category, max(n) AS n, sum(effect / variance) / sum(1.0 / variance) AS effect, 1.0 / sum(1.0 / variance) AS variance
+FROM ({" UNION ALL ".join(effects("review_rows", "category_en", _SIGNED, f"(score_index >= {k})") for k in range(1, 5))})
+GROUP BY category""")
+_sql("ordinal_effects", _replace(f"({ORDINAL})", **{c: 6 for c in _POOL}))
+_sql("ordinal_cutpoints", f"""
+SELECT threshold, {r("k - first_value(k) OVER (ORDER BY threshold)", 6, "cutpoint")},
+  {r("k - lag(k) OVER (ORDER BY threshold)", 6, "gap")}
+FROM ({" UNION ALL ".join(f"SELECT {k} AS threshold, ln((count_if(score_index < {k}) + 0.5) / (count_if(score_index >= {k}) + 0.5)) AS k FROM review_rows" for k in range(1, 5))})""")
+SCENARIOS = f"""
+SELECT e.*, s.prior, s.factor FROM ({ON_TIME}) e
+CROSS JOIN (VALUES ('estimated', 1.0), ('halved', 0.5), ('fixed_0.04', NULL)) s(prior, factor)"""
+_sql("prior_sensitivity", f"""
+SELECT prior, categories, {", ".join(r(c, 6) for c in _MEAN)},
+  {r("max(mu) OVER () - min(mu) OVER ()", 6, "spread")}, {r("(max(mu) OVER () - min(mu) OVER ()) * 11.0", 6, "spread_pp")}
+FROM ({mean_of(pool(SCENARIOS, "prior", "coalesce(factor * tau2_dl, 0.04)"), "prior")})""")
+_sql("top_categories", f"""
+SELECT rank, category, {", ".join(r(c, 6) for c in ("shrunk", "low", "high", "p_positive"))},
+  {r("(1.0 / (1.0 + exp(-(ln(0.89 / 0.11) + shrunk))) - 0.89) * 100", 6, "points")}
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY shrunk DESC, category) AS INTEGER) AS rank FROM ({pool(ON_TIME)}))
+WHERE rank <= 5""")
+
+
+def _side(name: str) -> str:
+    return ", ".join(f"{name}.{c} AS {name}_{a}" for c, a in (
+        ("shrunk", "effect"), ("low", "low"), ("high", "high"), ("p_positive", "p_positive")))
+
+
+_OUTCOMES = {
+    "on_time": pool(ON_TIME), "repeat": f"SELECT * FROM ({HURDLE}) WHERE stage = 'repeat'",
+    "spend": f"SELECT * FROM ({HURDLE}) WHERE stage = 'spend'", "review": ORDINAL}
+_sql("effects_side_by_side", "SELECT coalesce(" + ", ".join(f"{n}.category" for n in _OUTCOMES) + ") AS category, " + ", ".join(
+    f"round({n}.{c} + 1e-8, 6) AS {n}_{a}" for n in _OUTCOMES for c, a in (
+        ("shrunk", "effect"), ("low", "low"), ("high", "high"), ("p_positive", "p_positive")))
+    + f" FROM ({_OUTCOMES['on_time']}) on_time FULL JOIN ({_OUTCOMES['repeat']}) repeat ON repeat.category = on_time.category"
+    + f" FULL JOIN ({_OUTCOMES['spend']}) spend ON spend.category = coalesce(on_time.category, repeat.category)"
+    + f" FULL JOIN ({_OUTCOMES['review']}) review ON review.category = coalesce(on_time.category, repeat.category, spend.category)")
+_LISTS = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT category, '{n}' AS outcome FROM ({_OUTCOMES[n]}) ORDER BY shrunk DESC, category LIMIT 8)"
+    for n in ("on_time", "repeat", "spend"))
+_sql("rollout_shortlist", f"""
+SELECT category, count(*) AS lists, string_agg(outcome, ',' ORDER BY outcome) AS outcomes FROM ({_LISTS})
+WHERE category NOT IN (SELECT category FROM ({ORDINAL}) ORDER BY shrunk, category LIMIT 8)
+GROUP BY category HAVING count(*) >= 2""")
+_sql("cost_benefit", f"""
+SELECT n_orders, {r("avg_freight", 4)}, {r("avg_payment", 4)}, {r("p0", 6, "p_control")}, {r("p1", 6, "p_treated")},
+  {r("m", 6, "spend_multiplier")}, {r("subsidy", 2)}, {r("gmv", 2, "incremental_gmv")},
+  {r("gmv * 0.2", 2, "incremental_margin")}, {r("gmv * 0.2 - subsidy", 2, "net")}, {r("subsidy / gmv", 4, "break_even_margin")}
+FROM (SELECT *, n_orders * avg_freight AS subsidy,
+        n_orders * (p1 * avg_payment * (m - 1) + (p1 - p0) * avg_payment * m) AS gmv
+  FROM (SELECT f.*, 1.0 / (1.0 + exp(-b.alpha)) AS p0, 1.0 / (1.0 + exp(-(b.alpha + h.b_shift))) AS p1, exp(h.l_shift) AS m
+    FROM (SELECT count(*) AS n_orders, avg(items_freight) AS avg_freight, avg(payment_total) AS avg_payment
+          FROM facts CROSS JOIN cutover c WHERE items_subtotal >= {THRESHOLD}
+            AND date_diff('day', DATE '1970-01-01', purchase_week) >= c.day) f
+    CROSS JOIN ({did("revenue_rows", "economic_repeat = 1")}) b
+    CROSS JOIN (SELECT max(mu) FILTER (stage = 'repeat') AS b_shift, max(mu) FILTER (stage = 'spend') AS l_shift
+                FROM ({HURDLE})) h))""")
+
+# ---------------------------------------------------------------- draws ------------
+def drawn(source: str, keys: list[str], counts: list[str], seed: int, draws: int = 40, chains: int = 4) -> str:
+    """Poisson draws around the counts of a cell table, from md5(seed, count, keys, draw)."""
+    parts = []
+    for name in counts:
+        key = "'|' || ".join(f"{k} || " for k in keys)
+        label = f"'{seed}|{name}|' || {key}'|' || t"
+        parts.append(f"""
+SELECT {", ".join(keys)}, t, '{name}' AS what, CASE WHEN m <= 0 THEN 0 WHEN m <= 30 THEN (
+    SELECT count(*) FROM pois q WHERE q.m = d.m AND q.cdf < d.u1)
+  ELSE greatest(floor(m * pow(1.0 - 1.0 / (9.0 * m) + sqrt(-2.0 * ln(u1)) * cos(2.0 * pi() * u2) / (3.0 * sqrt(m)), 3) + 0.5), 0) END AS v
+FROM (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u1,
+        (('0x' || substr(h, 9, 8))::BIGINT + 0.5) / 4294967296.0 AS u2
+  FROM (SELECT {", ".join(keys)}, t, CAST({name} AS DOUBLE) AS m, md5({label}) AS h FROM {source} CROSS JOIN range({draws}) g(t))) d""")
+    size = -(-draws // chains)
+    columns = ", ".join(f"CAST(max(v) FILTER (what = '{name}') AS BIGINT) AS {name}" for name in counts)
+    return f"""
+SELECT {", ".join(keys)}, CAST(t // {size} AS INTEGER) AS chain, CAST(t % {size} AS INTEGER) AS draw, {columns}
+FROM ({" UNION ALL ".join(parts)}) GROUP BY {", ".join(keys)}, t"""
+
+
+POISSON = """pois AS (SELECT m, j, sum(exp(-m + j * ln(m) - lgamma(j + 1))) OVER (PARTITION BY m ORDER BY j) AS cdf
+  FROM (SELECT CAST(a.m AS DOUBLE) AS m, b.j FROM range(1, 31) a(m) CROSS JOIN range(100) b(j)))"""
+KEYS = ["category", "eligible", "post"]
+OT_CELLS = """ot_cells AS (SELECT category_en AS category, eligible, post, count(*) AS trials,
+  count_if(is_on_time) AS successes, count_if(NOT is_on_time) AS failures FROM frame GROUP BY 1, 2, 3)"""
+
+
+def with_draws(body: str, base: str, *extra: str) -> str:
+    shared = with_ctes(f"SELECT 1 FROM {base}")
+    head = shared[: shared.rindex(f"SELECT 1 FROM {base}")]
+    return head + ", " + ",\n".join([POISSON, *extra]) + body
+
+
+def _ot_draws(seed: int) -> str:
+    return f"ot_draws AS ({drawn('ot_cells', KEYS, ['successes', 'failures'], seed)})"
+
+
+def _signed_draws() -> str:
+    def term(e: int, p: int, sign: int) -> str:
+        def pick(c: str) -> str:
+            return f"coalesce(sum({c}) FILTER (eligible = {e} AND post = {p}), 0) + 0.5"
+        return f"({sign}) * ln(({pick('successes')}) / ({pick('failures')}))"
+    body = " + ".join(term(e, p, 1 if e == p else -1) for _, e, p in _CELLS)
+    return f"""effect_draws AS (SELECT 'did_logit' AS param, category, chain, draw, {body} AS value
+  FROM ot_draws GROUP BY category, chain, draw)"""
+
+
+EFFECT_DRAWS = (OT_CELLS, _ot_draws(0), _signed_draws())
+
+
+def _draw_sql(name: str, body: str, base: str = "frame", extra: tuple = EFFECT_DRAWS) -> None:
+    ORACLE[name] = with_draws("\n" + body, base, *extra)
+
+
+_draw_sql("bootstrap_effects", _replace("effect_draws", value=6))
+_draw_sql("draw_summary", f"""
+SELECT param, category, {r("avg(value)", 6, "mean")}, {r("stddev_samp(value)", 6, "sd")},
+  {r("quantile_cont(value, 0.03)", 6, "p3")}, {r("quantile_cont(value, 0.97)", 6, "p97")},
+  {r("avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END)", 6, "p_positive")}, count(*) AS n_samples
+FROM effect_draws GROUP BY param, category""")
+_draw_sql("draw_hdi", f"""
+SELECT param, category, {r("low", 6, "hdi_low")}, {r("high", 6, "hdi_high")}
+FROM (SELECT a.param, a.category, a.value AS low, b.value AS high,
+        row_number() OVER (PARTITION BY a.param, a.category ORDER BY b.value - a.value, a.value) AS pick
+  FROM sorted_draws a JOIN sorted_draws b ON b.param = a.param AND b.category = a.category
+    AND b.rn = a.rn + CAST(floor(a.n * 0.94) AS BIGINT)) WHERE pick = 1""", extra=(*EFFECT_DRAWS, """
+sorted_draws AS (SELECT *, row_number() OVER (PARTITION BY param, category ORDER BY value, chain, draw) AS rn,
+  count(*) OVER (PARTITION BY param, category) AS n FROM effect_draws)"""))
+_draw_sql("draw_rhat", f"""
+SELECT param, category, count(*) AS chains, {r("sqrt((avg(v) * (avg(n) - 1.0) / avg(n) + var_samp(m)) / avg(v))", 6, "rhat")}
+FROM (SELECT param, category, chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n
+      FROM effect_draws GROUP BY param, category, chain) GROUP BY param, category""")
+LOGLIK = """loglik AS (SELECT c.category, c.eligible, c.post,
+  lgamma(c.trials + 1) - lgamma(c.successes + 1) - lgamma(c.failures + 1)
+    + c.successes * ln((d.successes + 0.5) / (d.successes + d.failures + 1.0))
+    + c.failures * ln(1.0 - (d.successes + 0.5) / (d.successes + d.failures + 1.0)) AS l
+  FROM ot_cells c JOIN ot_draws d ON d.category = c.category AND d.eligible = c.eligible AND d.post = c.post)"""
+LL = (OT_CELLS, _ot_draws(1), LOGLIK)
+
+
+def _elpd(pointwise: str, elpd: str, p: str) -> str:
+    return f"""
+SELECT 'did' AS model, count(*) AS n_cells, {r("sum(lppd)", 4, "lppd")}, {r(f"sum({p})", 4, p)}, {r(f"sum({elpd})", 4, elpd)},
+  {r(f"sqrt(count(*) * var_pop({elpd}))", 4, "se")}, {r(f"avg({elpd})", 4, "elpd_per_cell")}
+FROM ({pointwise})"""
+
+
+_draw_sql("waic", _elpd("""
+SELECT *, lppd - p_waic AS elpd_waic FROM (SELECT ln(avg(exp(l))) AS lppd, var_pop(l) AS p_waic
+FROM loglik GROUP BY category, eligible, post)""", "elpd_waic", "p_waic"), extra=LL)
+_draw_sql("loo_truncated", _elpd("""
+SELECT *, lppd - elpd_loo AS p_loo FROM (SELECT ln(avg(exp(l))) AS lppd, ln(sum(w * exp(l)) / sum(w)) AS elpd_loo
+FROM (SELECT *, least(w0, avg(w0) OVER c * sqrt(count(*) OVER c)) AS w
+      FROM (SELECT *, exp(min(l) OVER (PARTITION BY category, eligible, post) - l) AS w0 FROM loglik)
+      WINDOW c AS (PARTITION BY category, eligible, post))
+GROUP BY category, eligible, post)""", "elpd_loo", "p_loo"), extra=LL)
+_draw_sql("predictive_check", f"""
+SELECT {r("observed", 6)}, {r("avg(rate)", 6, "replicated")}, {r("quantile_cont(rate, 0.05)", 6, "p5")},
+  {r("quantile_cont(rate, 0.95)", 6, "p95")}, CASE WHEN abs(avg(rate) - observed) < 0.005 THEN 'GOOD' ELSE 'CHECK' END AS verdict
+FROM (SELECT chain, draw, sum(successes) / CAST(sum(successes + failures) AS DOUBLE) AS rate FROM ot_draws GROUP BY chain, draw)
+CROSS JOIN (SELECT sum(successes) / CAST(sum(trials) AS DOUBLE) AS observed FROM ot_cells) GROUP BY observed""",
+          extra=(OT_CELLS, _ot_draws(2)))
+_draw_sql("predictive_spend", f"""
+SELECT {r("any_value(o.m)", 6, "observed")}, {r("avg(d.m)", 6, "replicated")}
+FROM (SELECT chain, draw, sum(s.n * c.y) / sum(s.n) AS m FROM sp_draws s JOIN sp_cells c
+        ON c.category = s.category AND c.eligible = s.eligible AND c.post = s.post GROUP BY chain, draw) d
+CROSS JOIN (SELECT sum(n * y) / sum(n) AS m FROM sp_cells) o""", base="revenue_rows", extra=(
+    """sp_cells AS (SELECT first_category AS category, eligible, post, count(*) AS n, avg(ln(repeat_revenue)) AS y
+  FROM revenue_rows WHERE economic_repeat = 1 GROUP BY 1, 2, 3)""",
+    f"sp_draws AS ({drawn('sp_cells', KEYS, ['n'], 3)})"))
+_draw_sql("predictive_scores", f"""
+SELECT o.review_score, {r("any_value(o.share)", 6, "observed")}, {r("avg(d.share)", 6, "replicated")}
+FROM (SELECT review_score, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM sc_cells) o
+JOIN (SELECT review_score, n / CAST(sum(n) OVER (PARTITION BY chain, draw) AS DOUBLE) AS share FROM sc_draws) d
+  ON d.review_score = o.review_score GROUP BY o.review_score""", base="review_rows", extra=(
+    "sc_cells AS (SELECT review_score, count(*) AS n FROM review_rows GROUP BY review_score)",
+    f"sc_draws AS ({drawn('sc_cells', ['review_score'], ['n'], 4)})"))

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import analytics, cleaning, facts, features, quality
+from bazaarlens.operators import (
+    abtest,
+    analytics,
+    cleaning,
+    draws,
+    facts,
+    features,
+    identification,
+    mapfit,
+    pooling,
+    quality,
+)
 from bazaarlens.operators.ordered import distributed_ntile
 from bazaarlens.plans.warehouse import Warehouse
 from bazaarlens.sources.binding import LINE_ORDER, SUBTOTAL_THRESHOLD, StarTables
+from bazaarlens.session import cut_lineage
 from bazaarlens.sources.raw import row_count_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,12 +53,13 @@ class Study:
     @cached_property
     def covariates(self) -> DataFrame:
         return features.order_covariates(
-            self.house.fact_orders, self.house.customers, self.house.anchors, self.tiers
+            self.house.order_rollups, self.house.customers, self.house.anchors, self.tiers
         )
 
     @cached_property
     def rows(self) -> DataFrame:
-        return features.complete_rows(self.covariates, SPEC)
+        """Stored once: the cutover, the label codes and the frame itself all read it."""
+        return cut_lineage(features.complete_rows(self.covariates, SPEC, history=self.house.orders))
 
     @cached_property
     def spec(self) -> features.TreatmentSpec:
@@ -66,11 +79,13 @@ class Study:
 
     @cached_property
     def revenue(self) -> DataFrame:
-        return features.customer_revenue_frame(self.house.repeat_revenue, self.spec)
+        return cut_lineage(features.customer_revenue_frame(self.house.repeat_revenue, self.spec))
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return features.review_frame(self.house.fact_orders, self.house.anchors, self.tiers, self.spec)
+        return cut_lineage(
+            features.review_frame(self.house.order_rollups, self.house.anchors, self.tiers, self.spec)
+        )
 
 
 def query(name: str):
@@ -85,7 +100,7 @@ def query(name: str):
     return register
 
 
-def rounded(df: DataFrame, **digits: int) -> DataFrame:
+def rounded(df: DataFrame, /, **digits: int) -> DataFrame:
     """Round double columns for comparison; `digits` maps a column to its decimals.
 
     The nudge keeps exact halves (means of 8, 32, … prices) from depending on the last
@@ -94,6 +109,11 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + NUDGE, d) for c, d in digits.items()})
 
 
+def cents(df: DataFrame, column: str) -> DataFrame:
+    """Sums compared or ranked by value: rounded first, so that equal amounts tie."""
+    return df.withColumn(column, F.round(column, facts.MONEY_DECIMALS))
+
+
 MONEY = dict(payment_total=4, items_subtotal=4, items_freight=4, items_revenue=4, avg_unit_price=6, max_unit_price=4)
 
 
@@ -225,7 +245,7 @@ def _repeat(s: Study) -> DataFrame:
 
 @query("category_seller_panel")
 def _panel(s: Study) -> DataFrame:
-    panel = analytics.category_seller_panel(s.house.fact_orders, s.house.anchors, s.tiers)
+    panel = analytics.category_seller_panel(s.house.order_rollups, s.house.anchors, s.tiers)
     return rounded(panel, gmv=4, avg_order_value=6, avg_review_score=6, conversion_rate=6)
 
 
@@ -346,10 +366,403 @@ def _sample(s: Study) -> DataFrame:
 
 @query("weekly_by_eligibility")
 def _weekly(s: Study) -> DataFrame:
-    return rounded(features.weekly_by_eligibility(s.house.fact_orders, SUBTOTAL_THRESHOLD), rate=6)
+    return rounded(features.weekly_by_eligibility(s.house.order_rollups, SUBTOTAL_THRESHOLD), rate=6)
 
 
 @query("freight_cells")
 def _freight(s: Study) -> DataFrame:
-    cells = features.freight_cells(s.house.fact_orders, s.spec)
+    cells = features.freight_cells(s.house.order_rollups, s.spec)
     return rounded(cells, avg_freight=4, avg_subtotal=4, avg_payment=4)
+
+
+# ------------------------------------------------------------- A/B tests -----------
+@query("ab_two_proportion_z")
+def _z(s: Study) -> DataFrame:
+    result = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    return rounded(result, **{c: 6 for c in ("rate_treated", "rate_control", "diff", "z", "p_value", "ci_low", "ci_high")})
+
+
+def _welch_result(s: Study) -> DataFrame:
+    return abtest.welch_t(s.revenue, "repeat_revenue")
+
+
+@query("ab_welch_t")
+def _welch(s: Study) -> DataFrame:
+    return rounded(
+        _welch_result(s), mean_treated=4, mean_control=4, diff=4, t=6, df=4, p_value=5, ci_low=2, ci_high=2
+    )
+
+
+@query("ab_mann_whitney")
+def _mann_whitney(s: Study) -> DataFrame:
+    result = abtest.mann_whitney(cents(s.revenue, "repeat_revenue"), "repeat_revenue")
+    return rounded(result, median_treated=4, median_control=4, u_statistic=1, p_value=6)
+
+
+@query("ab_mann_whitney_score")
+def _mann_whitney_score(s: Study) -> DataFrame:
+    result = abtest.mann_whitney(s.reviews, "review_score")
+    return rounded(result, median_treated=4, median_control=4, u_statistic=1, p_value=6)
+
+
+@query("ab_chi_square")
+def _chi(s: Study) -> DataFrame:
+    return rounded(abtest.chi_square(s.reviews, "treatment", "review_score"), chi2=6, p_value=6)
+
+
+@query("ab_crosstab")
+def _crosstab(s: Study) -> DataFrame:
+    return abtest.crosstab(s.reviews, "treatment", "review_score")
+
+
+@query("ab_crosstab_wide")
+def _crosstab_wide(s: Study) -> DataFrame:
+    wide = abtest.crosstab_wide(s.reviews, "treatment", "review_score", [1, 2, 3, 4, 5])
+    return wide.withColumnsRenamed({str(k): f"score_{k}" for k in range(1, 6)})
+
+
+@query("ab_report")
+def _report(s: Study) -> DataFrame:
+    """Long rows of all five tests, plus the printable line of those with an interval."""
+    z = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    welch = _welch_result(s)
+    parts = [
+        abtest.long_result(z.select("diff", "z", "p_value"), "two_proportion_z", "on_time"),
+        abtest.long_result(welch.select("diff", "t", "df", "p_value"), "welch_t", "repeat_revenue"),
+        abtest.long_result(
+            abtest.mann_whitney(cents(s.revenue, "repeat_revenue"), "repeat_revenue").select("u_statistic", "p_value"),
+            "mann_whitney", "repeat_revenue",
+        ),
+        abtest.long_result(
+            abtest.chi_square(s.reviews, "treatment", "review_score").select("chi2", "df", "p_value"),
+            "chi_square", "review_score",
+        ),
+        abtest.long_result(
+            abtest.mann_whitney(s.reviews, "review_score").select("u_statistic", "p_value"),
+            "mann_whitney", "review_score",
+        ),
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), value=4)
+
+
+@query("ab_report_lines")
+def _report_lines(s: Study) -> DataFrame:
+    z = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    line = abtest.report_line(
+        F.lit("on-time (z)"), F.col("diff"), F.col("ci_low"), F.col("ci_high"), F.col("p_value")
+    )
+    return z.select(line.alias("line"))
+
+
+# -------------------------------------------------------- identification -----------
+DID_DIGITS = {
+    **{f"rate_{c}": 6 for c in identification.CELLS},
+    "alpha": 6, "beta_eligible": 6, "beta_post": 6, "did_logit": 6, "did_se": 6, "did_pp": 6,
+    "z": 6, "p_value": 6,
+}
+
+
+@query("did_saturated")
+def _did(s: Study) -> DataFrame:
+    counts = identification.cell_counts(s.treated, F.col("is_on_time"))
+    return rounded(identification.saturated_did(counts), **DID_DIGITS)
+
+
+@query("naive_vs_did")
+def _naive_vs_did(s: Study) -> DataFrame:
+    naive = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    did = identification.saturated_did(identification.cell_counts(s.treated, F.col("is_on_time")))
+    both = identification.naive_vs_did(naive, did)
+    return rounded(both, **{c: 6 for c in both.columns})
+
+
+@query("pre_trend")
+def _pre_trend(s: Study) -> DataFrame:
+    weekly = features.weekly_by_eligibility(s.house.order_rollups, SUBTOTAL_THRESHOLD)
+    pre = cut_lineage(identification.pre_period(weekly, s.spec.cutover))
+    return rounded(identification.pre_trend_test(pre), estimate=5, se=5, p_value=5, aic=3)
+
+
+HISTOGRAM = dict(low=75_000.0, high=525_000.0, width=12_500.0)
+DONUT = 25_000.0
+
+
+def _subtotals(s: Study) -> DataFrame:
+    subtotals = facts.item_rollup(s.house.order_items).select("items_subtotal")
+    return cents(subtotals.where(F.col("items_subtotal") >= 0), "items_subtotal")
+
+
+@query("histogram")
+def _histogram(s: Study) -> DataFrame:
+    return identification.histogram(_subtotals(s), "items_subtotal", **HISTOGRAM)
+
+
+@query("subtotal_profile")
+def _profile(s: Study) -> DataFrame:
+    return rounded(features.value_profile(_subtotals(s), "items_subtotal"), min=4, max=4, median=4)
+
+
+@query("bunching")
+def _bunching(s: Study) -> DataFrame:
+    bins = cut_lineage(identification.histogram(_subtotals(s), "items_subtotal", **HISTOGRAM))
+    fitted = identification.bunching_fit(bins, SUBTOTAL_THRESHOLD, DONUT)
+    result = identification.bunching_test(fitted, SUBTOTAL_THRESHOLD, HISTOGRAM["width"])
+    return rounded(result, predicted_below=3, predicted_above=3, excess=3, z=4)
+
+
+@query("stratified_independence")
+def _independence(s: Study) -> DataFrame:
+    """basket ⊥ month and freight ⊥ state, given treatment, category and seller tier."""
+    binned = s.treated.withColumns(
+        {
+            "basket_bin": F.least(F.floor(F.col("items_subtotal") / 100_000), F.lit(4)),
+            "freight_bin": F.least(F.floor(F.col("items_freight") / 5_000), F.lit(4)),
+        }
+    )
+    strata = ["treatment", "category_en", "seller_volume_tier"]
+    claims = {"basket|month": ("basket_bin", "calendar_month"), "freight|state": ("freight_bin", "customer_state")}
+    parts = [
+        abtest.stratified_independence(binned, x, y, strata).withColumn("claim", F.lit(claim))
+        for claim, (x, y) in claims.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), chi2=4, p_value=6)
+
+
+# ------------------------------------------------------- pooled effects ------------
+POOL_DIGITS = {
+    c: 6
+    for c in ("effect", "variance", "tau2", "mu", "mu_sd", "shrunk", "shrunk_sd", "low", "high", "p_positive")
+}
+
+
+def _did_effects(s: Study) -> DataFrame:
+    cells = pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time"))
+    return pooling.category_did_logit(cells)
+
+
+@query("category_did")
+def _category_did(s: Study) -> DataFrame:
+    return rounded(_did_effects(s), effect=6, variance=6)
+
+
+@query("category_pooled")
+def _category_pooled(s: Study) -> DataFrame:
+    return rounded(pooling.partial_pool(_did_effects(s)), **POOL_DIGITS)
+
+
+@query("pooled_mean")
+def _pooled_mean(s: Study) -> DataFrame:
+    mean = pooling.pooled_mean(pooling.partial_pool(_did_effects(s)))
+    return rounded(mean, mu=6, mu_sd=6, tau=6, low=6, high=6, p_positive=6)
+
+
+@query("category_naive_pooled")
+def _naive_pooled(s: Study) -> DataFrame:
+    cells = pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time"), ("treatment",))
+    return rounded(pooling.partial_pool(pooling.category_arm_logit(cells)), **POOL_DIGITS)
+
+
+@query("hurdle_effects")
+def _hurdle(s: Study) -> DataFrame:
+    return rounded(pooling.hurdle_effects(s.revenue), **POOL_DIGITS)
+
+
+@query("ordinal_effects")
+def _ordinal(s: Study) -> DataFrame:
+    return rounded(pooling.ordinal_effects(s.reviews), **POOL_DIGITS)
+
+
+@query("ordinal_cutpoints")
+def _cutpoints(s: Study) -> DataFrame:
+    return rounded(pooling.ordinal_cutpoints(s.reviews), cutpoint=6, gap=6)
+
+
+@query("prior_sensitivity")
+def _prior(s: Study) -> DataFrame:
+    table = pooling.prior_sensitivity(_did_effects(s))
+    return rounded(table, **{c: 6 for c in ("mu", "mu_sd", "tau", "low", "high", "p_positive", "spread", "spread_pp")})
+
+
+@query("top_categories")
+def _top(s: Study) -> DataFrame:
+    """Five best categories for on-time delivery, with probability points at the base rate."""
+    ranked = pooling.top_effects(pooling.partial_pool(_did_effects(s)), 5)
+    points = pooling.effect_points(ranked, base=0.89)
+    return rounded(points.select("rank", "category", "shrunk", "low", "high", "p_positive", "points"),
+                   shrunk=6, low=6, high=6, p_positive=6, points=6)
+
+
+def _four_outcomes(s: Study) -> dict[str, DataFrame]:
+    hurdle = cut_lineage(pooling.hurdle_effects(s.revenue))
+    return {
+        "on_time": pooling.partial_pool(_did_effects(s)),
+        "repeat": hurdle.where(F.col("stage") == "repeat"),
+        "spend": hurdle.where(F.col("stage") == "spend"),
+        "review": pooling.ordinal_effects(s.reviews),
+    }
+
+
+@query("effects_side_by_side")
+def _side_by_side(s: Study) -> DataFrame:
+    table = pooling.side_by_side(_four_outcomes(s))
+    return rounded(table, **{c: 6 for c in table.columns if c != "category"})
+
+
+@query("rollout_shortlist")
+def _shortlist(s: Study) -> DataFrame:
+    outcomes = _four_outcomes(s)
+    harmed = outcomes.pop("review")
+    return pooling.rollout_shortlist(outcomes, harmed, n=8)
+
+
+@query("cost_benefit")
+def _cost_benefit(s: Study) -> DataFrame:
+    treated = features.freight_cells(s.house.order_rollups, s.spec).where(F.col("eligible") & F.col("post"))
+    means = pooling.pooled_mean(cut_lineage(pooling.hurdle_effects(s.revenue)), ["stage"])
+    base = identification.saturated_did(
+        identification.cell_counts(s.revenue, F.col("economic_repeat"))
+    ).agg(F.max("alpha")).scalar()
+    effects = means.agg(
+        F.max(F.when(F.col("stage") == "repeat", F.col("mu"))).alias("repeat_shift"),
+        F.max(F.when(F.col("stage") == "spend", F.col("mu"))).alias("spend_shift"),
+    ).withColumn("base_logit", base)
+    result = identification.cost_benefit(treated, effects)
+    return rounded(result, avg_freight=4, avg_payment=4, p_control=6, p_treated=6, spend_multiplier=6, subsidy=2,
+                   incremental_gmv=2, incremental_margin=2, net=2, break_even_margin=4)
+
+
+# ---------------------------------------------------------------- draws ------------
+DRAWS = 40
+
+
+def _on_time_cells(s: Study) -> DataFrame:
+    return cut_lineage(pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time")))
+
+
+def _effect_draws(s: Study) -> DataFrame:
+    return draws.bootstrap_effects(_on_time_cells(s), DRAWS, seed=0)
+
+
+@query("bootstrap_effects")
+def _bootstrap(s: Study) -> DataFrame:
+    return rounded(_effect_draws(s), value=6)
+
+
+@query("draw_summary")
+def _draw_summary(s: Study) -> DataFrame:
+    return rounded(draws.summarise_draws(_effect_draws(s)), mean=6, sd=6, p3=6, p97=6, p_positive=6)
+
+
+@query("draw_hdi")
+def _draw_hdi(s: Study) -> DataFrame:
+    return rounded(draws.hdi(_effect_draws(s)), hdi_low=6, hdi_high=6)
+
+
+@query("draw_rhat")
+def _draw_rhat(s: Study) -> DataFrame:
+    return rounded(draws.rhat(_effect_draws(s)), rhat=6)
+
+
+@query("draw_ess")
+def _draw_ess(s: Study) -> DataFrame:
+    return rounded(draws.ess(_effect_draws(s)), ess=4)
+
+
+def _loglik(s: Study) -> DataFrame:
+    cells = _on_time_cells(s)
+    return draws.binomial_loglik(cells, draws.bootstrap_cells(cells, DRAWS, seed=1), "did")
+
+
+@query("waic")
+def _waic(s: Study) -> DataFrame:
+    return rounded(draws.waic(_loglik(s)), lppd=4, p_waic=4, elpd_waic=4, se=4, elpd_per_cell=4)
+
+
+@query("loo_truncated")
+def _loo(s: Study) -> DataFrame:
+    return rounded(draws.loo_truncated(_loglik(s)), lppd=4, p_loo=4, elpd_loo=4, se=4, elpd_per_cell=4)
+
+
+@query("loo_smoothed")
+def _loo_smoothed(s: Study) -> DataFrame:
+    return draws.loo_smoothed(_loglik(s))
+
+
+@query("predictive_check")
+def _predictive(s: Study) -> DataFrame:
+    cells = _on_time_cells(s)
+    check = draws.predictive_rate(cells, draws.bootstrap_cells(cells, DRAWS, seed=2))
+    return rounded(check, observed=6, replicated=6, p5=6, p95=6)
+
+
+@query("predictive_spend")
+def _predictive_spend(s: Study) -> DataFrame:
+    keys = ["category", "eligible", "post"]
+    cells = cut_lineage(pooling.spend_moments(s.revenue).select(*keys, "n", "y"))
+    again = draws.bootstrap_counts(cells, keys, ["n"], DRAWS, seed=3)
+    return rounded(draws.predictive_mean(cells, again, keys), observed=6, replicated=6)
+
+
+@query("predictive_scores")
+def _predictive_scores(s: Study) -> DataFrame:
+    counts = cut_lineage(features.score_shares(s.reviews).select("review_score", "n"))
+    again = draws.bootstrap_counts(counts, ["review_score"], ["n"], DRAWS, seed=4)
+    return rounded(draws.predictive_shares(counts, again, "review_score"), observed=6, replicated=6)
+
+
+# -------------------------------------------------------------- MAP fits -----------
+ON_TIME_LABELS = {"category": "category_en", "tier": "seller_volume_tier", "state": "customer_state"}
+DID = ["eligible", "post"]
+
+
+@query("map_fit")
+def _map_fit(s: Study) -> DataFrame:
+    """On-time delivery, difference-in-differences."""
+    cells = mapfit.binomial_cells(s.treated, F.col("is_on_time"), ON_TIME_LABELS, DID)
+    return mapfit.map_fit(mapfit.with_policy(cells), mapfit.BINOMIAL_DID).coefficients
+
+
+@query("map_fit_naive")
+def _map_fit_naive(s: Study) -> DataFrame:
+    labels = {**ON_TIME_LABELS, "month": "calendar_month"}
+    cells = mapfit.binomial_cells(s.treated, F.col("is_on_time"), labels, ["treatment"])
+    return mapfit.map_fit(cells, mapfit.BINOMIAL_NAIVE).coefficients
+
+
+def _hurdle_fit(s: Study, repeat: mapfit.Model, spend: mapfit.Model, indicators: list[str]) -> DataFrame:
+    """Did the customer come back, and how much was spent then; one table per stage, stacked."""
+    labels = {"category": "first_category"}
+    policy = mapfit.with_policy if "post" in indicators else (lambda df: df)
+    cells = policy(mapfit.binomial_cells(s.revenue, F.col("economic_repeat"), labels, indicators))
+    positive = s.revenue.where(F.col("economic_repeat") == 1).select(
+        F.col("first_category").alias("category"), *indicators, "log_first_subtotal",
+        F.log("repeat_revenue").alias("y"),
+    )
+    first = mapfit.map_fit(cells, repeat).coefficients.withColumn("stage", F.lit("repeat"))
+    second = mapfit.map_fit(policy(positive), spend).coefficients.withColumn("stage", F.lit("spend"))
+    return first.unionByName(second)
+
+
+@query("map_fit_revenue")
+def _map_fit_revenue(s: Study) -> DataFrame:
+    return _hurdle_fit(s, mapfit.REPEAT_DID, mapfit.SPEND_DID, DID)
+
+
+@query("map_fit_revenue_naive")
+def _map_fit_revenue_naive(s: Study) -> DataFrame:
+    return _hurdle_fit(s, mapfit.REPEAT_NAIVE, mapfit.SPEND_NAIVE, ["treatment"])
+
+
+REVIEW_LABELS = {"category": "category_en", "tier": "seller_volume_tier"}
+
+
+@query("map_fit_review")
+def _map_fit_review(s: Study) -> DataFrame:
+    cells = mapfit.with_policy(mapfit.ordinal_cells(s.reviews, REVIEW_LABELS, DID))
+    return mapfit.map_fit(cells, mapfit.REVIEW_DID).coefficients
+
+
+@query("map_fit_review_naive")
+def _map_fit_review_naive(s: Study) -> DataFrame:
+    cells = mapfit.ordinal_cells(s.reviews, {**REVIEW_LABELS, "month": "calendar_month"}, ["treatment"])
+    return mapfit.map_fit(cells, mapfit.REVIEW_NAIVE).coefficients

@@ -79,6 +79,13 @@ class Warehouse:
         return cleaning.reviews_latest(self.raw["order_reviews"])
 
     # ---- gold
+    @cached_property
+    def order_rollups(self) -> DataFrame:
+        """The facts without the customer sequence, for consumers that do not need it."""
+        return facts.order_rollups(
+            self.orders, self.raw["order_payments"], self.order_items, self.order_reviews
+        )
+
     @cached_property
     def fact_orders(self) -> DataFrame:
         return facts.fact_orders(
