@@ -17,6 +17,9 @@ from bazaarlens.operators.ordered import (
     ranked_values,
     value_counts,
 )
+from bazaarlens.session import ship_by_value
+
+ship_by_value(__name__)
 
 EXACT_SMALL_ARM = 8  # the exact rank test is used up to this arm size, without ties
 EXACT_TABLE_LIMIT = 2_000_000

@@ -145,18 +145,23 @@ def orders_enriched(orders: DataFrame, bridge: DataFrame) -> DataFrame:
     )
 
 
-def items_enriched(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Order lines with category, seller state and line revenue."""
+def items_labelled(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Order lines with category and line revenue: all that the roll-ups read."""
     labels = products.select("product_id", "category_en")
-    places = sellers.select("seller_id", F.col("state").alias("seller_state"))
     numbered = ["order_item_id"] if "order_item_id" in items.columns else []
-    return items.join(labels, "product_id", "left").join(places, "seller_id", "left").select(
-        "order_id", *numbered, "product_id", "category_en", "seller_id", "seller_state",
+    return items.join(labels, "product_id", "left").select(
+        "order_id", *numbered, "product_id", "category_en", "seller_id",
         "shipping_limit_date", "price", "freight_value",
         (F.col("price") + F.col("freight_value")).alias("line_revenue"),
     )
 
 
+def items_enriched(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Order lines with category, seller state and line revenue."""
+    places = sellers.select("seller_id", F.col("state").alias("seller_state"))
+    return items_labelled(items, products).join(places, "seller_id", "left")
+
+
 def payments_clean(payments: DataFrame) -> DataFrame:
     """Payment records as they are; the order-level roll-up belongs to the facts."""
     return payments.select(

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.distributions import log_gamma
 from bazaarlens.operators.ordered import ROWS_PER_SLICE, group_sequence
 from bazaarlens.operators.pooling import category_did_logit
+from bazaarlens.session import ship_by_value
+
+ship_by_value(__name__)
 
 # ---- fixed values -----------------------------------------------------------------
 INTERVAL = (0.03, 0.97)       # equal-tailed 94% interval

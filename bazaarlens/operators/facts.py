@@ -7,7 +7,7 @@ partitioned by `order_id`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar as cal
@@ -19,28 +19,60 @@ PLACED = "order_purchase_timestamp"
 MONEY_DECIMALS = 4
 
 
+def _most_frequent(label: str) -> Column:
+    """Aggregate over (label, n) rows: the label with the largest n, ties to the smallest label."""
+    known = F.when(F.col(label).isNotNull(), F.struct((-F.col("n")).alias("rank"), F.col(label).alias("label")))
+    return F.min(known)["label"]
+
+
 def payment_rollup(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
-        F.sum("payment_value").alias("payment_total"),
-        F.count(F.lit(1)).alias("n_payments"),
-        F.max("payment_installments").alias("max_installments"),
-        F.mode("payment_type", True).alias("dominant_payment_type"),
+    """Sum, count, largest instalment number and most frequent type per order.
+
+    Counting per (order, type) first keeps everything in mergeable sums; a per-order
+    frequency map would have to be carried and serialised for every order.
+    """
+    per_type = payments.groupBy("order_id", "payment_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("payment_value").alias("paid"),
+        F.max("payment_installments").alias("installments"),
+    )
+    return per_type.groupBy("order_id").agg(
+        F.sum("paid").alias("payment_total"),
+        F.sum("n").alias("n_payments"),
+        F.max("installments").alias("max_installments"),
+        _most_frequent("payment_type").alias("dominant_payment_type"),
     )
 
 
 def item_rollup(items: DataFrame) -> DataFrame:
-    """Exact distinct counts; the most frequent category, ties to the smallest label."""
-    return items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
+    """Sums, exact distinct counts and the most frequent category per order.
+
+    Sums and the category come from (order, category) counts. Distinct products and
+    sellers use Spark's two-level distinct aggregation, which spreads an order with very
+    many lines over its products and sellers before counting.
+    """
+    per_category = items.groupBy("order_id", "category_en").agg(
+        F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"),
+        F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
+        F.sum("line_revenue").alias("revenue"), F.max("price").alias("top_price"),
+    )
+    sums = per_category.groupBy("order_id").agg(
+        F.sum("n").alias("n_items"),
+        F.count("category_en").alias("n_unique_categories"),
+        F.sum("price").alias("items_subtotal"),
+        F.sum("freight").alias("items_freight"),
+        F.sum("revenue").alias("items_revenue"),
+        ex.safe_ratio(F.sum("price"), F.sum("priced")).alias("avg_unit_price"),
+        F.max("top_price").alias("max_unit_price"),
+        _most_frequent("category_en").alias("dominant_category"),
+    )
+    distinct = items.groupBy("order_id").agg(
         F.count_distinct("product_id").alias("n_unique_products"),
-        F.count_distinct("category_en").alias("n_unique_categories"),
         F.count_distinct("seller_id").alias("n_unique_sellers"),
-        F.sum("price").alias("items_subtotal"),
-        F.sum("freight_value").alias("items_freight"),
-        F.sum("line_revenue").alias("items_revenue"),
-        F.avg("price").alias("avg_unit_price"),
-        F.max("price").alias("max_unit_price"),
-        F.mode("category_en", True).alias("dominant_category"),
+    )
+    return sums.join(distinct, "order_id").select(
+        "order_id", "n_items", "n_unique_products", "n_unique_categories", "n_unique_sellers",
+        "items_subtotal", "items_freight", "items_revenue", "avg_unit_price", "max_unit_price",
+        "dominant_category",
     )
 
 

@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.session import cut_lineage
+from bazaarlens.session import cut_lineage, ship_by_value
+
+ship_by_value(__name__)
 
 # ---- fixed values: priors of the models ----------------------------------------------
 WIDE_BAR, BAR, SLOPE = (0.0, 1.5), (0.0, 1.0), (0.0, 1.0)

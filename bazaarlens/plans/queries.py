@@ -39,7 +39,7 @@ class Study:
     def __init__(self, spark: SparkSession, folder: str):
         self.star = StarTables(spark, folder)
         self.house = Warehouse(
-            self.star.raw_tables(), line_order=LINE_ORDER, lines=self.star.ordered_lines, translate=False
+            self.star.raw_tables(), line_order=LINE_ORDER, lines=self.star.ordered_lines, translate=False,
         )
 
     @cached_property
@@ -177,7 +177,7 @@ def _payment_rollup(s: Study) -> DataFrame:
 
 @query("item_rollup")
 def _item_rollup(s: Study) -> DataFrame:
-    return rounded(facts.item_rollup(s.house.order_items), **{k: v for k, v in MONEY.items() if k != "payment_total"})
+    return rounded(facts.item_rollup(s.house.order_lines), **{k: v for k, v in MONEY.items() if k != "payment_total"})
 
 
 @query("fact_orders")
@@ -488,7 +488,7 @@ DONUT = 25_000.0
 
 
 def _subtotals(s: Study) -> DataFrame:
-    subtotals = facts.item_rollup(s.house.order_items).select("items_subtotal")
+    subtotals = facts.item_rollup(s.house.order_lines).select("items_subtotal")
     return cents(subtotals.where(F.col("items_subtotal") >= 0), "items_subtotal")
 
 

@@ -36,10 +36,14 @@ class Warehouse:
     ):
         self.raw = raw
         self.line_order = tuple(line_order)
-        self.lines = raw["order_items"] if lines is None else lines
+        self._lines = lines
         self.translate = translate
         self.rows_per_slice = rows_per_slice
 
+    @property
+    def lines(self) -> DataFrame:
+        return self.raw["order_items"] if self._lines is None else self._lines
+
     # ---- silver
     @cached_property
     def customers(self) -> DataFrame:
@@ -70,6 +74,11 @@ class Warehouse:
     def order_items(self) -> DataFrame:
         return cleaning.items_enriched(self.raw["order_items"], self.products, self.sellers)
 
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        """Order items without the seller's state, which no roll-up reads."""
+        return cleaning.items_labelled(self.raw["order_items"], self.products)
+
     @cached_property
     def order_payments(self) -> DataFrame:
         return cleaning.payments_clean(self.raw["order_payments"])
@@ -83,13 +92,13 @@ class Warehouse:
     def order_rollups(self) -> DataFrame:
         """The facts without the customer sequence, for consumers that do not need it."""
         return facts.order_rollups(
-            self.orders, self.raw["order_payments"], self.order_items, self.order_reviews
+            self.orders, self.raw["order_payments"], self.order_lines, self.order_reviews
         )
 
     @cached_property
     def fact_orders(self) -> DataFrame:
         return facts.fact_orders(
-            self.orders, self.raw["order_payments"], self.order_items, self.order_reviews,
+            self.orders, self.raw["order_payments"], self.order_lines, self.order_reviews,
             self.rows_per_slice,
         )
 
@@ -100,7 +109,7 @@ class Warehouse:
     @cached_property
     def dim_seller(self) -> DataFrame:
         return facts.dim_seller(
-            self.order_items, self.orders, self.products, self.sellers, self.order_reviews,
+            self.order_lines, self.orders, self.products, self.sellers, self.order_reviews,
             rows_per_slice=self.rows_per_slice,
         )
 
@@ -172,7 +181,8 @@ def _stored(spark: SparkSession, root: str, upto: str) -> Warehouse:
         for name in LAYER_TABLES[layer]:
             house.replace(name, read_table(spark, root, f"{layer}.{name}"))
     if upto in ("gold", "analytics"):
-        house.lines = house.order_items
+        house._lines = house.order_items
+        house.replace("order_lines", house.order_items)
     return house
 
 
@@ -212,10 +222,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     from bazaarlens.session import build_session
 
     parser = argparse.ArgumentParser(description="Build the warehouse layers.")
-    parser.add_argument("layers", nargs="*", choices=[*LAYERS, []], help="layers in build order; default all")
+    parser.add_argument("layers", nargs="*", help=f"layers in build order, of {', '.join(LAYERS)}; default all")
     parser.add_argument("--raw-dir")
     parser.add_argument("--root", required=True)
     args = parser.parse_args(argv)
+    check_layers(args.layers)
     run_layers(build_session(), args.root, args.raw_dir, args.layers or None)
 
 

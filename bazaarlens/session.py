@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are written for; none changes a result.
@@ -54,3 +56,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of `df`: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_by_value(module: str) -> None:
+    """Send the Python functions of `module` with the task, so executors need no install."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

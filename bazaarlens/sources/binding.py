@@ -7,7 +7,8 @@ Every binding reads its whole table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,22 @@ LINE_ORDER = (
     "l_tax", "l_discount", "l_returnflag", "l_linestatus",
 )
 
+# ---- fixed values: columns of the driver's tables that are read (others are never touched)
+STAR_SCHEMAS = {
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": """p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,
+        p_retailprice double""",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+# -----------------------------------------------------------------------------------------
+
 
 def _hours_after(start: str, hours: Column) -> Column:
     return F.col(start) + F.make_dt_interval(F.lit(0), hours.cast("int"))
@@ -36,9 +53,14 @@ class StarTables:
 
     spark: SparkSession
     folder: str
+    _read: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table with its pinned schema (no job is needed to infer it)."""
+        if name not in self._read:
+            schema = " ".join(STAR_SCHEMAS[name].split())
+            self._read[name] = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     @property
     def orders(self) -> DataFrame:
@@ -218,15 +240,32 @@ class StarTables:
     def events(self) -> DataFrame:
         return self.table("events").select("event_id", "user_id", "ts")
 
-    def raw_tables(self) -> dict[str, DataFrame]:
-        return {
-            "orders": self.orders,
-            "order_items": self.order_items,
-            "order_payments": self.order_payments,
-            "order_reviews": self.order_reviews,
-            "customers": self.customers,
-            "products": self.products,
-            "sellers": self.sellers,
-            "geolocation": self.geolocation,
-            "category_translation": self.category_translation,
-        }
+    def raw_tables(self) -> Mapping[str, DataFrame]:
+        return _RawTables(self)
+
+
+# ---- fixed values: the nine raw tables
+RAW_NAMES = (
+    "orders", "order_items", "order_payments", "order_reviews", "customers", "products", "sellers",
+    "geolocation", "category_translation",
+)
+
+
+class _RawTables(Mapping):
+    """The raw tables by name; each is built when it is first asked for."""
+
+    def __init__(self, star: StarTables):
+        self._star, self._built = star, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in RAW_NAMES:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = getattr(self._star, name)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(RAW_NAMES)
+
+    def __len__(self) -> int:
+        return len(RAW_NAMES)
