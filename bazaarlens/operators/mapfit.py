@@ -27,7 +27,7 @@ LOG_SPEND_BAR, LOG_SUBTOTAL = (4.0, 1.5), (0.5, 0.5)
 SCALE_RATE = 1.0        # exponential prior on every scale
 GAP_SD = 1.5            # half-normal prior on the gaps between cutpoints
 # --------------------------------------------------------------------------------------
-MAX_STEPS, TOLERANCE = 40, 1e-6
+MAX_STEPS, SCALE_ROUNDS, TOLERANCE = 40, 30, 1e-4
 
 
 @dataclass(frozen=True)
@@ -264,17 +264,20 @@ def _summed(design: DataFrame, family: str, beta: np.ndarray, cuts: np.ndarray):
     return flat[0], flat[1 : 1 + size], upper + np.triu(upper, 1).T
 
 
-def _scale_mode(squares: float, count: int) -> float:
-    """Positive root of rate·σ³ + count·σ² − squares = 0: EM step under the exponential prior."""
-    s = np.sqrt(max(squares / max(count, 1), 1e-8))
+def _scale_mode(squares: float, count: float) -> float:
+    """Positive root of rate·σ³ + count·σ² − squares = 0: the scale under its exponential prior."""
+    squares, count = max(squares, 1e-12), max(count, 1e-6)
+    s = min(np.sqrt(squares / count), (squares / SCALE_RATE) ** (1.0 / 3.0))
     for _ in range(50):
-        s -= (SCALE_RATE * s**3 + count * s**2 - squares) / (3 * SCALE_RATE * s**2 + 2 * count * s)
-        s = max(s, 1e-4)
-    return float(s)
+        change = (SCALE_RATE * s**3 + count * s**2 - squares) / (3 * SCALE_RATE * s**2 + 2 * count * s)
+        s -= change
+        if abs(change) < 1e-10 * s:
+            break
+    return float(max(s, 1e-4))
 
 
 def map_fit(cells: DataFrame, model: Model, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
-    """Penalised Newton steps, step halving, and EM updates of the scales, to convergence."""
+    """Penalised Newton steps with halving; between them updates of the scales."""
     spark = cells.sparkSession
     factors = {t.label for t in model.terms if isinstance(t, Factor)}
     stored = cut_lineage(cells)
@@ -295,12 +298,11 @@ def map_fit(cells: DataFrame, model: Model, max_steps: int = MAX_STEPS, toleranc
     base = _summed(design, model.family, np.zeros(p), cuts) if model.family == "gaussian" else None
 
     def evaluate(b: np.ndarray, c: np.ndarray):
+        """Log-likelihood, gradient and information (for Gaussian rows at unit noise)."""
         if base is None:
             return _summed(design, model.family, b, c)
         value, g0, h0 = base
-        return (
-            (value + g0 @ b - 0.5 * b @ h0 @ b) / noise**2, (g0 - h0 @ b) / noise**2, h0 / noise**2,
-        )
+        return value + g0 @ b - 0.5 * b @ h0 @ b, g0 - h0 @ b, h0
 
     def precision() -> np.ndarray:
         sd = fixed_sd.copy()
@@ -308,52 +310,62 @@ def map_fit(cells: DataFrame, model: Model, max_steps: int = MAX_STEPS, toleranc
             sd[block] = scales[name]
         return 1.0 / sd**2
 
-    def penalty(b: np.ndarray, c: np.ndarray) -> float:
+    def penalised(value: float, b: np.ndarray, c: np.ndarray) -> float:
         gaps = np.diff(c) if q else np.zeros(0)
-        return float(0.5 * np.sum(precision() * (b - mean) ** 2) + 0.5 * np.sum((gaps / GAP_SD) ** 2))
+        prior = np.sum(precision() * (b - mean) ** 2) + np.sum((gaps / GAP_SD) ** 2)
+        return float(value / noise**2 - 0.5 * prior)
 
     free = np.r_[np.arange(p), p + np.arange(1, q)] if q else np.arange(p)  # first cutpoint stays 0
     to_gaps = np.diff(np.eye(q), axis=0) if q else np.zeros((0, 0))
-    state = evaluate(beta, cuts)
-    covariance, objective, steps = np.eye(p), -np.inf, 0
-    for steps in range(1, max_steps + 1):
-        loglik, gradient, information = state
-        gradient, information = gradient.copy(), information.copy()
+
+    def newton(state) -> tuple[np.ndarray, np.ndarray]:
+        """Step and inverse information of the penalised problem at the current scales."""
+        _, gradient, information = state
+        gradient, information = gradient / noise**2, information / noise**2
         gradient[:p] -= precision() * (beta - mean)
         information[np.arange(p), np.arange(p)] += precision()
         if q:
             gradient[p:] -= to_gaps.T @ (to_gaps @ cuts) / GAP_SD**2
             information[p:, p:] += to_gaps.T @ to_gaps / GAP_SD**2
-        reduced = information[np.ix_(free, free)]
-        inverse = np.linalg.inv(reduced + 1e-9 * np.eye(len(free)))
+        inverse = np.linalg.inv(information[np.ix_(free, free)] + 1e-9 * np.eye(len(free)))
         step = np.zeros(p + q)
         step[free] = inverse @ gradient[free]
-        current, scale = loglik - penalty(beta, cuts), 1.0
+        return step, inverse[:p, :p]
+
+    state = evaluate(beta, cuts)
+    covariance, steps = np.eye(p), 0
+    for steps in range(1, max_steps + 1):
+        # the scales settle on the local quadratic, without another pass over the cells
+        for _ in range(SCALE_ROUNDS):
+            step, covariance = newton(state)
+            proposal, spread, shifted = beta + step[:p], np.diag(covariance), 0.0
+            for name, block in layout.blocks.items():
+                # squares over effective labels: the fixed point of EM, reached in fewer rounds
+                labels_used = block.stop - block.start - float(np.sum(spread[block])) / scales[name] ** 2
+                updated = _scale_mode(float(np.sum(proposal[block] ** 2)), labels_used)
+                shifted = max(shifted, abs(np.log(updated / scales[name])))
+                scales[name] = updated
+            if base is not None:
+                residual = max(-2.0 * evaluate(proposal, cuts)[0], 1e-12)
+                updated = _scale_mode(residual + float(np.sum(base[2] * covariance)), int(rows))
+                shifted, noise = max(shifted, abs(np.log(updated / noise))), updated
+            if shifted < 1e-3:
+                break
+        step, covariance = newton(state)
+        current, scale = penalised(state[0], beta, cuts), 1.0
         while True:
             new_beta, new_cuts = beta + scale * step[:p], cuts + scale * step[p:]
             if not q or np.all(np.diff(new_cuts) > 1e-6):
                 trial = evaluate(new_beta, new_cuts)
-                if trial[0] - penalty(new_beta, new_cuts) >= current - 1e-9 * abs(current) or scale < 1e-4:
+                gained = penalised(trial[0], new_beta, new_cuts) - current
+                if gained >= -1e-9 * abs(current) or scale < 1e-4:
                     break
             scale /= 2.0
         moved = float(np.max(np.abs(scale * step)))
         beta, cuts, state = new_beta, new_cuts, trial
-        covariance = inverse[:p, :p]
-        spread = np.diag(covariance)
-        shifted = 0.0
-        for name, block in layout.blocks.items():
-            updated = _scale_mode(float(np.sum(beta[block] ** 2 + spread[block])), block.stop - block.start)
-            shifted = max(shifted, abs(np.log(updated / scales[name])))
-            scales[name] = updated
-        if base is not None:
-            residual = max(-2.0 * (base[0] + base[1] @ beta - 0.5 * beta @ base[2] @ beta), 1e-12)
-            updated = _scale_mode(residual + float(np.sum(base[2] * covariance)), int(rows))
-            shifted = max(shifted, abs(np.log(updated / noise)))
-            noise = updated
-            state = evaluate(beta, cuts)
-        objective = state[0] - penalty(beta, cuts)
-        if moved < tolerance and shifted < 1e-3:
+        if moved < tolerance:
             break
+    objective = penalised(state[0], beta, cuts)
     if base is not None:
         scales["observation"] = noise
     records = _coefficient_rows(layout, beta, covariance)
