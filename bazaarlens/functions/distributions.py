@@ -55,7 +55,9 @@ def normal_cdf(z) -> Column:
 
 
 def normal_two_sided(z) -> Column:
-    return F.least(F.lit(1.0), F.lit(2.0) * normal_upper(F.abs(_col(z))))
+    z = _col(z)
+    # LEAST skips NULLs: an undefined statistic must not turn into p = 1
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), F.lit(2.0) * normal_upper(F.abs(z))))
 
 
 def log_gamma(x) -> Column:

@@ -105,6 +105,8 @@ def _exact_rank_p(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
     import numpy as np
 
     def one(u_value: float, a: int, b: int) -> float:
+        if not a or not b:
+            return float("nan")
         small, large = min(a, b), max(a, b)
         top = a * b
         ways = np.zeros(top + 1)
@@ -118,7 +120,7 @@ def _exact_rank_p(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
         lower = int(np.floor(min(u_value, top - u_value)))
         return float(min(1.0, 2.0 * ways[: lower + 1].sum() / math.comb(a + b, small)))
 
-    return pd.Series([one(*row) for row in zip(u, n1.astype(int), n0.astype(int))])
+    return pd.Series([one(*row) for row in zip(u, n1.fillna(0).astype(int), n0.fillna(0).astype(int))])
 
 
 def mann_whitney(
@@ -132,7 +134,8 @@ def mann_whitney(
     ranked = ranked_values(value_counts(df, value, arm), rows_per_slice)
     tied = (F.col("n1") + F.col("n0")).cast("double")
     sums = ranked.agg(
-        F.max("total1").alias("n_treated"), F.max("total0").alias("n_control"),
+        F.coalesce(F.max("total1"), F.lit(0)).alias("n_treated"),
+        F.coalesce(F.max("total0"), F.lit(0)).alias("n_control"),
         median_of_counts("value", "n1", "below1", "total1").alias("median_treated"),
         median_of_counts("value", "n0", "below0", "total0").alias("median_control"),
         F.sum(F.col("midrank") * F.col("n1")).alias("__r1"),
@@ -146,15 +149,17 @@ def mann_whitney(
     z = F.try_divide(larger - n1 * n0 / 2.0 - 0.5, spread)
     # all values tied: the ranks carry no information
     normal_p = F.when(spread > 0, F.least(F.lit(1.0), 2.0 * (1.0 - dist.normal_cdf(z)))).otherwise(1.0)
-    is_exact = (
-        (F.least(n1, n0) <= EXACT_SMALL_ARM) & (F.col("__ties") == 0) & (n1 * n0 <= EXACT_TABLE_LIMIT)
+    is_exact = F.coalesce(
+        (F.least(n1, n0).between(1, EXACT_SMALL_ARM)) & (F.col("__ties") == 0) & (n1 * n0 <= EXACT_TABLE_LIMIT),
+        F.lit(False),
     )
+    tested = (n1 > 0) & (n0 > 0)
     # the UDF sees every row, so other rows hand it an empty problem
     sizes = [F.when(is_exact, F.col(c)).otherwise(0) for c in ("n_treated", "n_control")]
     exact_p = _exact_rank_p("u_statistic", *sizes)
     return u.select(
         "n_treated", "n_control", "median_treated", "median_control", "u_statistic",
-        F.when(is_exact, exact_p).otherwise(normal_p).alias("p_value"),
+        F.when(is_exact, exact_p).when(tested, normal_p).alias("p_value"),  # NULL without both arms
     )
 
 

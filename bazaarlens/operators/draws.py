@@ -91,11 +91,14 @@ def bootstrap_cells(cells: DataFrame, draws: int, seed: int = 0, chains: int = 4
 
 
 def bootstrap_effects(cells: DataFrame, draws: int, seed: int = 0, chains: int = 4) -> DataFrame:
-    """Draws of the per-category log-odds difference-in-differences."""
+    """Draws of the per-category log-odds difference-in-differences.
+
+    Twelve decimals are kept, so that cells with equal odds give exactly 0.
+    """
     drawn = bootstrap_cells(cells, draws, seed, chains)
     effects = category_did_logit(drawn, keys=["chain", "draw"])
     return effects.select(
-        F.lit("did_logit").alias("param"), "category", "chain", "draw", F.col("effect").alias("value")
+        F.lit("did_logit").alias("param"), "category", "chain", "draw", F.round("effect", 12).alias("value")
     )
 
 

@@ -78,11 +78,11 @@ FROM raw_items""")
 
 _cte("raw_reviews", """
 SELECT o_orderkey * 10 AS review_id, o_orderkey AS order_id,
-  1 + (o_orderkey * 31 % 97) % 5 AS review_score,
+  CAST(1 + (o_orderkey * 31 % 97) % 5 AS INTEGER) AS review_score,
   o_orderdate + INTERVAL 28 DAY AS created, o_orderdate + INTERVAL 30 DAY AS answered
 FROM orders WHERE o_orderkey % 10 <> 0
 UNION ALL
-SELECT o_orderkey * 10 + 1, o_orderkey, 1 + (o_orderkey * 17 % 89) % 5,
+SELECT o_orderkey * 10 + 1, o_orderkey, CAST(1 + (o_orderkey * 17 % 89) % 5 AS INTEGER),
   o_orderdate + INTERVAL 31 DAY, o_orderdate + INTERVAL 33 DAY
 FROM orders WHERE o_orderkey % 25 = 1""")
 

@@ -201,9 +201,9 @@ SELECT * EXCLUDE (day) REPLACE (round(first_subtotal + 1e-8, 4) AS first_subtota
 FROM (SELECT *, 0 AS day FROM (SELECT * FROM revenue_rows))""")
 _sql("review_frame", _replace("review_rows", payment_total=4, items_subtotal=4))
 _sql("revenue_summary", f"""
-SELECT count(*) AS customers, count_if(has_repeat) AS repeaters,
+SELECT count(*) AS customers, count(*) FILTER (has_repeat) AS repeaters,
   {r("avg(CASE WHEN has_repeat THEN 1.0 ELSE 0.0 END)", 6, "repeat_share")},
-  count_if(treatment = 1) AS treated, count_if(eligible = 1) AS eligible, count_if(post = 1) AS post,
+  count(*) FILTER (treatment = 1) AS treated, count(*) FILTER (eligible = 1) AS eligible, count(*) FILTER (post = 1) AS post,
   count(DISTINCT first_category) AS categories,
   {r("avg(CASE WHEN has_repeat THEN repeat_revenue END)", 4, "avg_spend_if_repeat")}
 FROM revenue_rows""")
@@ -238,7 +238,7 @@ def phi(z: str) -> str:
 
 
 def two_sided(z: str) -> str:
-    return f"least(1.0, 2.0 * {phi(f'abs({z})')})"
+    return f"(CASE WHEN ({z}) IS NOT NULL THEN least(1.0, 2.0 * {phi(f'abs({z})')}) END)"
 
 
 def cdf(z: str) -> str:
@@ -254,8 +254,8 @@ FROM (SELECT *, rate_treated - rate_control AS diff,
   FROM (SELECT *, successes_treated / CAST(n_treated AS DOUBLE) AS rate_treated,
           successes_control / CAST(n_control AS DOUBLE) AS rate_control,
           (successes_treated + successes_control) / CAST(n_treated + n_control AS DOUBLE) AS pool
-    FROM (SELECT count_if(treatment = 1) AS n_treated, count_if(treatment = 1 AND is_on_time) AS successes_treated,
-            count_if(treatment = 0) AS n_control, count_if(treatment = 0 AND is_on_time) AS successes_control
+    FROM (SELECT count(*) FILTER (treatment = 1) AS n_treated, count(*) FILTER (treatment = 1 AND is_on_time) AS successes_treated,
+            count(*) FILTER (treatment = 0) AS n_control, count(*) FILTER (treatment = 0 AND is_on_time) AS successes_control
           FROM frame)))"""
 _sql("ab_two_proportion_z", f"""
 SELECT n_treated, n_control, successes_treated, successes_control,
@@ -275,7 +275,7 @@ FROM (SELECT *, diff / se AS t, pow(a + b, 2) / (a * a / (n_treated - 1) + b * b
             avg(repeat_revenue) FILTER (treatment = 0) AS mean_control,
             var_samp(repeat_revenue) FILTER (treatment = 1) AS v1,
             var_samp(repeat_revenue) FILTER (treatment = 0) AS v0,
-            count_if(treatment = 1) AS n_treated, count_if(treatment = 0) AS n_control FROM revenue_rows))) m"""
+            count(*) FILTER (treatment = 1) AS n_treated, count(*) FILTER (treatment = 0) AS n_control FROM revenue_rows))) m"""
 # its 97.5% point by sixty bisections of the same integral
 _sql("ab_welch_t", f"""
 SELECT n_treated, n_control, {r("mean_treated", 4)}, {r("mean_control", 4)}, {r("diff", 4)}, {r("t", 6)},
@@ -295,12 +295,12 @@ FROM (SELECT w.*, (WITH RECURSIVE halving(step, low, high) AS (
 def _rank_test(source: str, value: str) -> str:
     return f"""
 SELECT n_treated, n_control, median_treated, median_control, u AS u_statistic,
-  least(1.0, 2.0 * (1.0 - {cdf("z")})) AS p_value
+  CASE WHEN nn > 0 THEN least(1.0, 2.0 * (1.0 - {cdf("z")})) END AS p_value
 FROM (SELECT *, (greatest(u, nn - u) - nn / 2.0 - 0.5)
           / sqrt(nn / 12.0 * (n + 1.0 - ties / (n * (n - 1.0)))) AS z
   FROM (SELECT *, r1 - n_treated * (n_treated + 1.0) / 2.0 AS u, CAST(n_treated AS DOUBLE) * n_control AS nn,
           CAST(n_treated + n_control AS DOUBLE) AS n
-    FROM (SELECT count_if(treatment = 1) AS n_treated, count_if(treatment = 0) AS n_control,
+    FROM (SELECT count(*) FILTER (treatment = 1) AS n_treated, count(*) FILTER (treatment = 0) AS n_control,
             CAST(median(v) FILTER (treatment = 1) AS DOUBLE) AS median_treated,
             CAST(median(v) FILTER (treatment = 0) AS DOUBLE) AS median_control,
             sum(CASE WHEN treatment = 1 THEN lo + (same - 1) / 2.0 END) AS r1,
@@ -327,7 +327,7 @@ FROM (SELECT CAST(max(total) AS BIGINT) AS n, sum(pow(k - rows_n * cols_n / tota
 _sql("ab_chi_square", f"SELECT n, {r('chi2', 6)}, df, {r('p_value', 6)} FROM ({CHI})")
 _sql("ab_crosstab", "SELECT treatment, review_score, count(*) AS n FROM review_rows GROUP BY ALL")
 _sql("ab_crosstab_wide", "SELECT treatment, " + ", ".join(
-    f"count_if(review_score = {k}) AS score_{k}" for k in range(1, 6)) + " FROM review_rows GROUP BY treatment")
+    f"count(*) FILTER (review_score = {k}) AS score_{k}" for k in range(1, 6)) + " FROM review_rows GROUP BY treatment")
 
 
 def _melt(sub: str, test: str, outcome: str, metrics: str) -> str:
@@ -353,7 +353,7 @@ _CELLS = (("00", 0, 0), ("01", 0, 1), ("10", 1, 0), ("11", 1, 1))
 
 def did(source: str, success: str) -> str:
     counts = ", ".join(
-        f"count_if(eligible = {e} AND post = {p} AND {success}) AS k_{c}, count_if(eligible = {e} AND post = {p}) AS n_{c}"
+        f"count(*) FILTER (eligible = {e} AND post = {p} AND {success}) AS k_{c}, count(*) FILTER (eligible = {e} AND post = {p}) AS n_{c}"
         for c, e, p in _CELLS)
     rates = ", ".join(f"k_{c} / CAST(n_{c} AS DOUBLE) AS rate_{c}, ln(k_{c} / CAST(n_{c} - k_{c} AS DOUBLE)) AS l_{c}" for c, _, _ in _CELLS)
     variance = " + ".join(f"1.0 / k_{c} + 1.0 / (n_{c} - k_{c})" for c, _, _ in _CELLS)
@@ -475,9 +475,9 @@ FROM ({_independence("basket|month", "least(floor(items_subtotal / 100000), 4)",
 # ------------------------------------------------------- pooled effects ------------
 def _logit(cells: list[tuple[str, int]], success: str) -> str:
     effect = " + ".join(
-        f"({sign}) * ln((count_if({c} AND {success}) + 0.5) / (count_if({c} AND NOT {success}) + 0.5))" for c, sign in cells)
+        f"({sign}) * ln((count(*) FILTER ({c} AND {success}) + 0.5) / (count(*) FILTER ({c} AND NOT {success}) + 0.5))" for c, sign in cells)
     variance = " + ".join(
-        f"1.0 / (count_if({c} AND {success}) + 0.5) + 1.0 / (count_if({c} AND NOT {success}) + 0.5)" for c, _ in cells)
+        f"1.0 / (count(*) FILTER ({c} AND {success}) + 0.5) + 1.0 / (count(*) FILTER ({c} AND NOT {success}) + 0.5)" for c, _ in cells)
     return f"{effect} AS effect, {variance} AS variance"
 
 
@@ -554,7 +554,7 @@ _sql("ordinal_effects", _replace(f"({ORDINAL})", **{c: 6 for c in _POOL}))
 _sql("ordinal_cutpoints", f"""
 SELECT threshold, {r("k - first_value(k) OVER (ORDER BY threshold)", 6, "cutpoint")},
   {r("k - lag(k) OVER (ORDER BY threshold)", 6, "gap")}
-FROM ({" UNION ALL ".join(f"SELECT {k} AS threshold, ln((count_if(score_index < {k}) + 0.5) / (count_if(score_index >= {k}) + 0.5)) AS k FROM review_rows" for k in range(1, 5))})""")
+FROM ({" UNION ALL ".join(f"SELECT {k} AS threshold, ln((count(*) FILTER (score_index < {k}) + 0.5) / (count(*) FILTER (score_index >= {k}) + 0.5)) AS k FROM review_rows" for k in range(1, 5))})""")
 SCENARIOS = f"""
 SELECT e.*, s.prior, s.factor FROM ({ON_TIME}) e
 CROSS JOIN (VALUES ('estimated', 1.0), ('halved', 0.5), ('fixed_0.04', NULL)) s(prior, factor)"""
@@ -629,7 +629,7 @@ POISSON = """pois AS (SELECT m, j, sum(exp(-m + j * ln(m) - lgamma(j + 1))) OVER
   FROM (SELECT CAST(a.m AS DOUBLE) AS m, b.j FROM range(1, 31) a(m) CROSS JOIN range(100) b(j)))"""
 KEYS = ["category", "eligible", "post"]
 OT_CELLS = """ot_cells AS (SELECT category_en AS category, eligible, post, count(*) AS trials,
-  count_if(is_on_time) AS successes, count_if(NOT is_on_time) AS failures FROM frame GROUP BY 1, 2, 3)"""
+  count(*) FILTER (is_on_time) AS successes, count(*) FILTER (NOT is_on_time) AS failures FROM frame GROUP BY 1, 2, 3)"""
 
 
 def with_draws(body: str, base: str, *extra: str) -> str:
@@ -648,7 +648,7 @@ def _signed_draws() -> str:
             return f"coalesce(sum({c}) FILTER (eligible = {e} AND post = {p}), 0) + 0.5"
         return f"({sign}) * ln(({pick('successes')}) / ({pick('failures')}))"
     body = " + ".join(term(e, p, 1 if e == p else -1) for _, e, p in _CELLS)
-    return f"""effect_draws AS (SELECT 'did_logit' AS param, category, chain, draw, {body} AS value
+    return f"""effect_draws AS (SELECT 'did_logit' AS param, category, chain, draw, round({body}, 12) AS value
   FROM ot_draws GROUP BY category, chain, draw)"""
 
 
