@@ -55,6 +55,8 @@ def text_or_empty(name: str = "text") -> Column:
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of all texts in a row (A-Z lower-cased if asked), and each text's number of words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a copy whose offsets begin at 0: lower-casing a slice gives wrong offsets in some Arrow versions
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)])
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
