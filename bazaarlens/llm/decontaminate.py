@@ -28,12 +28,54 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingles(width: int, hashed: bool) -> Column:
-    """Distinct shingles of the word column `w`, as 64-bit hashes or as strings."""
-    at = ", ".join(f"get(w, i + {k})" for k in range(width))
-    body = f"xxhash64({at})" if hashed else f"concat_ws(' ', {at})"
-    none = "array_repeat(0L, 0)" if hashed else "array_repeat('', 0)"
-    return F.expr(f"if(size(w) >= {width}, array_distinct(transform(sequence(0, size(w) - {width}), i -> {body})), {none})")
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once per row; a plain column would be pasted into lambdas and computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shingles(words: Column, width: int, hashed: bool) -> Column:
+    """Distinct shingles of an array of words, as 64-bit hashes or as strings; none if there are fewer words."""
+
+    def of(w: Column) -> Column:
+        def body(i: Column) -> Column:
+            run = [F.get(w, i + k) for k in range(width)]
+            return F.xxhash64(*run) if hashed else F.concat_ws(" ", *run)
+
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), body))
+
+    empty = F.array_repeat(F.lit(0).cast("long") if hashed else F.lit(""), 0)
+    return let(words, lambda w: F.when(F.size(w) >= width, of(w)).otherwise(empty))
+
+
+def doc_marks(hashes: Column) -> Column:
+    """(h, least, bits) per hash: whether it is the minimum of its bin when the document has 2^bits bins."""
+
+    def of(h: Column) -> Column:
+        bits = F.least(F.lit(60), F.ceil(F.log2(F.size(h).cast("double"))).cast("int") + BINS_LOG2)
+
+        def mark(b: Column) -> Column:
+            def bin_(x: Column) -> Column:
+                return F.call_function("shiftright", x, 64 - b)
+
+            return F.transform(
+                h, lambda x, i: F.struct(x.alias("h"), ((i == 0) | (bin_(x) != bin_(F.get(h, i - 1)))).alias("least"), b.alias("bits"))
+            )
+
+        return let(bits, mark)
+
+    return let(F.sort_array(hashes), of)
+
+
+def item_marks(hashes: Column) -> Column:
+    """(h, shared, few) per hash: bits shared with the hash before, so it is a bin minimum beyond 2^shared bins."""
+
+    def of(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.struct(
+            x.alias("h"), F.when(i == 0, -1).otherwise(64 - F.length(F.bin(x.bitwiseXOR(F.get(h, i - 1))))).alias("shared"),
+            (F.size(h) < FEW).alias("few"),
+        ))
+
+    return let(F.sort_array(hashes), of)
 
 
 def guarded(small: DataFrame) -> DataFrame:
@@ -52,21 +94,9 @@ def candidates(docs: DataFrame, items: DataFrame, widths: list[int]) -> DataFram
     """Distinct (doc_id, item_id) with an equal MinHash bin."""
     out = None
     for width in widths:
-        of_items = items.where(F.col("width") == width).select("item_id", F.sort_array(shingles(width, True)).alias("h"))
-        # bits shared with the hash before: it is a bin minimum for any number of bins beyond 2^shared
-        signature = of_items.select(
-            "item_id", F.expr(f"size(h) < {FEW}").alias("few"),
-            F.explode(F.expr("transform(h, (x, i) -> struct(x AS h, if(i = 0, -1, 64 - length(bin(x ^ get(h, i - 1)))) AS shared))")).alias("s"),
-        ).select("item_id", "few", "s.h", "s.shared")
-        of_docs = docs.select("doc_id", F.sort_array(shingles(width, True)).alias("h")).where("size(h) > 0").withColumn(
-            "bits", F.expr(f"least(60, cast(ceil(log2(size(h))) AS int) + {BINS_LOG2})")
-        )
-        marked = of_docs.select(
-            "doc_id", "bits",
-            F.explode(F.expr(
-                "transform(h, (x, i) -> struct(x AS h, i = 0 OR shiftright(x, 64 - bits) <> shiftright(get(h, i - 1), 64 - bits) AS least))"
-            )).alias("s"),
-        ).select("doc_id", "bits", "s.h", "s.least")
+        of_items = items.where(F.col("width") == width)
+        signature = of_items.select("item_id", F.explode(item_marks(shingles(F.col("w"), width, True))).alias("s")).select("item_id", "s.*")
+        marked = docs.select("doc_id", F.explode(doc_marks(shingles(words_of(F.col("t")), width, True))).alias("s")).select("doc_id", "s.*")
         found = marked.join(guarded(signature), "h").where("few OR (least AND shared < bits)").select("doc_id", "item_id")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
@@ -77,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
     spark = docs.sparkSession
     sets = item_sets(items, width)
     widths = sorted(r["width"] for r in sets.select("width").distinct().collect())
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", words_of(text_or_empty()).alias("w"))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("t"))
     kind = {f.name: f.dataType.simpleString() for f in (*texts.schema, *sets.schema)}
     if not widths:
         return spark.createDataFrame(
@@ -87,8 +117,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
     held = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     matches, sizes = None, None
     for width_ in widths:
-        wanted = sets.where(F.col("width") == width_).select("item_id", F.explode(shingles(width_, False)).alias("shingle"))
-        there = held.select("doc_id", F.explode(shingles(width_, False)).alias("shingle"))
+        wanted = sets.where(F.col("width") == width_).select("item_id", F.explode(shingles(F.col("w"), width_, False)).alias("shingle"))
+        there = held.select("doc_id", F.explode(shingles(words_of(F.col("t")), width_, False)).alias("shingle"))
         found = there.join(guarded(wanted), "shingle").select("doc_id", "item_id", "shingle")
         size = wanted.select("item_id", "shingle")
         matches = found if matches is None else matches.unionByName(found)

@@ -84,13 +84,13 @@ ORACLE: dict[str, str] = {
     "op7_lines": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         l AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM d),
-        k AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM l),
-        m AS (SELECT *, list_transform(w, x -> CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS g FROM k WHERE len(w) >= 3),
+        k AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+        m AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS g FROM k WHERE len(w) >= 3),
         f AS (SELECT doc_id, t, place, line, g, len(g) AS n, g[1:3] AS lead FROM m),
         p AS (SELECT n, lead, line, any_value(g) AS g, count(DISTINCT t) AS texts FROM f GROUP BY n, lead, line),
-        e AS (SELECT n, lead, line, texts, unnest(g) AS token, generate_subscripts(g, 1) AS at FROM p),
-        s AS (SELECT *, sum(texts) OVER (PARTITION BY n, lead, at, token) AS support FROM e),
-        c AS (SELECT n, lead, line, list(CASE WHEN support >= 3 THEN token ELSE '<*>' END ORDER BY at) AS template,
+        e AS (SELECT n, lead, line, texts, unnest(g) AS token, generate_subscripts(g, 1) AS pos FROM p),
+        s AS (SELECT *, sum(texts) OVER (PARTITION BY n, lead, pos, token) AS support FROM e),
+        c AS (SELECT n, lead, line, list(CASE WHEN support >= 3 THEN token ELSE '<*>' END ORDER BY pos) AS template,
                      avg(CASE WHEN support >= 3 AND token <> '<*>' THEN 1.0 ELSE 0.0 END) AS share
               FROM s GROUP BY n, lead, line),
         u AS (SELECT f.doc_id, f.t, f.place, c.n, c.lead, c.template FROM f JOIN c USING (n, lead, line) WHERE share >= 0.8),
@@ -102,13 +102,13 @@ ORACLE: dict[str, str] = {
         GROUP BY l.doc_id, l.t
     """,
     "op8_leaks": """
-        WITH b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+        WITH b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
         i AS (SELECT item_id, least(len(w), 5) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2),
-                  j -> array_to_string(w[j : j + least(len(w), 5) - 1], ' ')))) AS shingle FROM b WHERE len(w) > 0),
-        d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents),
+                  lambda j: array_to_string(w[j : j + least(len(w), 5) - 1], ' ')))) AS shingle FROM b WHERE len(w) > 0),
+        d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
         k AS (SELECT DISTINCT k FROM i),
         s AS (SELECT doc_id, k.k, unnest(list_transform(range(1, len(w) - k.k + 2),
-                  j -> array_to_string(w[j : j + k.k - 1], ' '))) AS shingle FROM d JOIN k ON len(w) >= k.k),
+                  lambda j: array_to_string(w[j : j + k.k - 1], ' '))) AS shingle FROM d JOIN k ON len(w) >= k.k),
         z AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
         h AS (SELECT s.doc_id, i.item_id, count(DISTINCT s.shingle) AS shared FROM s JOIN i ON s.k = i.k AND s.shingle = i.shingle GROUP BY ALL)
         SELECT h.doc_id, h.item_id, h.shared, z.item_shingles, h.shared / z.item_shingles AS containment
