@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import ann, chat, decontaminate, langid, line_dedup, near_dedup, packing, token_counts, toxicity
+from bazaarlens.llm import ann, chat, decontaminate, langid, line_dedup, lm, near_dedup, packing, token_counts, toxicity
 from bazaarlens.llm.common import fold, read_table
 
 
@@ -14,6 +14,10 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False))
 
 
+def op1_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read_table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.learn_languages(docs.where(fold(F.col("doc_id"), 5) != 0).select("text", "lang"))
@@ -69,6 +73,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_likelihood": op1_likelihood,
     "op2_language": op2_language,
     "op3_chat": op3_chat,
     "op4_tokens": op4_tokens,
