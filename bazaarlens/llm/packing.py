@@ -49,7 +49,7 @@ class Example:
         return max(0, min(length, len(self.ids)) - self.prompt)
 
 
-def make_encoder(path: str, end_id: int, memory: int = 400_000):
+def make_encoder(path: str, end_id: int, memory: int = 1_000_000):
     """A function from texts to arrays of ids (end id last), equal to the library's on whole texts.
 
     The tokenizer drops white space and never joins words across it, so the chunks between blanks and line feeds are
