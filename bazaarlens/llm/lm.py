@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import ship, slices, split_words, store, text_or_empty, unpack
 
-CLASS_SIZE, SHORT, TAILS, HIDDEN, STEPS = 64, 4096, 24, 32, 16
+CLASS_SIZE, SHORT, TAILS, HIDDEN, STEPS = 64, 4096, 16, 24, 16
 HEADS = SHORT // CLASS_SIZE
 SYMBOLS, CLASSES, GRAM_BUCKETS = SHORT + TAILS, HEADS + TAILS, 1024
 SHAPES = {
@@ -197,17 +197,20 @@ def new_weights(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return weights
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def step(w, symbols, h):
     """One step of the unit: new state, and what backpropagation needs."""
-    x = w["x"][symbols] + w["b"]
+    x = w["x"].take(symbols, axis=0)
+    x += w["b"]
     a = h @ w["u"]
-    gates = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+    gates, n = x[:, : 2 * HIDDEN], x[:, 2 * HIDDEN :]
+    gates += a[:, : 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+    n += r * a[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
     return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
 
 
@@ -218,16 +221,20 @@ def class_of(targets: np.ndarray) -> np.ndarray:
 def log_likelihood(w, states, targets) -> np.ndarray:
     """Natural log of the probability of each target symbol, by class and then within the class."""
     group = class_of(targets)
-    logits = states @ w["wc"] + w["bc"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(targets)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    logits = states @ w["wc"]
+    logits += w["bc"]
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    out = logits[np.arange(len(targets)), group]
+    np.exp(logits, out=logits)
+    out -= np.log(logits.sum(axis=1))
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(HEADS + 1))
     for head in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[head] : bounds[head + 1]]
         inner = states[rows] @ w["wi"][head] + w["bi"][head]
-        top = inner.max(axis=1)
-        out[rows] += inner[np.arange(len(rows)), targets[rows] % CLASS_SIZE] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        inner -= inner.max(axis=1, keepdims=True)
+        out[rows] += inner[np.arange(len(rows)), targets[rows] % CLASS_SIZE] - np.log(np.exp(inner).sum(axis=1))
     return out
 
 
@@ -323,7 +330,7 @@ def symbols_of(texts: pa.Array, vocabulary: Vocabulary):
     return coded, symbols, counts, listed, sizes
 
 
-def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 16, rounds: int = 3, shard_tokens: int = 1_500_000) -> dict[str, np.ndarray]:
+def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 24, rounds: int = 2, shard_tokens: int = 1_500_000) -> dict[str, np.ndarray]:
     """Train on one in `share` of the texts: copies learn on parts of about `shard_tokens` tokens and are averaged each round."""
     spark = texts.sparkSession
     shared = ship(spark, vocabulary)
@@ -354,7 +361,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 16, round
             learned = flatten(train(unflatten(unpack(now)), symbols, 0.006 / (1 + turn)))
             yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary()), pa.array([len(symbols)], pa.int64())], ["w", "n"])
 
-        parts = sample.repartition(math.ceil(tokens / shard_tokens), F.xxhash64(F.lit(turn), "pick"))
+        parts = sample.repartition(math.ceil(tokens / shard_tokens))
         copies = parts.mapInArrow(learn, "w binary, n long").rdd.map(lambda r: (np.frombuffer(r["w"], np.float32) * float(r["n"]), r["n"]))
         total, n = copies.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
         weights = (total / n).astype(np.float32)
@@ -363,7 +370,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 16, round
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
 
-def score_symbols(w, symbols: np.ndarray, sizes: np.ndarray, tile: int = 512) -> np.ndarray:
+def score_symbols(w, symbols: np.ndarray, sizes: np.ndarray, tile: int = 1024) -> np.ndarray:
     """Natural log-likelihood of each text's symbols (its end included); texts of like length run side by side."""
     out = np.zeros(len(sizes))
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -422,16 +429,16 @@ def score_rows(batches, vocabulary: Vocabulary, w):
         number += len(sizes)
 
 
-def score_documents(docs: DataFrame, held_out: Column, known_words: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, known_words: int = 200_000, share: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs` (doc_id, text).
 
-    The model learns from the rows for which `held_out` is false.
+    Counts come from all rows for which `held_out` is false, the network's weights from one in `share` of them.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out.alias("held_out"), text_or_empty().alias("content"))
     texts = rows.where("NOT held_out").select("content")
     vocabulary, rare_counts = fit_vocabulary(texts, known_words)
-    model = ship(spark, (vocabulary, fit_network(texts, vocabulary)))
+    model = ship(spark, (vocabulary, fit_network(texts, vocabulary, share)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = store(rows.mapInArrow(
         lambda batches: score_rows(batches, *unpack(model)),
