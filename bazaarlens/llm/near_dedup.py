@@ -8,9 +8,9 @@ estimated from their registers, with the chance agreement of the compressed regi
 below the threshold are confirmed on their full sets.
 
 Documents with equal sets form a class at once. Pairs are never listed for a whole bucket: in each round every member not
-yet in the component of its bucket's centre is compared with that centre, and components are contracted; once few pairs of
-different components are left, all of those are compared. Every pair that shares a band and is not connected otherwise is so
-compared, whatever the size of its bucket. With 32 bands, a pair at similarity 0.8 shares none with probability 5e-8.
+yet in the component of its bucket's centre is compared with that centre, and components are contracted. After that the
+registers of all members of different components in one bucket are compared in blocks, and only plausible pairs come out.
+Every pair that shares a band and is not connected otherwise is so compared, whatever the size of its bucket. With 32 bands, a pair at similarity 0.8 shares none with probability 5e-8.
 
 Null doc_id: its text counts for no component; it is kept if no other row has its set. Rows that share a doc_id are one
 document. An empty table gives no rows.
@@ -31,6 +31,8 @@ from bazaarlens.llm.components import connected_components
 REGISTERS, ROWS_PER_BAND, MANTISSA = 128, 4, 10
 #: estimates this far below the threshold are not confirmed: over five standard deviations of 128 registers at 0.8
 MARGIN = 0.2
+#: bands whose buckets have centres in the first round: enough to tie large groups together before all bands are used
+FIRST_BANDS = 3
 
 with np.errstate(over="ignore"):
     _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -129,6 +131,44 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(work, "a long, b long")
 
 
+def plausible_in_buckets(placed: DataFrame, sizes: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose corrected estimate is not clearly below the threshold.
+
+    A bucket is cut into blocks by hash, and registers are compared for each pair of blocks; only plausible pairs come out.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, comp, n, part = (table.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "part"))
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().view("<u2").reshape(len(rep), -1)
+        one, other = (np.flatnonzero(part == p) for p in (table.column("p")[0].as_py(), table.column("q")[0].as_py()))
+        out_a, out_b = [], []
+        for start in range(0, len(one), 32):
+            some = one[start : start + 32]
+            ratio = np.minimum(n[some][:, None], n[other]) / np.maximum(n[some][:, None], n[other])
+            x, y = np.nonzero((comp[some][:, None] != comp[other]) & (rep[some][:, None] != rep[other]) & (100 * ratio >= percent - 1e-6))
+            x, y = some[x], other[y]
+            for at in range(0, len(x), 65_536):
+                i, j = x[at : at + 65_536], y[at : at + 65_536]
+                equal = (keys[i] == keys[j]).mean(axis=1)
+                raw = equal >= percent / 100 - MARGIN  # the correction only lowers an estimate
+                i, j, equal = i[raw], j[raw], equal[raw]
+                chance = chance_agreement(n[i], n[j])
+                near = (equal - chance) / (1 - chance) >= percent / 100 - MARGIN
+                out_a.append(np.minimum(rep[i], rep[j])[near])
+                out_b.append(np.maximum(rep[i], rep[j])[near])
+        found = np.unique(np.stack([np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b)]), axis=1)
+        return pa.table({"a": found[0], "b": found[1]})
+
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(9), "rep"), F.greatest(parts, F.lit(1))).cast("int")
+    rows = placed.join(sizes, "bucket").select("bucket", "rep", "comp", own.alias("part"), parts.alias("parts"))
+    rows = rows.join(classes.select("rep", "n_shingles", "bands"), "rep")
+    spread = rows.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.withColumn("p", F.least("part", "far")).withColumn("q", F.greatest("part", "far")).drop("far", "parts")
+    return spread.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
 
@@ -145,10 +185,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, open_pairs: float = 2.0, rounds: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
-    `open_pairs` and `rounds` choose only when centres give way to all remaining pairs; the result is the same.
+    `rounds` is the number of rounds with centres before all remaining pairs are compared; the result is the same.
     """
     spark = docs.sparkSession
     marks = store(signatures(docs, width), "signatures")
@@ -156,10 +196,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, open_pai
         marks.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes",
     )
-    keyed = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    keyed = classes.select("rep", F.posexplode("bands").alias("band", "key")).select(
+        "rep", F.xxhash64("band", "key").alias("bucket"), (F.col("band") < FIRST_BANDS).alias("early")
+    )
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
     active = store(keyed.join(shared, "bucket").distinct(), "buckets")
-    size = active.count()
+    some = not active.isEmpty()
     labels = store(active.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
     chosen = active.select(F.col("rep").alias("doc_id")).distinct()
 
@@ -174,31 +216,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, open_pai
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("content"))
     sets = None
     tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(rounds + 1) if size else ():
-        placed = active.join(labels, "rep")
+    for turn in range(rounds + 1) if some else ():
+        placed = (active if turn else active.where("early")).join(labels, "rep").drop("early")
         counts = placed.groupBy("bucket", "comp").count().groupBy("bucket").agg(
             F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same")
         )
-        still = (counts.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0) if turn else float("inf")
-        if not still:
+        open_ = counts.where("n * n > same").select("bucket", "n")
+        if turn and open_.isEmpty():
             break
-        last = still <= open_pairs * size or turn == rounds
+        last = turn == rounds
         if last:
-            other = placed.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = placed.withColumnRenamed("rep", "a").join(other, "bucket").where("comp < cb")
+            pairs = plausible_in_buckets(placed, open_, classes, percent)
         else:
             order = F.struct(F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0).alias("o"), "rep", "comp")
             centres = placed.groupBy("bucket").agg(F.min(order).alias("c")).select(
                 "bucket", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb")
             )
             pairs = placed.withColumnRenamed("rep", "a").join(centres, "bucket").where("comp <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = store(pairs if last else plausible(pairs, classes, percent), "pairs")
         tested = tested.unionByName(pairs)
         if sets is None:
             kinds = "doc_id long, hashes array<bigint>"
             sets = store(texts.join(chosen, "doc_id", "left_semi").mapInArrow(hashes, kinds), "sets")
-        links = confirmed(plausible(pairs, classes, percent), sets, percent)
+        links = confirmed(pairs, sets, percent)
         ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         roots = connected_components(ends)
         labels = store(
