@@ -139,7 +139,7 @@ def rhat(draws: DataFrame) -> DataFrame:
     return across.select("param", "category", "chains", F.sqrt(F.try_divide(pooled, F.col("within"))).alias("rhat"))
 
 
-def ess(draws: DataFrame, max_lag: int = 100) -> DataFrame:
+def ess(draws: DataFrame) -> DataFrame:
     """Effective sample size from chain autocorrelations, summed in pairs while positive.
 
     A chain is sorted as one array: its length is the number of draws, a parameter.
@@ -149,7 +149,7 @@ def ess(draws: DataFrame, max_lag: int = 100) -> DataFrame:
         series.alias("x"), F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("n")
     )
     centred = chains.withColumn("x", F.transform("x", lambda v: v - F.col("m")))
-    lags = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n") - 2).cast("int"))
+    lags = F.sequence(F.lit(0), (F.col("n") - 2).cast("int"))
 
     def autocovariance(lag: Column) -> Column:
         size = (F.col("n") - lag).cast("int")

@@ -326,10 +326,9 @@ def weekly_by_eligibility(facts: DataFrame, threshold: float) -> DataFrame:
 def freight_cells(facts: DataFrame, spec: TreatmentSpec) -> DataFrame:
     """Orders and mean freight / subtotal / payment by (eligible, post)."""
     known = facts.dropna(subset=["items_subtotal", "items_freight", "purchase_week"])
-    return known.groupBy(
-        (F.col("items_subtotal") >= spec.threshold).alias("eligible"),
-        (spec.post() == 1).alias("post"),
-    ).agg(
+    # flags first: a grouping expression may not hold the scalar subquery of the cutover
+    flagged = known.withColumns({"eligible": F.col("items_subtotal") >= spec.threshold, "post": spec.post() == 1})
+    return flagged.groupBy("eligible", "post").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.avg("items_freight").alias("avg_freight"),
         F.avg("items_subtotal").alias("avg_subtotal"),

@@ -584,11 +584,11 @@ _sql("effects_side_by_side", "SELECT coalesce(" + ", ".join(f"{n}.category" for
     + f" FULL JOIN ({_OUTCOMES['spend']}) spend ON spend.category = coalesce(on_time.category, repeat.category)"
     + f" FULL JOIN ({_OUTCOMES['review']}) review ON review.category = coalesce(on_time.category, repeat.category, spend.category)")
 _LISTS = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT category, '{n}' AS outcome FROM ({_OUTCOMES[n]}) ORDER BY shrunk DESC, category LIMIT 8)"
+    f"SELECT * FROM (SELECT category, '{n}' AS outcome FROM ({_OUTCOMES[n]}) ORDER BY shrunk DESC, category LIMIT 5)"
     for n in ("on_time", "repeat", "spend"))
 _sql("rollout_shortlist", f"""
 SELECT category, count(*) AS lists, string_agg(outcome, ',' ORDER BY outcome) AS outcomes FROM ({_LISTS})
-WHERE category NOT IN (SELECT category FROM ({ORDINAL}) ORDER BY shrunk, category LIMIT 8)
+WHERE category NOT IN (SELECT category FROM ({ORDINAL}) ORDER BY shrunk, category LIMIT 5)
 GROUP BY category HAVING count(*) >= 2""")
 _sql("cost_benefit", f"""
 SELECT n_orders, {r("avg_freight", 4)}, {r("avg_payment", 4)}, {r("p0", 6, "p_control")}, {r("p1", 6, "p_treated")},

@@ -612,7 +612,7 @@ def _side_by_side(s: Study) -> DataFrame:
 def _shortlist(s: Study) -> DataFrame:
     outcomes = _four_outcomes(s)
     harmed = outcomes.pop("review")
-    return pooling.rollout_shortlist(outcomes, harmed, n=8)
+    return pooling.rollout_shortlist(outcomes, harmed, n=5)
 
 
 @query("cost_benefit")
