@@ -9,7 +9,8 @@ below the threshold are confirmed on their full sets.
 
 Documents with equal sets form a class at once. Pairs are never listed for a whole bucket: in each round every member not
 yet in the component of its bucket's centre is compared with that centre, and components are contracted. After that the
-registers of all members of different components in one bucket are compared in blocks, and only plausible pairs come out.
+registers of members of different components in one bucket are compared in blocks, plausible pairs are confirmed there, and
+only links that tie components together come out.
 Every pair that shares a band and is not connected otherwise is so compared, whatever the size of its bucket. With 32 bands, a pair at similarity 0.8 shares none with probability 5e-8.
 
 Null doc_id: its text counts for no component; it is kept if no other row has its set. Rows that share a doc_id are one
@@ -131,42 +132,60 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(work, "a long, b long")
 
 
-def plausible_in_buckets(placed: DataFrame, sizes: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose corrected estimate is not clearly below the threshold.
+def links_in_buckets(placed: DataFrame, open_: DataFrame, classes: DataFrame, percent: int, block: int = 2048, weight: int = 1_000_000) -> DataFrame:
+    """Confirmed pairs (a, b) that tie together all components with linked members in one bucket.
 
-    A bucket is cut into blocks by hash, and registers are compared for each pair of blocks; only plausible pairs come out.
+    The members of a bucket's largest component meet all others, not each other, and the others meet one another too. Each
+    of the two kinds is cut by hash into blocks of about `block` members and `weight` shingles. In each pair of blocks
+    registers are compared first, and full sets where the estimate is not clearly below the threshold. Members tied
+    already are not compared again, so a pair of blocks gives fewer links than it has members.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         rep, comp, n, part = (table.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "part"))
-        keys = table.column("bands").combine_chunks().flatten().to_numpy().view("<u2").reshape(len(rep), -1)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        registers = keys.view("<u2").reshape(len(rep), -1)
+        sets = table.column("hashes").combine_chunks()
+        flat, starts = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(n)))
+        band, comp = table.column("band")[0].as_py(), comp.copy()
         one, other = (np.flatnonzero(part == p) for p in (table.column("p")[0].as_py(), table.column("q")[0].as_py()))
-        out_a, out_b = [], []
-        for start in range(0, len(one), 32):
-            some = one[start : start + 32]
-            ratio = np.minimum(n[some][:, None], n[other]) / np.maximum(n[some][:, None], n[other])
-            x, y = np.nonzero((comp[some][:, None] != comp[other]) & (rep[some][:, None] != rep[other]) & (100 * ratio >= percent - 1e-6))
-            x, y = some[x], other[y]
-            for at in range(0, len(x), 65_536):
-                i, j = x[at : at + 65_536], y[at : at + 65_536]
-                equal = (keys[i] == keys[j]).mean(axis=1)
-                raw = equal >= percent / 100 - MARGIN  # the correction only lowers an estimate
-                i, j, equal = i[raw], j[raw], equal[raw]
-                chance = chance_agreement(n[i], n[j])
-                near = (equal - chance) / (1 - chance) >= percent / 100 - MARGIN
-                out_a.append(np.minimum(rep[i], rep[j])[near])
-                out_b.append(np.maximum(rep[i], rep[j])[near])
-        found = np.unique(np.stack([np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b)]), axis=1)
-        return pa.table({"a": found[0], "b": found[1]})
-
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(9), "rep"), F.greatest(parts, F.lit(1))).cast("int")
-    rows = placed.join(sizes, "bucket").select("bucket", "rep", "comp", own.alias("part"), parts.alias("parts"))
-    rows = rows.join(classes.select("rep", "n_shingles", "bands"), "rep")
-    spread = rows.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("p", F.least("part", "far")).withColumn("q", F.greatest("part", "far")).drop("far", "parts")
-    return spread.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+        out = []
+        for i in one.tolist():
+            j = other[(comp[other] != comp[i]) & (100 * np.minimum(n[i], n[other]) >= percent * np.maximum(n[i], n[other]))]
+            equal = (registers[i] == registers[j]).mean(axis=1)
+            raw = equal >= percent / 100 - MARGIN  # the correction only lowers an estimate
+            j, equal = j[raw], equal[raw]
+            # a pair is looked at in the first band it shares
+            first = (keys[i] == keys[j]).argmax(axis=1) == band
+            j, equal = j[first], equal[first]
+            if not len(j):
+                continue
+            chance = chance_agreement(np.full(len(j), n[i]), n[j])
+            j = j[(equal - chance) / (1 - chance) >= percent / 100 - MARGIN]
+            mine = flat[starts[i] : starts[i + 1]]
+            for k in j.tolist():
+                if comp[k] == comp[i]:
+                    continue
+                both = len(np.intersect1d(mine, flat[starts[k] : starts[k + 1]], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[k] - both):
+                    out.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                    comp[comp == comp[k]] = comp[i]
+        found = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    def cut(members: str, shingles: str):
+        return F.greatest(F.ceil(F.col(members) / block), F.ceil(F.col(shingles) / weight)).cast("int")
+
+    parts = open_.select("bucket", "major", cut("n_major", "w_major").alias("of_major"), cut("n_minor", "w_minor").alias("of_minor"))
+    is_major = F.col("comp") == F.col("major")
+    dealt = F.xxhash64(F.lit(9), "rep")
+    own = F.when(is_major, F.pmod(dealt, "of_major")).otherwise(F.col("of_major") + F.pmod(dealt, "of_minor")).cast("int")
+    far = F.sequence(F.when(is_major, F.col("of_major")).otherwise(0), F.col("of_major") + F.col("of_minor") - 1)
+    rows = placed.drop("n_shingles").join(parts, "bucket").select("bucket", "band", "rep", "comp", own.alias("part"), F.explode(far).alias("far"))
+    rows = rows.withColumn("p", F.least("part", "far")).withColumn("q", F.greatest("part", "far")).drop("far")
+    rows = rows.join(classes.select("rep", "n_shingles", "bands", "hashes"), "rep")
+    return rows.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,11 +200,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb"))
+    one, two = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("sb"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
     `rounds` is the number of rounds with centres before all remaining pairs are compared; the result is the same.
@@ -196,14 +215,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         marks.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes",
     )
-    keyed = classes.select("rep", F.posexplode("bands").alias("band", "key")).select(
-        "rep", F.xxhash64("band", "key").alias("bucket"), (F.col("band") < FIRST_BANDS).alias("early")
+    keyed = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(
+        "rep", "n_shingles", "band", F.xxhash64("band", "key").alias("bucket")
     )
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
-    active = store(keyed.join(shared, "bucket").distinct(), "buckets")
+    active = store(keyed.join(shared, "bucket"), "buckets")
     some = not active.isEmpty()
     labels = store(active.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
-    chosen = active.select(F.col("rep").alias("doc_id")).distinct()
 
     def hashes(batches):
         for part in slices(batches, 1000):
@@ -211,22 +229,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
             sets = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets))
             )
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), sets], ["rep", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("content"))
     sets = None
-    tested = spark.createDataFrame([], "a long, b long")
     for turn in range(rounds + 1) if some else ():
-        placed = (active if turn else active.where("early")).join(labels, "rep").drop("early")
-        counts = placed.groupBy("bucket", "comp").count().groupBy("bucket").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same")
-        )
-        open_ = counts.where("n * n > same").select("bucket", "n")
-        if turn and open_.isEmpty():
-            break
         last = turn == rounds
+        placed = (active if turn or last else active.where(F.col("band") < FIRST_BANDS)).join(labels, "rep")
+        if sets is None:
+            # a doc_id given to several rows is one document: the row whose set is its class's
+            texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("content"))
+            found = texts.join(labels.select("rep"), "rep", "left_semi").mapInArrow(hashes, "rep long, hashes array<bigint>")
+            sets = store(found.join(classes, "rep").where(F.size("hashes") == F.col("n_shingles")).dropDuplicates(["digest"]), "sets")
         if last:
-            pairs = plausible_in_buckets(placed, open_, classes, percent)
+            counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+            open_ = counts.groupBy("bucket").agg(
+                F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("m")
+            ).where("n > m.n").selectExpr(
+                "bucket", "m.comp AS major", "m.n AS n_major", "m.w AS w_major", "n - m.n AS n_minor", "w - m.w AS w_minor"
+            )
+            links = links_in_buckets(placed, open_, sets, percent)
         else:
             order = F.struct(F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0).alias("o"), "rep", "comp")
             centres = placed.groupBy("bucket").agg(F.min(order).alias("c")).select(
@@ -234,20 +255,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
             )
             pairs = placed.withColumnRenamed("rep", "a").join(centres, "bucket").where("comp <> cb")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs if last else plausible(pairs, classes, percent), "pairs")
-        tested = tested.unionByName(pairs)
-        if sets is None:
-            kinds = "doc_id long, hashes array<bigint>"
-            sets = store(texts.join(chosen, "doc_id", "left_semi").mapInArrow(hashes, kinds), "sets")
-        links = confirmed(pairs, sets, percent)
+            links = confirmed(plausible(pairs, sets, percent), sets, percent)
         ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         roots = connected_components(ends)
         labels = store(
             labels.join(roots.toDF("comp", "root"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "labels"
         )
-        if last:
-            break
     groups = classes.select("digest", "rep").join(labels, "rep", "left").groupBy("digest").agg(
         F.min(F.coalesce("comp", "rep")).alias("comp")
     )
