@@ -290,3 +290,12 @@ def test_map_recovers_ordinal(spark):
     assert fit.cutpoints == pytest.approx(cuts, abs=0.03) and fit.cutpoints[0] == 0.0
     assert got[("delta_bar", None)] == pytest.approx(-0.5, abs=0.05)
     assert got[("eligible", None)] == pytest.approx(-0.3, abs=0.05)
+
+
+def test_rank_counts_by_enumeration_and_for_a_large_arm():
+    for small, large in ((1, 4), (2, 5), (3, 6), (5, 7)):
+        sums = [sum(c) - small * (small - 1) // 2 for c in combinations(range(small + large), small)]
+        for u in range(small * large + 1):
+            assert abtest.lower_rank_count(small, large, u) == sum(s <= u for s in sums)
+    # by symmetry all arrangements lie at or below the largest value
+    assert abtest.lower_rank_count(7, 300_000, 7 * 300_000) == math.comb(300_007, 7)
