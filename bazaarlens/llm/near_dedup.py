@@ -69,6 +69,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def digest_of(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def registers_of(hashes: np.ndarray) -> np.ndarray:
     """The compressed registers (unsigned 16 bits: leading zeros, then mantissa) of a non-empty set."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -98,7 +102,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def work(batches):
         for part in slices(batches, 1000):
             sets = shingle_sets(part.column("content"), width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [digest_of(s) for s in sets]
             keys = [registers_of(s).view("<i8") if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
@@ -209,7 +213,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
 
     `rounds` is the number of rounds with centres before all remaining pairs are compared; the result is the same.
     """
-    spark = docs.sparkSession
     marks = store(signatures(docs, width), "signatures")
     classes = store(
         marks.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
@@ -226,20 +229,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     def hashes(batches):
         for part in slices(batches, 1000):
             sets = [s.view(np.int64) for s in shingle_sets(part.column("content"), width)]
+            digests = pa.array([digest_of(s) for s in sets], pa.binary())
             sets = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets))
             )
-            yield pa.RecordBatch.from_arrays([part.column("rep"), sets], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), digests, sets], ["rep", "digest", "hashes"])
 
     sets = None
     for turn in range(rounds + 1) if some else ():
         last = turn == rounds
         placed = (active if turn or last else active.where(F.col("band") < FIRST_BANDS)).join(labels, "rep")
         if sets is None:
-            # a doc_id given to several rows is one document: the row whose set is its class's
+            # rows that share a doc_id can hold different sets, so the digest tells which is meant
             texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("content"))
-            found = texts.join(labels.select("rep"), "rep", "left_semi").mapInArrow(hashes, "rep long, hashes array<bigint>")
-            sets = store(found.join(classes, "rep").where(F.size("hashes") == F.col("n_shingles")).dropDuplicates(["digest"]), "sets")
+            found = texts.join(labels.select("rep"), "rep", "left_semi").mapInArrow(hashes, "rep long, digest binary, hashes array<bigint>")
+            sets = store(found.join(classes, ["rep", "digest"]).dropDuplicates(["digest"]), "sets")
         if last:
             counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
             open_ = counts.groupBy("bucket").agg(
