@@ -18,9 +18,10 @@ PHI_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 # ------------------------------------------------------------------------------
 SQRT_2PI = math.sqrt(2.0 * math.pi)
-T_FRACTION_TERMS = 300
-T_NORMAL_ABOVE = 20_000.0
-CHI2_NORMAL_ABOVE = 400
+# exp-sinh nodes of integrals over (0, ∞): place and weight of s = exp(π/2 · sinh u)
+_STEP = 1.0 / 24.0
+_NODES = [math.exp(math.pi / 2.0 * math.sinh(k * _STEP)) for k in range(-84, 85)]
+_WEIGHTS = [_STEP * math.pi / 2.0 * math.cosh(k * _STEP) * s for k, s in zip(range(-84, 85), _NODES, strict=True)]
 
 
 def _col(c) -> Column:
@@ -74,32 +75,27 @@ def log_gamma(x) -> Column:
     return shifted - F.log(product)
 
 
-def _incomplete_beta(x: Column, a: Column, b: Column) -> Column:
-    """Regularised I_x(a, b) by its continued fraction, evaluated from the tail."""
-    front = F.exp(
-        log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)
-    ) / a
-
-    def step(below: Column, k: Column) -> Column:
-        m = F.floor(k / 2.0).cast("double")
-        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
-        return F.lit(1.0) + F.when(k % 2 == 0, even).otherwise(odd) / below
-
-    terms = F.sequence(F.lit(T_FRACTION_TERMS), F.lit(1), F.lit(-1))
-    return front / F.aggregate(terms, F.lit(1.0), step)
+def _student_scale(df: Column) -> Column:
+    """ln of the density of Student's t at 0; the difference of ln Γ by its series in 1/df, after a shift by 32."""
+    y = (df + 32.0) / 2.0 - 0.25
+    ratio = F.log(y) / 2.0 + F.lit(1 / 64) / (y * y) - F.lit(5 / 2048) / F.pow(y, F.lit(4.0)) + F.lit(61 / 49152) / F.pow(y, F.lit(6.0))
+    for k in range(16):
+        ratio = ratio - F.log1p(F.lit(1.0) / (df + 2.0 * k))
+    return ratio - F.log(df * math.pi) / 2.0
 
 
 def student_two_sided(t, df) -> Column:
-    """Two-sided p of Student's t with real-valued degrees of freedom."""
+    """Two-sided p of Student's t with real-valued degrees of freedom: the density beyond |t|, integrated by one rule for all df."""
     t, df = F.abs(_col(t)), _col(df)
-    a, b = df / 2.0, F.lit(0.5)
-    x = df / (df + t * t)
-    direct = _incomplete_beta(x, a, b)
-    mirrored = F.lit(1.0) - _incomplete_beta(F.lit(1.0) - x, b, a)
-    by_fraction = F.when(t == 0, F.lit(1.0)).when(x < (a + 1.0) / (a + b + 2.0), direct).otherwise(mirrored)
-    z = t * (F.lit(1.0) - F.lit(0.25) / df) / F.sqrt(F.lit(1.0) + t * t / (df * 2.0))
-    return F.when(df > T_NORMAL_ABOVE, normal_two_sided(z)).otherwise(by_fraction)
+    scale = _student_scale(df)
+
+    def density(node: Column) -> Column:
+        s = t + node["s"]
+        return node["w"] * F.exp(scale - (df + 1.0) / 2.0 * F.log1p(s / df * s))
+
+    nodes = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in zip(_NODES, _WEIGHTS, strict=True)])
+    tail = F.aggregate(nodes, F.lit(0.0), lambda total, node: total + density(node))
+    return F.when(t.isNotNull() & df.isNotNull(), F.least(F.lit(1.0), tail * 2.0))
 
 
 def student_critical(df, alpha: float = 0.05) -> Column:
@@ -112,37 +108,31 @@ def student_critical(df, alpha: float = 0.05) -> Column:
         + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96.0) / F.pow(df, F.lit(2.0))
         + F.lit((3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0) / F.pow(df, F.lit(3.0))
     )
-    log_scale = log_gamma((df + 1.0) / 2.0) - log_gamma(df / 2.0) - F.log(df * math.pi) / 2.0
+    log_scale = _student_scale(df)
 
     def newton(t: Column, _: Column) -> Column:
         density = F.exp(log_scale - (df + 1.0) / 2.0 * F.log1p(t * t / df))
         # halving protects the first steps at very small df
         return F.greatest(t / 2.0, t + (student_two_sided(t, df) - F.lit(alpha)) / (2.0 * density))
 
-    refined = F.aggregate(F.sequence(F.lit(1), F.lit(6)), expansion, newton)
-    return F.when(df > 200.0, expansion).otherwise(refined)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), expansion, newton)
 
 
 def chi_square_upper(x, df) -> Column:
-    """P(X > x) for integer df: finite sums, and a cube-root normal approximation far above."""
+    """P(X > x) for integer df: the finite sum, from its last term down, in logarithms.
+
+    A term is the one after it times (its place, plus one half for odd df) / (x/2).
+    """
     x, df = _col(x), _col(df)
-    half = x / 2.0
-    odd = df % 2 == 1
-    root = F.sqrt(x)
-    count = F.floor(df / 2.0).cast("int")
-
-    def add(state: Column, j: Column) -> Column:
-        divisor = F.when(odd, j + 0.5).otherwise(j.cast("double"))
-        term = state["term"] * half / divisor
-        return F.struct(term.alias("term"), (state["total"] + state["term"]).alias("total"))
-
-    first = F.when(odd, normal_pdf(root) * 2.0 * root).otherwise(F.exp(-half))
-    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-    steps = F.when(
-        (count >= 1) & (df <= CHI2_NORMAL_ABOVE), F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    ).otherwise(F.array().cast("array<int>"))
-    finite = F.aggregate(steps, start, add, lambda s: s["total"])
-    exact = F.when(odd, F.lit(2.0) * normal_upper(root) + finite).otherwise(finite)
-    spread = F.lit(2.0) / (df * 9.0)
-    z = (F.pow(x / df, F.lit(1.0 / 3.0)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-    return F.when(df > CHI2_NORMAL_ABOVE, F.lit(1.0) - normal_cdf(z)).otherwise(exact)
+    half, shape, odd = x / 2.0, df / 2.0, df % 2 == 1
+    count = F.floor(shape).cast("int")
+
+    def add(total: Column, j: Column) -> Column:
+        before = F.log((j + F.when(odd, 0.5).otherwise(0.0)) / half) + total
+        return F.greatest(before, F.lit(0.0)) + F.log1p(F.exp(-F.abs(before)))
+
+    places = F.when(count >= 2, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    last = (shape - 1.0) * F.log(half) - half - log_gamma(shape)
+    finite = F.when(count >= 1, F.exp(last + F.aggregate(places, F.lit(0.0), add))).otherwise(0.0)
+    total = finite + F.when(odd, F.lit(2.0) * normal_upper(F.sqrt(x))).otherwise(0.0)
+    return F.when(x <= 0, F.lit(1.0)).when(total.isNotNull(), F.least(F.lit(1.0), total))

@@ -1,9 +1,10 @@
 """Draws tables `(param, category, chain, draw, value)` and the summaries taken from them.
 
 Draws come from a Poisson bootstrap. The sum of independent Poisson(1) row weights over a
-cell of n rows is Poisson(n), so weights are drawn per cell of the panel instead of per
-row: the same distribution, at a cost of cells × draws that does not grow with the rows.
-Every draw is a function of (seed, cell, draw) by md5, so a lost task repeats it exactly.
+cell of n rows is Poisson(n), so weights are drawn per cell of the panel instead of per row: the
+same distribution, by exact inversion for every n. Time and memory of a cell grow with
+its draws and √n. Every draw is a function of (seed, cell, draw) by md5, so a lost task
+repeats it exactly.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from bazaarlens.functions.distributions import log_gamma
 from bazaarlens.operators.ordered import ROWS_PER_SLICE, group_sequence
@@ -27,54 +29,49 @@ ship_by_value(__name__)
 INTERVAL = (0.03, 0.97)       # equal-tailed 94% interval
 PREDICTIVE_INTERVAL = (0.05, 0.95)
 PREDICTIVE_TOLERANCE = 0.005  # largest gap between observed and replicated rate
-SMALL_COUNT = 30              # up to here the Poisson quantile is found by summing its terms
-SMALL_STEPS = 100
-TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 # -----------------------------------------------------------------------------------
 
 
-def _uniform(digest: Column, start: int) -> Column:
-    """A number in (0, 1) from eight hexadecimal digits."""
-    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 0.5) / TWO_32
+def _uniform(digest: Column) -> Column:
+    """A number in (0, 1) from thirteen hexadecimal digits."""
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / TWO_52
 
 
-def _poisson(mean: Column, u1: Column, u2: Column) -> Column:
-    """Poisson(mean): by its terms when small, else by the cube-root normal transform."""
+def _uniforms(label: Column, turns: Column) -> Column:
+    return F.transform(turns, lambda t: _uniform(F.md5(F.concat_ws("|", label, t.cast("string")))))
 
-    def add(state: Column, j: Column) -> Column:
-        term = state["term"] * state["mean"] / j
-        return F.struct(
-            state["mean"].alias("mean"), state["u"].alias("u"), term.alias("term"),
-            (state["cdf"] + term).alias("cdf"),
-            (state["hits"] + F.when(state["cdf"] < state["u"], 1).otherwise(0)).alias("hits"),
-        )
 
-    first = F.exp(-mean)
-    start = F.struct(
-        mean.alias("mean"), u1.alias("u"), first.alias("term"), first.alias("cdf"), F.lit(0).alias("hits")
-    )
-    by_terms = F.aggregate(F.sequence(F.lit(1), F.lit(SMALL_STEPS)), start, add, lambda s: s["hits"])
-    z = F.sqrt(F.log(u1) * -2.0) * F.cos(u2 * (2.0 * math.pi))
-    root = F.lit(1.0) - F.lit(1.0) / (mean * 9.0) + z / (F.sqrt(mean) * 3.0)
-    by_root = F.greatest(F.floor(mean * root * root * root + 0.5), F.lit(0))
-    return (
-        F.when(mean <= 0, F.lit(0)).when(mean <= SMALL_COUNT, by_terms).otherwise(by_root).cast("bigint")
-    )
+def poisson_quantiles(mean: float, u: np.ndarray) -> np.ndarray:
+    """Smallest k with P(N ≤ k) ≥ u, from the terms next to the mode; those left out sum to less than 1e-30."""
+    if not mean > 0:
+        return np.zeros(len(u), dtype=np.int64)
+    reach, mode = 12.0 * math.sqrt(mean) + 40.0, int(mean)
+    low, high = max(0, int(mode - reach)), int(mode + reach)
+    down = np.cumsum(np.log(np.arange(mode, low, -1) / mean))[::-1]
+    up = -np.cumsum(np.log(np.arange(mode + 1, high + 1) / mean))
+    cdf = np.cumsum(np.exp(np.concatenate((down, [0.0], up))))
+    return low + np.minimum(np.searchsorted(cdf / cdf[-1], u), high - low)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _poisson(mean: pd.Series, uniforms: pd.Series) -> pd.Series:
+    return pd.Series([poisson_quantiles(m, u) for m, u in zip(mean.fillna(0.0), uniforms, strict=True)])
 
 
 def bootstrap_counts(
     cells: DataFrame, keys: Sequence[str], counts: Sequence[str], draws: int, seed: int = 0, chains: int = 4
 ) -> DataFrame:
     """Each cell and each draw: every count replaced by a Poisson draw around it."""
-    exploded = cells.select(*keys, *counts, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("__t"))
+    turns = F.sequence(F.lit(0), F.lit(draws - 1))
     columns = []
     for name in counts:
-        label = F.concat_ws("|", F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in keys], F.col("__t").cast("string"))
-        digest = F.md5(label)
-        columns.append(_poisson(F.col(name).cast("double"), _uniform(digest, 1), _uniform(digest, 9)).alias(name))
+        label = F.concat_ws("|", F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in keys])
+        columns.append(_poisson(F.col(name).cast("double"), _uniforms(label, turns)).alias(f"__{name}"))
+    drawn = cells.select(*keys, *columns).select("*", F.explode(turns).alias("__t"))
     per_chain = math.ceil(draws / chains)
-    return exploded.select(
-        *keys, *columns,
+    return drawn.select(
+        *keys, *[F.get(f"__{name}", F.col("__t")).alias(name) for name in counts],
         F.floor(F.col("__t") / per_chain).cast("int").alias("chain"),
         (F.col("__t") % per_chain).cast("int").alias("draw"),
     )
@@ -139,6 +136,18 @@ def rhat(draws: DataFrame) -> DataFrame:
     return across.select("param", "category", "chains", F.sqrt(F.try_divide(pooled, F.col("within"))).alias("rhat"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _autocovariances(chains: pd.Series) -> pd.Series:
+    """Autocovariances of centred chains at lags 0 … n − 2."""
+
+    def of_chain(x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        spectrum = np.fft.rfft(x, 2 * n)
+        return np.fft.irfft(spectrum * np.conj(spectrum), 2 * n)[: max(n - 1, 1)] / n
+
+    return chains.map(of_chain)
+
+
 def ess(draws: DataFrame) -> DataFrame:
     """Effective sample size from chain autocorrelations, summed in pairs while positive.
 
@@ -149,17 +158,8 @@ def ess(draws: DataFrame) -> DataFrame:
         series.alias("x"), F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("n")
     )
     centred = chains.withColumn("x", F.transform("x", lambda v: v - F.col("m")))
-    lags = F.sequence(F.lit(0), (F.col("n") - 2).cast("int"))
-
-    def autocovariance(lag: Column) -> Column:
-        size = (F.col("n") - lag).cast("int")
-        products = F.zip_with(
-            F.slice("x", F.lit(1), size), F.slice("x", lag + 1, size), lambda a, b: a * b
-        )
-        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p) / F.col("n")
-
     lagged = centred.select(
-        "param", "category", "chain", "m", "v", "n", F.posexplode(F.transform(lags, autocovariance)).alias("lag", "acov")
+        "param", "category", "chain", "m", "v", "n", F.posexplode(_autocovariances("x")).alias("lag", "acov")
     )
     per_lag = lagged.groupBy("param", "category", "lag").agg(
         F.avg("acov").alias("acov"), F.avg("v").alias("within"), F.var_samp("m").alias("between"),

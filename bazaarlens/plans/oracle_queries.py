@@ -605,19 +605,20 @@ FROM (SELECT *, n_orders * avg_freight AS subsidy,
                 FROM ({HURDLE})) h))""")
 
 # ---------------------------------------------------------------- draws ------------
-def drawn(source: str, keys: list[str], counts: list[str], seed: int, draws: int = 40, chains: int = 4) -> str:
-    """Poisson draws around the counts of a cell table, from md5(seed, count, keys, draw)."""
+def drawn(source: str, keys: list[str], counts: list[str], seed: int, draws: int = 4000, chains: int = 4) -> str:
+    """Poisson draws around the counts of a cell table: md5(seed, count, keys, draw) looked up among cumulated probabilities."""
     parts = []
     for name in counts:
         key = "'|' || ".join(f"{k} || " for k in keys)
         label = f"'{seed}|{name}|' || {key}'|' || t"
         parts.append(f"""
-SELECT {", ".join(keys)}, t, '{name}' AS what, CASE WHEN m <= 0 THEN 0 WHEN m <= 30 THEN (
-    SELECT count(*) FROM pois q WHERE q.m = d.m AND q.cdf < d.u1)
-  ELSE greatest(floor(m * pow(1.0 - 1.0 / (9.0 * m) + sqrt(-2.0 * ln(u1)) * cos(2.0 * pi() * u2) / (3.0 * sqrt(m)), 3) + 0.5), 0) END AS v
-FROM (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u1,
-        (('0x' || substr(h, 9, 8))::BIGINT + 0.5) / 4294967296.0 AS u2
-  FROM (SELECT {", ".join(keys)}, t, CAST({name} AS DOUBLE) AS m, md5({label}) AS h FROM {source} CROSS JOIN range({draws}) g(t))) d""")
+SELECT {", ".join(keys)}, t, '{name}' AS what, p.j AS v
+FROM (SELECT *, (('0x' || substr(md5({label}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM (SELECT {", ".join(keys)}, t, CAST({name} AS DOUBLE) AS m FROM {source} CROSS JOIN range({draws}) g(t))) d
+ASOF JOIN (SELECT m, j, coalesce(sum(exp(j * ln(greatest(m, 1e-300)) - m - lgamma(j + 1))) OVER (
+      PARTITION BY m ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below
+    FROM (SELECT m, unnest(range(CAST(greatest(floor(m - 10 * sqrt(m) - 30), 0) AS BIGINT), CAST(m + 10 * sqrt(m) + 30 AS BIGINT))) AS j
+          FROM (SELECT DISTINCT CAST({name} AS DOUBLE) AS m FROM {source}))) p ON d.m = p.m AND d.u > p.below""")
     size = -(-draws // chains)
     columns = ", ".join(f"CAST(max(v) FILTER (what = '{name}') AS BIGINT) AS {name}" for name in counts)
     return f"""
@@ -625,8 +626,6 @@ SELECT {", ".join(keys)}, CAST(t // {size} AS INTEGER) AS chain, CAST(t % {size}
 FROM ({" UNION ALL ".join(parts)}) GROUP BY {", ".join(keys)}, t"""
 
 
-POISSON = """pois AS (SELECT m, j, sum(exp(-m + j * ln(m) - lgamma(j + 1))) OVER (PARTITION BY m ORDER BY j) AS cdf
-  FROM (SELECT CAST(a.m AS DOUBLE) AS m, b.j FROM range(1, 31) a(m) CROSS JOIN range(100) b(j)))"""
 KEYS = ["category", "eligible", "post"]
 OT_CELLS = """ot_cells AS (SELECT category_en AS category, eligible, post, count(*) AS trials,
   count(*) FILTER (is_on_time) AS successes, count(*) FILTER (NOT is_on_time) AS failures FROM frame GROUP BY 1, 2, 3)"""
@@ -635,7 +634,7 @@ OT_CELLS = """ot_cells AS (SELECT category_en AS category, eligible, post, count
 def with_draws(body: str, base: str, *extra: str) -> str:
     shared = with_ctes(f"SELECT 1 FROM {base}")
     head = shared[: shared.rindex(f"SELECT 1 FROM {base}")]
-    return head + ", " + ",\n".join([POISSON, *extra]) + body
+    return head + ", " + ",\n".join(extra) + body
 
 
 def _ot_draws(seed: int) -> str:

@@ -632,7 +632,7 @@ def _cost_benefit(s: Study) -> DataFrame:
 
 
 # ---------------------------------------------------------------- draws ------------
-DRAWS = 40
+DRAWS = 4000  # 1,000 per chain
 
 
 def _on_time_cells(s: Study) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,38 @@ def test_rank_counts_by_enumeration_and_for_a_large_arm():
             assert abtest.lower_rank_count(small, large, u) == sum(s <= u for s in sums)
     # by symmetry all arrangements lie at or below the largest value
     assert abtest.lower_rank_count(7, 300_000, 7 * 300_000) == math.comb(300_007, 7)
+
+
+@pytest.mark.parametrize("mean", [0.0, 5.0, 30.0, 31.0, 1e4, 1e8])
+def test_poisson_draws_have_the_right_law(mean):
+    u = (np.arange(200_000) + 0.5) / 200_000
+    k = draws.poisson_quantiles(mean, u)
+    assert k.mean() == pytest.approx(mean, rel=1e-3)
+    assert k.var() == pytest.approx(mean, rel=1e-2)
+    if mean:
+        skewness = ((k - k.mean()) ** 3).mean() / k.std() ** 3
+        assert skewness == pytest.approx(mean**-0.5, abs=5e-3)
+
+
+def test_poisson_draws_have_the_right_tails():
+    def below(k, mean):
+        return sum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) for j in range(k + 1))
+
+    for mean, low, high in ((5.0, 0, 14), (30.0, 14, 49), (31.0, 19, 45), (1e4, 9_700, 10_300)):
+        for k in (low, high):
+            p = below(k, mean)
+            assert draws.poisson_quantiles(mean, np.array([p * (1 - 1e-9), min(p + (1 - p) * 1e-6, 1.0)])).tolist() == [k, k + 1]
+
+
+def test_tails_do_not_depend_on_a_size_limit(spark):
+    for df in (1.0, 30.5, 200.0, 201.0, 19_999.0, 20_001.0, 1e9):
+        p = one(spark, dist.student_two_sided(dist.student_critical(F.lit(df)), F.lit(df)))[0]
+        assert p == pytest.approx(0.05, abs=1e-9)
+    near, far = one(spark, dist.student_two_sided(F.lit(9.0), F.lit(20_000.0)), dist.student_two_sided(F.lit(9.0), F.lit(20_000.5)))
+    assert near == pytest.approx(far, rel=1e-4) and 0 < far < near
+    points = [one(spark, dist.chi_square_upper(F.lit(1.2 * df), F.lit(df)))[0] for df in (399, 400, 401, 402)]
+    assert all(0.95 < b / a < 1.0 for a, b in zip(points, points[1:]))
+    # e^-h (1 + h) for four degrees of freedom
+    assert one(spark, dist.chi_square_upper(F.lit(200.0), F.lit(4)))[0] == pytest.approx(math.exp(-100.0) * 101.0, rel=1e-9)
+    assert one(spark, dist.chi_square_upper(F.lit(100.0), F.lit(50_000)))[0] == pytest.approx(1.0)
+    assert one(spark, dist.chi_square_upper(F.lit(0.0), F.lit(3)), dist.chi_square_upper(F.lit(None).cast("double"), F.lit(3))) == (1.0, None)
