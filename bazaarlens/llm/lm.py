@@ -8,9 +8,10 @@ smoothed counts for a tail class, (count + 1) / (class tokens + class words + 1)
 last place. These are proper distributions.
 
 The model is a gated recurrent unit, trained by truncated backpropagation in numpy: lanes of text, windows of `STEPS` tokens,
-the state carried from window to window and cleared at a text's start. It learns from a fixed share of the training texts, by
-hash of the text, which grows with the input; each task trains a copy on its part, and the copies are averaged after each round. Scoring runs
-over whole texts, many side by side, and carries the state through all windows.
+the state carried from window to window and cleared at a text's start. It learns from every training row once, copies of a
+text included: the rows are dealt to rounds by a hash of id and text, each task of a round trains a copy of the network on its
+part, and the copies are averaged before the next round. Scoring runs over whole texts, many side by side, and carries the
+state through all windows.
 
 Counts of the `known_words` most frequent words travel with the tasks (bounded); rarer words of a text are joined to the
 stored counts. A null text is empty and scores its end. Repeated rows are scored and counted once each. Without training
@@ -272,18 +273,23 @@ def gradients(w, inputs, targets, h):
         back[rows] += inner @ w["wi"][head].T
     back = back.reshape(steps, lanes, HIDDEN)
     carried = np.zeros((lanes, HIDDEN), np.float32)
+    dx, da = (np.empty((steps, lanes, 3 * HIDDEN), np.float32) for _ in range(2))
     for t in reversed(range(steps)):
         z, r, n, an = saved[t]
         d = back[t] + carried
         dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before[t] - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx = np.concatenate((dz, dr, dn), axis=1)
-        da = np.concatenate((dz, dr, dn * r), axis=1)
-        np.add.at(g["x"], inputs[t], dx)
-        g["b"] += dx.sum(axis=0)
-        g["u"] += before[t].T @ da
-        carried = (d * z + da @ w["u"].T) * (inputs[t] != 0)[:, None]
+        dx[t, :, :HIDDEN] = d * (before[t] - n) * z * (1 - z)
+        dx[t, :, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
+        dx[t, :, 2 * HIDDEN :] = dn
+        da[t] = dx[t]
+        da[t, :, 2 * HIDDEN :] *= r
+        carried = (d * z + da[t] @ w["u"].T) * (inputs[t] != 0)[:, None]
+    dx, da = dx.reshape(-1, 3 * HIDDEN), da.reshape(-1, 3 * HIDDEN)
+    g["b"], g["u"] = dx.sum(axis=0), np.concatenate(before).T @ da
+    by_symbol = np.argsort(inputs, axis=None, kind="stable")
+    ordered = inputs.reshape(-1)[by_symbol]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    g["x"][ordered[begin]] = np.add.reduceat(dx[by_symbol], begin, axis=0)
     return g, h
 
 
@@ -291,22 +297,34 @@ def train(w, symbols: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     """One pass of Adam over the concatenated targets of many texts, each ended by symbol 0."""
     lanes = int(np.clip(len(symbols) // 2048, 4, 128))
     length = len(symbols) // lanes
-    if not length:
-        return w
     targets = symbols[: lanes * length].reshape(lanes, length).T
-    inputs = np.concatenate((np.zeros((1, lanes), targets.dtype), targets[:-1]))
+    inputs = np.concatenate((np.zeros((1, lanes), targets.dtype), targets))[:length]
+    windows = [(inputs[at : at + STEPS], targets[at : at + STEPS]) for at in range(0, length, STEPS)]
+    # the few symbols that fill no lane are a last window of their own
+    rest = symbols[lanes * length :, None]
+    if len(rest):
+        windows.append((np.concatenate((np.zeros((1, 1), rest.dtype), rest[:-1])), rest))
     h = np.zeros((lanes, HIDDEN), np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for number, start in enumerate(range(0, length, STEPS), 1):
-        g, h = gradients(w, inputs[start : start + STEPS], targets[start : start + STEPS], h)
+    for number, (before, after) in enumerate(windows, 1):
+        h = h if before.shape[1] == len(h) else np.zeros((before.shape[1], HIDDEN), np.float32)
+        g, h = gradients(w, before, after, h)
         norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         size = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
         for k, v in g.items():
             v *= clip
-            first[k] += 0.1 * (v - first[k])
-            second[k] += 0.01 * (v * v - second[k])
-            w[k] -= (size * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+            first[k] *= 0.9
+            first[k] += 0.1 * v
+            v *= v
+            v *= 0.01
+            second[k] *= 0.99
+            second[k] += v
+            np.sqrt(second[k], out=v)
+            v += 1e-8
+            np.divide(first[k], v, out=v)
+            v *= size
+            w[k] -= v
     return w
 
 
@@ -330,8 +348,11 @@ def symbols_of(texts: pa.Array, vocabulary: Vocabulary):
     return coded, symbols, counts, listed, sizes
 
 
-def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 24, rounds: int = 2, shard_tokens: int = 1_500_000) -> dict[str, np.ndarray]:
-    """Train on one in `share` of the texts: copies learn on parts of about `shard_tokens` tokens and are averaged each round."""
+def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds: int = 4, shard_tokens: int = 1_500_000) -> dict[str, np.ndarray]:
+    """One pass over one in `share` of the (doc_id, content) rows, one part of them in each round.
+
+    Copies of the network learn on parts of about `shard_tokens` tokens and are averaged after each round.
+    """
     spark = texts.sparkSession
     shared = ship(spark, vocabulary)
 
@@ -346,11 +367,13 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 24, round
                 [part.column("pick"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["pick", "ids"]
             )
 
-    chosen = texts.withColumn("pick", F.xxhash64("content")).where(F.pmod("pick", F.lit(share)) == 0)
-    sample = store(chosen.select("pick", "content").mapInArrow(encode, "pick long, ids array<int>"), "lm-sample")
-    tokens = sample.agg(F.sum(F.size("ids"))).first()[0] or 0
+    # by row, so copies of a text meet several rounds and no text stands or falls as a whole
+    number = F.pmod(F.xxhash64("doc_id", "content"), F.lit(share * rounds))
+    chosen = texts.select(number.alias("pick"), "content").where(F.col("pick") < rounds)
+    sample = store(chosen.mapInArrow(encode, "pick long, ids array<int>"), "lm-rows")
+    tokens = {r["pick"]: r["n"] for r in sample.groupBy("pick").agg(F.sum(F.size("ids")).alias("n")).collect()}
     weights = flatten(new_weights(vocabulary))
-    for turn in range(rounds if tokens else 0):
+    for turn in sorted(tokens):
         now = ship(spark, weights)
 
         def learn(batches, turn=turn, now=now):
@@ -361,7 +384,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 24, round
             learned = flatten(train(unflatten(unpack(now)), symbols, 0.006 / (1 + turn)))
             yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary()), pa.array([len(symbols)], pa.int64())], ["w", "n"])
 
-        parts = sample.repartition(math.ceil(tokens / shard_tokens))
+        parts = sample.where(F.col("pick") == turn).select("ids").repartition(math.ceil(tokens[turn] / shard_tokens))
         copies = parts.mapInArrow(learn, "w binary, n long").rdd.map(lambda r: (np.frombuffer(r["w"], np.float32) * float(r["n"]), r["n"]))
         total, n = copies.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
         weights = (total / n).astype(np.float32)
@@ -429,14 +452,14 @@ def score_rows(batches, vocabulary: Vocabulary, w):
         number += len(sizes)
 
 
-def score_documents(docs: DataFrame, held_out: Column, known_words: int = 200_000, share: int = 24) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, known_words: int = 200_000, share: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs` (doc_id, text).
 
-    Counts come from all rows for which `held_out` is false, the network's weights from one in `share` of them.
+    Counts and the network's weights come from all rows for which `held_out` is false (the weights from one in `share`).
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out.alias("held_out"), text_or_empty().alias("content"))
-    texts = rows.where("NOT held_out").select("content")
+    texts = rows.where("NOT held_out").select("doc_id", "content")
     vocabulary, rare_counts = fit_vocabulary(texts, known_words)
     model = ship(spark, (vocabulary, fit_network(texts, vocabulary, share)))
     kind = rows.schema["doc_id"].dataType.simpleString()

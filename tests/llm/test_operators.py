@@ -282,6 +282,18 @@ def test_scores_beat_the_baseline_and_count_exactly(spark, docs):
     assert lm.score_documents(empty(spark), held).count() == 0
 
 
+def test_every_training_text_reaches_the_network(spark):
+    rows = [(i, " ".join(f"w{i}x{j % 5}" for j in range(23))) for i in range(12)]
+    texts = spark.createDataFrame(rows, "doc_id long, content string")
+    vocabulary, _ = lm.fit_vocabulary(texts, 1000)
+    moved = np.flatnonzero((lm.fit_network(texts, vocabulary)["x"] != lm.new_weights(vocabulary)["x"]).any(axis=1))
+    assert set(range(61)) <= set(moved.tolist())  # the end and the five words of each text
+    start = lm.new_weights(vocabulary)
+    for n in (1, 2, 3):  # fewer symbols than lanes
+        learned = lm.train({k: v.copy() for k, v in start.items()}, np.arange(1, n + 1), 0.01)
+        assert set(range(n)) <= set(np.flatnonzero((learned["x"] != start["x"]).any(axis=1)).tolist())
+
+
 def test_backpropagation_matches_differences():
     rng = np.random.default_rng(0)
     weights = {k: rng.normal(0, 0.3, s) for k, s in lm.SHAPES.items()}
