@@ -2,8 +2,9 @@
 
 Each tree splits on orthonormal random directions, one per level, at the medians of a bounded sample (`sample_rows`, by
 hash); every vector is indexed. A query walks all trees together: one queue, ordered by the distance from the query to a
-node's cell (the root of the summed squared margins), gives the next node to open, until the share `visit` of all leaves has been
-opened. The leaves' vectors are then scored exactly in blocks of bounded size, and the best are scored once more, in double
+node's cell (the root of the summed squared margins), gives the next node to open; leaves without vectors are passed over. It ends
+when the opened leaves are the share `visit` of all leaves and hold that share of the rows, and those of one tree hold at least
+`least` different vectors (all of them, if fewer are stored), so small tables are searched whole. The leaves' vectors are then scored exactly in blocks of bounded size, and the best are scored once more, in double
 precision on the original vectors, before the final ranking.
 
 Equal vectors form a class that is indexed and searched once and stands for all its rows; only the smallest ids of a class
@@ -57,20 +58,27 @@ class Forest:
             out[:, tree] = node - (self.leaves - 1)
         return out
 
-    def search(self, unit: np.ndarray, budget: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the `budget` leaves whose cells lie nearest to one vector, over all trees."""
+    def search(self, unit: np.ndarray, budget: int, rows: float, least: int, counts: list[list[int]]) -> list[tuple[int, int]]:
+        """(tree, leaf) of the filled leaves whose cells lie nearest to one vector, over all trees.
+
+        At least `budget` leaves with `rows` rows in all (a row counts once per tree), and `least` rows in one tree.
+        """
         margins = (self.directions @ unit).tolist()
         thresholds = self.thresholds_list()
         queue = [(0.0, tree, 0, 0) for tree in range(len(margins))]
         found, inner = [], self.leaves - 1
-        while queue and len(found) < budget:
+        met, most = [0] * len(margins), 0
+        while queue and (len(found) < budget or sum(met) < rows or most < least):
             cost, tree, level, node = heapq.heappop(queue)
             while node < inner:
                 margin = margins[tree][level] - thresholds[tree][node]
                 right = margin > 0
                 heapq.heappush(queue, (cost + margin * margin, tree, level + 1, 2 * node + 1 + (not right)))
                 node, level = 2 * node + 1 + right, level + 1
-            found.append((tree, node - inner))
+            if held := counts[tree][node - inner]:
+                found.append((tree, node - inner))
+                met[tree] += held
+                most = max(most, met[tree])
         return found
 
     def thresholds_list(self) -> list[list[float]]:
@@ -113,7 +121,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest(
     vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", trees: int = 12,
-    depth: int = 8, visit: float = 0.085, sample_rows: int = 20_000, block: int = 4096, seed: int = 11,
+    depth: int = 8, visit: float = 0.085, sample_rows: int = 20_000, block: int = 4096, seed: int = 11, least: int = 512,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which `queries` (over the key column) holds."""
     spark = vectors.sparkSession
@@ -143,6 +151,22 @@ def nearest(
     index_blocks = max(1, math.ceil(leaf_rows / block))
     query_blocks = max(1, math.ceil(n_asked * visit / block))
     budget = max(trees, round(visit * trees * forest.leaves))
+    keep = 2 * k + 2
+    least = min(total, max(least, keep))
+
+    def fill(batches):
+        f, held = unpack(shared), np.zeros(trees * forest_leaves, np.int64)
+        for part in slices(batches, 1024):
+            leaf = f.leaf_of(unit_rows(to_matrix(part.column("v")))) + np.arange(trees) * f.leaves
+            held += np.bincount(leaf.ravel(), minlength=len(held))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], ["leaf", "n"])
+
+    forest_leaves = forest.leaves
+    counts = np.zeros((trees, forest_leaves), np.int64)
+    for r in classes.select("v").mapInArrow(fill, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        counts[divmod(r["leaf"], forest_leaves)] = r["n"]
+    counts = counts.tolist()
     places = "leaf int, ib int, qb int, is_query boolean, class long, v array<double>"
 
     def place(batches):
@@ -157,7 +181,7 @@ def nearest(
         f = unpack(shared)
         for part in slices(batches, 64):
             ids, v = part.column("class").to_numpy(), part.column("v")
-            found = [f.search(u, budget) for u in unit_rows(to_matrix(v))]
+            found = [f.search(u, budget, visit * trees * total, least, counts) for u in unit_rows(to_matrix(v))]
             leaf = np.array([t * f.leaves + x for places in found for t, x in places])
             row = np.repeat(np.arange(len(ids)), [len(x) for x in found])
             yield rows_of(leaf, ids[row] % query_blocks, row, ids, v, True)
@@ -174,8 +198,6 @@ def nearest(
             ["leaf", "ib", "qb", "is_query", "class", "v"],
         )
 
-    keep = 2 * k + 2
-
     def score(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         mark = table.column("is_query").to_numpy()

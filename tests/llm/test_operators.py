@@ -215,6 +215,22 @@ def test_nearest_reaches_the_exact_neighbours(spark):
     assert ann.nearest(table.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 4, 6, 50, 200])
+def test_small_tables_are_searched_whole(spark, n):
+    from pyspark.sql import functions as F
+
+    vectors = np.random.default_rng(n).normal(size=(n, 64))
+    table = spark.createDataFrame([(50 * i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(n):
+        score = unit @ unit[q]
+        score[q] = -9
+        assert got[50 * q] == [50 * int(x) for x in np.argsort(-score)[: min(5, n - 1)]]
+
+
 def test_language_on_held_out_rows(spark):
     parts = {"aa": "ka ri to mo sa".split(), "bb": "sch ung ein lich ver".split(), "cc": "eau oux ion ment que".split()}
     rng = np.random.default_rng(8)
