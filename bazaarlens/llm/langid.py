@@ -4,9 +4,9 @@ Subwords are the runs of 2 to 4 bytes of lower-cased words, where any byte that
 only be the first or last of a run. Each is hashed to a bucket; a text is the mean of its buckets' embeddings. Since the
 classifier is linear, prediction sums one row of logits per subword, over the whole text.
 
-The model is fitted by stochastic gradient descent in numpy on the driver, on at most `rows_per_language` labelled rows of
-each language (chosen by hash) and some of their lines, so that short texts are known too. A quarter of them is kept
-apart for the temperature of the scores and for the score below which a language is not accepted.
+The model is fitted by stochastic gradient descent in numpy on the driver, on at most `rows_per_language` distinct labelled
+texts of each language (those of the smallest hashes) and some of their lines, so that short texts are known too. A quarter of
+them, never a language's first, is kept apart for the temperature of the scores and for the score below which a language is not accepted.
 
 A text that is null or has no letter is `und` with score 0. Rows are independent, so repeated rows get equal results.
 Without any labelled row every text is `und`.
@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import ship, slices, text_or_empty, unpack
+from bazaarlens.llm.common import ship, slices, store, text_or_empty, unpack
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -163,17 +163,18 @@ def training_examples(batches, buckets: int):
 def learn_languages(
     labelled: DataFrame, rows_per_language: int = 700, languages: int = 200, buckets: int = 1 << 16, **fit
 ) -> LanguageModel:
-    """Fit on at most `rows_per_language` rows of each of the `languages` most frequent values of `lang` (bounded sample)."""
+    """Fit on at most `rows_per_language` distinct texts of each of the `languages` most frequent values of `lang` (bounded sample)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", text_or_empty().alias("content"), F.xxhash64("text").alias("pick")
     )
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, rows_per_language / r["n"]))]) if top else None
-    if share is None:
-        return fit_language_model([], buckets=buckets, **fit)
-    unit = (F.pmod("pick", F.lit(1 << 30)) / float(1 << 30)).alias("unit")
-    chosen = rows.where(unit < F.try_element_at(share, F.col("lang"))).select(
-        "lang", "content", (F.pmod(F.xxhash64(F.lit(1), "pick"), F.lit(4)) == 0).alias("apart")
+    texts = store(rows.groupBy("lang", "pick").agg(F.count("*").alias("n")), "lang-texts")
+    top = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    # the limit is applied before the shuffle too
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("pick")).alias("place")
+    picked = texts.select("lang", "pick", first).where(F.col("place") <= rows_per_language).join(F.broadcast(top), "lang", "left_semi")
+    # copies of a text meet inside each partition first
+    chosen = rows.join(F.broadcast(picked), ["lang", "pick"]).groupBy("lang", "pick", "place").agg(F.first("content").alias("content")).select(
+        "lang", "content", ((F.col("place") > 1) & (F.pmod(F.xxhash64(F.lit(1), "pick"), F.lit(4)) == 0)).alias("apart")
     )
     made = chosen.mapInArrow(lambda b: training_examples(b, buckets), "lang string, ids array<int>, counts array<int>, apart boolean")
     examples = [

@@ -248,6 +248,17 @@ def test_language_on_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(table, nothing).collect()} == {"und"}
 
 
+def test_copies_of_few_texts_are_a_language_too(spark):
+    rows = [(f"word{i} ein und der {i}", "many") for i in range(60)]
+    few = {f"l{k}": f"{x * 3} {x * 2} {x}{x} {x * 4}" for k, x in enumerate("qwzxkv")}
+    rows += [(text, lang) for lang, text in few.items() for _ in range(2000)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn_languages(table, rows_per_language=20, buckets=1 << 12)
+    assert model.labels == sorted(["many", *few])
+    asked = spark.createDataFrame(list(few.items()), "doc_id string, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()} == {lang: lang for lang in few}
+
+
 def test_toxicity_separates_held_out_rows(spark):
     from pyspark.sql import functions as F
 
