@@ -63,6 +63,9 @@ def make_counter(path: str, memory: int = 600_000):
             known.clear()
         cut = []
         for text in texts:
+            if "\0" in text:  # a later chunk that begins with the mark of first ones
+                cut.append(["\0 "])
+                continue
             chunks = text.replace("\n", " \n").split(" ")
             chunks[0] = "\0" + chunks[0]
             cut.append(chunks)

@@ -56,6 +56,13 @@ def test_token_counts_match_the_library_and_fill_the_cache(spark, docs, tmp_path
     assert token_counts.count_tokens(empty(spark), path).count() == 0
 
 
+def test_a_control_character_after_a_blank_is_counted():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, count = Tokenizer.from_file(path), token_counts.make_counter(path)
+    texts = ["abc y", "x \0abc", "x\n\0abc", "\0abc", "abc x", "\0", "x \0"]
+    assert count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_packing_covers_every_id_once(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
