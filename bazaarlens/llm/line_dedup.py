@@ -7,6 +7,8 @@ by position: a token that stands there in fewer than `min_docs` texts is a varia
 the first (smallest doc_id) and those with the first one's text. Documents with equal texts count once, so whole copies are
 no recurrence; they are the next step's work.
 
+With `long_tokens`, a line of at least so many tokens that stands verbatim in two different texts recurs too.
+
 Lines of fewer than `min_tokens` tokens are left alone. A null text is empty. Repeated rows are treated alike. A document
 without doc_id is cleaned too, and never the first if another has one. An empty table gives no rows.
 """
@@ -35,15 +37,25 @@ def lines_of(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     lines = texts.select("doc_id", F.xxhash64("t").alias("content"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
     split = lines.withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") >= min_tokens)
     lead = [masked(F.get("tokens", F.lit(level))) for level in range(depth)]
-    return split.select("doc_id", "content", "place", "line", F.xxhash64(F.size("tokens"), *lead).alias("leaf"))
+    size = F.size("tokens")
+    return split.select("doc_id", "content", "place", "line", size.alias("n"), F.xxhash64(size, *lead).alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int | None
+) -> DataFrame:
     """(doc_id, content, place) of the lines to drop."""
     lines = lines_of(docs, min_tokens, depth)
-    shared = lines.select("leaf", "content").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+
+    def enough(tokens: str) -> Column:
+        """Texts in which a line of so many tokens must stand verbatim."""
+        return F.lit(min_docs) if long_tokens is None else F.when(F.col(tokens) >= long_tokens, min(2, min_docs)).otherwise(min_docs)
+
+    # a leaf holds lines of one length only
+    reached = lines.select("leaf", "n", "content").distinct().groupBy("leaf", "n").count()
+    shared = reached.where(F.col("count") >= enough("n")).select("leaf")
     # only lines of leaves that several texts reach go on
-    found = store(lines.join(store(shared, "leaves"), "leaf", "left_semi"), "leaf-lines")
+    found = store(lines.drop("n").join(store(shared, "leaves"), "leaf", "left_semi"), "leaf-lines")
     line = F.xxhash64("line").alias("line_key")
     distinct = found.select("leaf", line, "line", "content").distinct().groupBy("leaf", "line_key").agg(
         F.first("line").alias("line"), F.count("*").alias("texts")
@@ -55,28 +67,38 @@ def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, depth: int,
     support = placed.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support"))
     fixed = (F.col("support") >= min_docs) & (F.col("token") != FIELD)
     general = placed.join(support, ["leaf", "at", "token"]).select(
-        "leaf", "line_key", "at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"), fixed.cast("int").alias("fixed")
+        "leaf", "line_key", "texts", "at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"), fixed.cast("int").alias("fixed")
     )
     templates = general.groupBy("leaf", "line_key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "token"))).alias("path"), F.avg("fixed").alias("share")
-    ).where(F.col("share") >= constant).select("leaf", "line_key", F.xxhash64("leaf", "path.token").alias("template"))
+        F.array_sort(F.collect_list(F.struct("at", "token"))).alias("path"), F.avg("fixed").alias("share"),
+        F.first("texts").alias("texts"), F.count("*").alias("n"),
+    )
+    by_template = F.col("share") >= constant
+    verbatim = F.lit(False) if long_tokens is None else (F.col("texts") >= enough("n")) & ~(by_template & (F.col("texts") >= min_docs))
+    ways = F.array(
+        F.when(by_template, F.struct(F.xxhash64("leaf", "path.token").alias("template"), F.lit(min_docs).alias("least"))),
+        F.when(verbatim, F.struct(F.xxhash64("leaf", "line_key", F.lit("verbatim")).alias("template"), F.lit(1).alias("least"))),
+    )
+    templates = templates.select("leaf", "line_key", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("way"))
+    templates = templates.select("leaf", "line_key", "way.template", "way.least")
     used = store(
         found.select("doc_id", "content", "place", "leaf", line).join(templates, ["leaf", "line_key"])
-        .select("doc_id", "content", "place", "template"), "template-lines",
+        .select("doc_id", "content", "place", "template", "least"), "template-lines",
     )
-    each = used.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id"))
+    each = used.groupBy("template", "least", "content").agg(F.min("doc_id").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("first")
-    recurring = each.groupBy("template").agg(F.count("*").alias("texts"), first).where(F.col("texts") >= min_docs)
+    recurring = each.groupBy("template", "least").agg(F.count("*").alias("texts"), first).where(F.col("texts") >= F.col("least"))
     return used.join(recurring.select("template", F.col("first.content").alias("keeper")), "template").where("content <> keeper").select(
         "doc_id", "content", "place"
     )
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, constant: float = 0.8
+    docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, constant: float = 0.8,
+    long_tokens: int | None = 50,
 ) -> DataFrame:
     """All columns of `docs` in a struct `row`, its new `text`, n_lines and n_dropped."""
-    drops = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens, depth, constant)
+    drops = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens, depth, constant, long_tokens)
     drops = drops.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "places")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_or_empty().alias("t")).withColumn(

@@ -170,6 +170,17 @@ def test_lines_of_recurring_templates_go(spark):
     assert line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_long_lines_of_two_texts_go(spark):
+    own = random_texts(4, 15, 8, 20)
+    passage, short = (" ".join(f"{w}s" for w in random_texts(1, 16, n, n + 1)[0].split()) for n in (60, 20))
+    rows = [(0, f"{own[0]}\n{passage}\n{short}"), (1, f"{own[1]}\n{short}\n{passage}"), (2, own[2]), (3, f"{own[3]}\n12 May 2021")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in line_dedup.drop_recurring_lines(table).collect()}
+    assert got == {**dict(rows), 1: f"{own[1]}\n{short}"}
+    same = line_dedup.drop_recurring_lines(table, long_tokens=None).collect()
+    assert {r.row.doc_id: r.text for r in same} == dict(rows)
+
+
 def test_leaks_equal_exact_containment(spark):
     items = [(i, t) for i, t in enumerate(random_texts(20, 6, 6, 40))] + [(50, "Tiny item"), (51, None), (52, "...")]
     fill = random_texts(30, 7, 100, 900)
