@@ -7,7 +7,9 @@ by position: a token that stands there in fewer than `min_docs` texts is a varia
 the first (smallest doc_id) and those with the first one's text. Documents with equal texts count once, so whole copies are
 no recurrence; they are the next step's work.
 
-With `long_tokens`, a line of at least so many tokens that stands verbatim in two different texts recurs too.
+With `words`, the share `constant` is one of the tokens without a digit, of which at least `words` must be constant, so that
+dates, years and page numbers do not shield a line; and a line that stands verbatim in `min_docs` texts recurs whatever its
+digits. With `long_tokens`, a line of at least so many tokens that stands verbatim in two different texts recurs too.
 
 Lines of fewer than `min_tokens` tokens are left alone. A null text is empty. Repeated rows are treated alike. A document
 without doc_id is cleaned too, and never the first if another has one. An empty table gives no rows.
@@ -42,7 +44,7 @@ def lines_of(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int | None
+    docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int | None, words: int | None
 ) -> DataFrame:
     """(doc_id, content, place) of the lines to drop."""
     lines = lines_of(docs, min_tokens, depth)
@@ -67,14 +69,16 @@ def recurring_lines(
     support = placed.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support"))
     fixed = (F.col("support") >= min_docs) & (F.col("token") != FIELD)
     general = placed.join(support, ["leaf", "at", "token"]).select(
-        "leaf", "line_key", "texts", "at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"), fixed.cast("int").alias("fixed")
+        "leaf", "line_key", "texts", "at", (F.col("token") == FIELD).alias("field"), F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"), fixed.cast("int").alias("fixed")
     )
     templates = general.groupBy("leaf", "line_key").agg(
         F.array_sort(F.collect_list(F.struct("at", "token"))).alias("path"), F.avg("fixed").alias("share"),
+        F.avg(F.when(~F.col("field"), F.col("fixed"))).alias("word_share"), F.sum("fixed").alias("constants"),
         F.first("texts").alias("texts"), F.count("*").alias("n"),
     )
-    by_template = F.col("share") >= constant
-    verbatim = F.lit(False) if long_tokens is None else (F.col("texts") >= enough("n")) & ~(by_template & (F.col("texts") >= min_docs))
+    by_words = (F.coalesce("word_share", F.lit(0.0)) >= constant) & (F.col("constants") >= (words or 0))
+    by_template = F.col("share") >= constant if words is None else by_words
+    verbatim = F.lit(False) if long_tokens is None and words is None else (F.col("texts") >= enough("n")) & ~(by_template & (F.col("texts") >= min_docs))
     ways = F.array(
         F.when(by_template, F.struct(F.xxhash64("leaf", "path.token").alias("template"), F.lit(min_docs).alias("least"))),
         F.when(verbatim, F.struct(F.xxhash64("leaf", "line_key", F.lit("verbatim")).alias("template"), F.lit(1).alias("least"))),
@@ -95,10 +99,10 @@ def recurring_lines(
 
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, constant: float = 0.8,
-    long_tokens: int | None = 50,
+    long_tokens: int | None = 50, words: int | None = 2,
 ) -> DataFrame:
     """All columns of `docs` in a struct `row`, its new `text`, n_lines and n_dropped."""
-    drops = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens, depth, constant, long_tokens)
+    drops = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens, depth, constant, long_tokens, words)
     drops = drops.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "places")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_or_empty().alias("t")).withColumn(

@@ -55,7 +55,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the twin's rule: templates only
-    cleaned = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), long_tokens=None)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.drop_recurring_lines(docs, long_tokens=None, words=None)
     return cleaned.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     )

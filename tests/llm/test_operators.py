@@ -181,6 +181,18 @@ def test_long_lines_of_two_texts_go(spark):
     assert {r.row.doc_id: r.text for r in same} == dict(rows)
 
 
+def test_lines_with_dates_and_page_numbers_go(spark):
+    own = random_texts(5, 17, 8, 20)
+    lines = ["Copyright {y} Acme Inc.", "Page {i} of {y}", "Posted {i} May {y} by admin", "12 May 2021", "10 20 30"]
+    rows = [(i, "\n".join([t, *(x.format(i=i, y=2020 + i) for x in lines), f"alone {i} {i} {i}"])) for i, t in enumerate(own)]
+    rows += [(10 + i, f"It is a {t}") for i, t in enumerate("red cat here,blue dog there,green fox anywhere".split(","))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in line_dedup.drop_recurring_lines(table).collect()}
+    assert got == {i: t if i in (0, 10, 11, 12) else f"{own[i]}\nalone {i} {i} {i}" for i, t in rows}
+    twin = line_dedup.drop_recurring_lines(table, long_tokens=None, words=None).collect()
+    assert {r.row.doc_id: r.text for r in twin} == dict(rows)
+
+
 def test_leaks_equal_exact_containment(spark):
     items = [(i, t) for i, t in enumerate(random_texts(20, 6, 6, 40))] + [(50, "Tiny item"), (51, None), (52, "...")]
     fill = random_texts(30, 7, 100, 900)
