@@ -1,12 +1,17 @@
 """Raw files → layers, and the registry."""
 
 import csv
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from bazaarlens.plans import warehouse
+from bazaarlens.plans.oracle_queries import ORACLE
+from bazaarlens.plans.queries import QUERIES
 from bazaarlens.sources import raw, tables
 from bazaarlens.sources.schemas import RAW_FILES, raw_schema
 
@@ -92,12 +97,28 @@ def test_panels_and_draws_are_stored(spark, tmp_path):
 
 
 def test_registry_is_consistent():
-    queries, oracle = registry.queries(), registry.oracle_sql()
-    assert set(oracle) <= set(queries)
-    without = set(queries) - set(oracle)
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert set(QUERIES) <= set(registry.queries()) and set(ORACLE) <= set(QUERIES)
+    without = set(QUERIES) - set(ORACLE)
     assert all(n.startswith(("map_fit", "draw_ess", "loo_smoothed")) for n in without), without
 
 
+def test_entry_imports_without_the_training_data_operators():
+    """The subpackage is hidden while the pipeline's file stays in place: all other queries still register."""
+    code = (
+        "import importlib.util as u\n"
+        "find = u.find_spec\n"
+        "u.find_spec = lambda name, package=None: None if name.startswith('bazaarlens.llm') else find(name, package)\n"
+        "import sys\n"
+        "sys.modules['bazaarlens.llm'] = None\n"
+        "import __spark_entry__ as e\n"
+        "print(len(e.queries()), any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in e.queries()))\n"
+    )
+    root = Path(registry.__file__).parent
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), "False"]
+
+
 def test_entry_runs(spark):
     row = registry.entry(spark).first()
     assert 0 < row.rate_00 < 1 and row.did_se > 0
