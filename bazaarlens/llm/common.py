@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 import uuid
 
@@ -80,8 +81,53 @@ def mix64(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batches, rows: int):
-    """Arrow record batches cut to at most `rows` rows, so that memory depends on no batch setting."""
+def slices(batches, rows: int, size: int = 4_000_000):
+    """Arrow record batches cut to at most `rows` rows and about `size` bytes of text, so that memory depends on no batch setting.
+
+    A row longer than `size` is a slice of its own.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        length = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                length += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(length), 0
+        while start < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+            stop = min(start + rows, max(fits, start + 1))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+class Memory:
+    """What a task remembers by key, in two generations of about `limit` bytes: keys met again move to the young one."""
+
+    def __init__(self, limit: int = 48_000_000):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size, self.limit = 0, limit
+
+    def put(self, keys, values):
+        self.young.update(zip(keys, values, strict=True))
+        self.size += 160 * len(keys) + 2 * sum(map(len, keys))
+
+    def missing(self, keys: set) -> set:
+        """The keys not remembered; all others can be read in `young` until the next call."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        absent = keys.difference(self.young)
+        kept = list(absent.intersection(self.old))
+        self.put(kept, [self.old[key] for key in kept])
+        return absent.difference(kept)
+
+
+def load_tokenizer(path: str):
+    """The tokenizer of a vocabulary file, whole texts, one thread: Spark's tasks are the parallelism, and the library's own
+    threads each keep an allocator of their own, which grows from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer

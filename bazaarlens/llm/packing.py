@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import slices, text_or_empty
+from bazaarlens.llm.common import Memory, load_tokenizer, slices, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -49,42 +49,37 @@ class Example:
         return max(0, min(length, len(self.ids)) - self.prompt)
 
 
-def make_encoder(path: str, end_id: int, memory: int = 1_000_000):
+def make_encoder(path: str, end_id: int):
     """A function from texts to arrays of ids (end id last), equal to the library's on whole texts.
 
     The tokenizer drops white space and never joins words across it, so the chunks between blanks and line feeds are
-    encoded once each. A text with a chunk that holds any other white space or unprintable character is encoded whole.
+    encoded alone and remembered in bounded memory. A text with a chunk that holds any other white space or unprintable character is encoded whole.
     Letters and a tail of punctuation are separate words for it too, and it folds case, so chunks share their stems;
     stems of letters only are encoded many at a time and told apart by the mark that ends a word.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    tokenizer = load_tokenizer(path)
     ends_word = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    known: dict[str, bytes | None] = {}
+    chunks_known, stems_known = Memory(), Memory(24_000_000)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(texts):
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_stems(stems):
+    def learn_stems(stems):
         for start in range(0, len(stems), 4096):
             some = stems[start : start + 4096]
             ids = np.concatenate(encode([" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]))
             stops = (np.flatnonzero(ends_word[ids]) + 1) * 4
             if len(stops) == len(some) and stops[-1] == ids.nbytes:
-                raw, begin = ids.tobytes(), 0
-                for stem, stop in zip(some, stops.tolist(), strict=True):
-                    known[stem] = raw[begin:stop]
-                    begin = stop
+                raw = ids.tobytes()
+                stops = stops.tolist()
+                stems_known.put(some, [raw[begin:stop] for begin, stop in zip([0, *stops], stops)])
             else:
-                known.update((stem, ids.tobytes()) for stem, ids in zip(some, encode(some), strict=True))
+                stems_known.put(some, [ids.tobytes() for ids in encode(some)])
 
     def learn(fresh):
-        shared, alone = [], []
+        shared, alone, other = [], [], []
         for chunk in fresh:
             letters = chunk.rstrip(".,;:!?")
             if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
@@ -92,18 +87,20 @@ def make_encoder(path: str, end_id: int, memory: int = 1_000_000):
             elif chunk.isprintable():
                 alone.append(chunk)
             else:
-                known[chunk] = None
-        encode_stems(list({stem for _, stem, _ in shared}.difference(known)))
-        alone = list({*alone, *(tail for _, _, tail in shared)}.difference(known))
-        known.update((chunk, ids.tobytes()) for chunk, ids in zip(alone, encode(alone), strict=True))
-        known.update((chunk, known[stem] + known[tail]) for chunk, stem, tail in shared)
+                other.append(chunk)
+        chunks_known.put(other, [None] * len(other))
+        learn_stems(list(stems_known.missing({stem for _, stem, _ in shared})))
+        tails = list({tail for _, _, tail in shared})
+        tail_ids = dict(zip(tails, (ids.tobytes() for ids in encode(tails)), strict=True))
+        stem_ids = stems_known.young
+        chunks_known.put([chunk for chunk, _, _ in shared], [stem_ids[stem] + tail_ids[tail] for _, stem, tail in shared])
+        chunks_known.put(alone, [ids.tobytes() for ids in encode(alone)])
 
     def ids_of(texts):
-        if len(known) > memory:
-            known.clear()
-        known[""] = b""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        learn(set(chain.from_iterable(cut)).difference(known))
+        learn(chunks_known.missing(set(chain.from_iterable(cut)) | {""}) - {""})
+        known = chunks_known.young
+        known[""] = b""
         out = []
         for text, chunks in zip(texts, cut, strict=True):
             try:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import shared_folder, slices, text_or_empty
+from bazaarlens.llm.common import Memory, load_tokenizer, shared_folder, slices, text_or_empty
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 WHOLE = -(1 << 50)  # mark of a chunk that cannot be counted alone
@@ -30,37 +30,30 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(file.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def make_counter(path: str, memory: int = 600_000):
+def make_counter(path: str):
     """A function from a list of texts to token counts, equal to the library's on whole texts.
 
     A byte-level pre-tokenizer starts a new piece at any single blank or line feed between printable characters, so the
-    chunks between them are encoded once each and remembered. A text with any other white space or unprintable
+    chunks between them are encoded alone and remembered in bounded memory. A text with any other white space or unprintable
     character next to a cut is encoded whole.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    known: dict[str, int] = {}
+    tokenizer = load_tokenizer(path)
+    known = Memory()
 
     def encode(texts):
         return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(keys):
-        clean = []
+        clean, other = [], []
         for key in keys:
             body = key[1:] if key[:1] in ("\n", "\0") else key
-            if body and " " not in body and body.isprintable():
-                clean.append(key)
-            else:
-                known[key] = WHOLE
+            (clean if body and " " not in body and body.isprintable() else other).append(key)
+        known.put(other, [WHOLE] * len(other))
         pieces = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in clean]
-        known.update(zip(clean, encode(pieces), strict=True))
+        for start in range(0, len(clean), 20_000):
+            known.put(clean[start : start + 20_000], encode(pieces[start : start + 20_000]))
 
     def count(texts):
-        if len(known) > memory:
-            known.clear()
         cut = []
         for text in texts:
             if "\0" in text:  # a later chunk that begins with the mark of first ones
@@ -69,9 +62,8 @@ def make_counter(path: str, memory: int = 600_000):
             chunks = text.replace("\n", " \n").split(" ")
             chunks[0] = "\0" + chunks[0]
             cut.append(chunks)
-        fresh = set(chain.from_iterable(cut)).difference(known)
-        learn(fresh)
-        counts = [sum(map(known.__getitem__, chunks)) for chunks in cut]
+        learn(known.missing(set(chain.from_iterable(cut))))
+        counts = [sum(map(known.young.__getitem__, chunks)) for chunks in cut]
         whole = [i for i, n in enumerate(counts) if n < 0 and texts[i]]
         for i, n in zip(whole, encode([texts[i] for i in whole]), strict=True):
             counts[i] = n
