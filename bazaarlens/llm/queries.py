@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import ann, chat, decontaminate, langid, line_dedup, lm, near_dedup, packing, token_counts, toxicity
+from bazaarlens.llm import ann, chat, decontaminate, langid, line_dedup, lm, near_dedup, packing, quality, runs, token_counts, toxicity, whitening
 from bazaarlens.llm.common import fold, read_table
 
 
@@ -74,6 +74,23 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_planted_periods(read_table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learned = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    found = quality.score_quality(docs, quality.learn_quality(docs, learned))
+    return found.select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "top_passage", "top_weight"
+    )
+
+
 QUERIES = {
     "op1_likelihood": op1_likelihood,
     "op2_language": op2_language,
@@ -85,6 +102,9 @@ QUERIES = {
     "op8_leaks": op8_leaks,
     "op9_near": op9_near,
     "op10_neighbours": op10_neighbours,
+    "op11_runs": op11_runs,
+    "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
 
 ORACLE: dict[str, str] = {
