@@ -64,6 +64,19 @@ def flag_sum(flag: Column | str) -> Column:
     return F.sum(_col(flag).cast("int")).cast("bigint")
 
 
+def tally(success: Column | str, weight: Column | str | None = None) -> tuple[Column, Column]:
+    """Trials and successes of a row: 1 and the flag (NULL: none); of a cell: `weight` and its number of successes."""
+    if weight is None:
+        return F.lit(1), F.coalesce(_col(success).cast("int"), F.lit(0))
+    return _col(weight), _col(success)
+
+
+def total(value: Column, condition: Column | None = None) -> Column:
+    """Sum as BIGINT, of the rows under `condition`; 0 without rows."""
+    kept = value if condition is None else F.when(condition, value)
+    return F.coalesce(F.sum(kept), F.lit(0)).cast("bigint")
+
+
 def floored_log(c: Column | str, floor: float = 1.0) -> Column:
     return F.log(F.greatest(_col(c), F.lit(floor)))
 

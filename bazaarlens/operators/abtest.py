@@ -29,14 +29,12 @@ def _in_arm(arm: str, value: int) -> Column:
     return F.col(arm) == value
 
 
-def arm_counts(df: DataFrame, success: str, arm: str = "treatment") -> DataFrame:
-    """One row: trials and successes of both arms."""
-    hit = F.coalesce(F.col(success).cast("int"), F.lit(0))
+def arm_counts(df: DataFrame, success: str, arm: str = "treatment", weight: str | None = None) -> DataFrame:
+    """One row: trials and successes of both arms; of cells with `weight` rows and `success` successes each, if given."""
+    trials, hits = ex.tally(success, weight)
     return df.agg(
-        F.count_if(_in_arm(arm, 1)).alias("n_treated"),
-        F.coalesce(F.sum(F.when(_in_arm(arm, 1), hit)), F.lit(0)).alias("successes_treated"),
-        F.count_if(_in_arm(arm, 0)).alias("n_control"),
-        F.coalesce(F.sum(F.when(_in_arm(arm, 0), hit)), F.lit(0)).alias("successes_control"),
+        ex.total(trials, _in_arm(arm, 1)).alias("n_treated"), ex.total(hits, _in_arm(arm, 1)).alias("successes_treated"),
+        ex.total(trials, _in_arm(arm, 0)).alias("n_control"), ex.total(hits, _in_arm(arm, 0)).alias("successes_control"),
     )
 
 

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import calendar as cal
 from bazaarlens.functions import expressions as ex
 from bazaarlens.operators.ordered import ROWS_PER_SLICE, global_prefix, group_sequence, median_of_counts
+from bazaarlens.session import cut_lineage
 
 PLACED = "order_purchase_timestamp"
 FACTORS = ("category_en", "seller_volume_tier", "customer_state", "calendar_month")
 EPOCH = "1970-01-01"
+#: A dictionary of at most this many labels is broadcast (a few MB); beyond it the join is a salted shuffle.
+BROADCAST_LABELS, SALTS = 50_000, 16
+CELL_KEYS = ("purchase_week", *FACTORS, "eligible")
 
 
 @dataclass(frozen=True)
@@ -79,39 +83,55 @@ def within_grace(df: DataFrame, weeks: int, week: str = "purchase_week", history
     return df.where(F.col(week) <= latest)
 
 
-def median_week(df: DataFrame, week: str = "purchase_week") -> Column:
+def median_week(df: DataFrame, week: str = "purchase_week", weight: str | None = None) -> Column:
     """Row-weighted median week in days since the epoch, as a scalar subquery.
 
-    The exact percentile keeps one counter per distinct week, so its state is tiny.
+    The exact percentile keeps one counter per distinct week, so its state is tiny. `weight`
+    holds the number of rows behind each cell.
     """
-    return df.agg(F.percentile(F.unix_date(week), F.lit(0.5))).scalar()
+    rows = [F.col(weight)] if weight else []
+    return df.agg(F.percentile(F.unix_date(week), F.lit(0.5), *rows)).scalar()
 
 
-def label_arrays(df: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:
-    """One row with the sorted distinct labels of every factor (small domains)."""
-    return df.agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in factors])
+def label_dictionary(df: DataFrame, factor: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """`label, code` with codes 0..k-1 in label order; NULL has no code.
 
+    The distinct labels are stored and ranked by a prefix count over slices, so no task and
+    no value holds all of them.
+    """
+    labels = cut_lineage(df.where(F.col(factor).isNotNull()).select(F.col(factor).alias("label")).distinct())
+    placed = global_prefix(labels, ["label"], {"code": F.lit(1).cast("bigint")}, rows_per_slice=rows_per_slice)
+    return placed.select("label", F.col("code").cast("int").alias("code"))
+
+
+def attach_codes(
+    df: DataFrame, dictionary: DataFrame, label: str, alias: str, broadcast_labels: int = BROADCAST_LABELS, salts: int = SALTS
+) -> DataFrame:
+    """`df` with the code of its label from `dictionary` (label, code); NULL where there is none.
 
-def label_dictionary(df: DataFrame, factor: str) -> DataFrame:
-    """`label, code` with codes 0..k-1 in label order."""
-    labels = df.agg(F.sort_array(F.collect_set(factor)).alias("labels"))
-    return labels.select(F.posexplode("labels").alias("code", "label")).select("label", "code")
+    A dictionary whose counted labels fit is broadcast. A larger one is shuffled, `salts`
+    times, against rows spread by a hash of the whole row, so the rows of a hot label share
+    no task.
+    """
+    stored = cut_lineage(dictionary).select(F.col("label").alias("__label"), F.col("code").alias(alias))
+    if stored.count() <= broadcast_labels:
+        return df.join(F.broadcast(stored), F.col(label) == F.col("__label"), "left").drop("__label")
+    copies = stored.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = df.withColumn("__from", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    same = (F.col(label) == F.col("__label")) & (F.col("__from") == F.col("__to"))
+    return spread.join(copies, same, "left").drop("__label", "__from", "__to")
 
 
-def encode_labels(df: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:
+def encode_labels(df: DataFrame, factors: Sequence[str] = FACTORS, source: DataFrame | None = None) -> DataFrame:
     """Add `<factor>_code`: position in the sorted labels, -1 for NULL.
 
-    The labels of a grouping factor are few, so they travel as one scalar subquery and the
-    rows themselves are neither shuffled nor joined.
+    `source` is a smaller table with the same labels, for instance the cells of `df`.
     """
-    labels = label_arrays(df, factors)
-    struct = labels.select(F.struct(*factors).alias("labels")).scalar()
-    wide = df.withColumn("__labels", struct)
-    codes = {
-        f"{f}_code": (F.coalesce(F.array_position(F.col(f"__labels.{f}"), F.col(f)), F.lit(0)) - 1).cast("int")
-        for f in factors
-    }
-    return wide.withColumns(codes).drop("__labels")
+    for factor in factors:
+        code = f"{factor}_code"
+        df = attach_codes(df, label_dictionary(df if source is None else source, factor), factor, code)
+        df = df.withColumn(code, F.coalesce(code, F.lit(-1)))
+    return df
 
 
 def complete_rows(
@@ -128,11 +148,27 @@ def complete_rows(
     return within_grace(covariates, spec.grace_weeks, history=history).dropna(subset=needed)
 
 
-def finalise_spec(frame: DataFrame, spec: TreatmentSpec) -> TreatmentSpec:
+def finalise_spec(frame: DataFrame, spec: TreatmentSpec, weight: str | None = None) -> TreatmentSpec:
     """Set the cutover to the median week of the remaining rows, unless it is given."""
     if spec.cutover is not None:
         return spec
-    return replace(spec, cutover=median_week(frame))
+    return replace(spec, cutover=median_week(frame, weight=weight))
+
+
+def modelling_cells(rows: DataFrame, spec: TreatmentSpec) -> DataFrame:
+    """Complete rows → counts per (week, factors, eligible).
+
+    Everything but the cutover is in the keys, so the median week, the treatment columns and
+    every panel, test and fit over on-time or delivered orders can be read off this table.
+    Cells merge by adding up.
+    """
+    keyed = rows.withColumn("eligible", spec.eligible())
+    return keyed.groupBy(*CELL_KEYS).agg(*_panel_sums())
+
+
+def with_treatment(df: DataFrame, spec: TreatmentSpec) -> DataFrame:
+    """`post` and `treatment` of rows or cells that have `eligible` and `purchase_week`."""
+    return df.withColumn("post", spec.post()).withColumn("treatment", F.col("eligible") * F.col("post"))
 
 
 def modelling_frame(
@@ -147,22 +183,32 @@ def modelling_frame(
     return encode_labels(treated), final
 
 
+def _panel_sums() -> list[Column]:
+    return [
+        ex.total(F.lit(1)).alias("n_orders"), ex.total(F.col("is_delivered").cast("int")).alias("n_delivered"),
+        ex.total(F.col("is_on_time").cast("int")).alias("n_on_time"),
+        F.sum("items_subtotal").alias("subtotal"), F.count("items_subtotal").alias("n_subtotals"),
+    ]
+
+
 def _panel(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        F.coalesce(ex.flag_sum("is_delivered"), F.lit(0)).alias("n_delivered"),
-        F.coalesce(ex.flag_sum("is_on_time"), F.lit(0)).alias("n_on_time"),
-        F.avg("items_subtotal").alias("avg_subtotal"),
+    if "n_orders" in df.columns:
+        added = [ex.total(F.col(c)).alias(c) for c in ("n_orders", "n_delivered", "n_on_time", "n_subtotals")]
+        sums = df.groupBy(*keys).agg(*added, F.sum("subtotal").alias("subtotal"))
+    else:
+        sums = df.groupBy(*keys).agg(*_panel_sums())
+    return sums.select(
+        *keys, "n_orders", "n_delivered", "n_on_time", ex.safe_ratio("subtotal", "n_subtotals").alias("avg_subtotal")
     )
 
 
 def panel_naive(frame: DataFrame) -> DataFrame:
-    """Sufficient statistics per (category, tier, state, month, treatment)."""
+    """Sufficient statistics per (category, tier, state, month, treatment), of rows or of their cells."""
     return _panel(frame, [*(f"{f}_code" for f in FACTORS), "treatment"])
 
 
 def panel_did(frame: DataFrame) -> DataFrame:
-    """Sufficient statistics per (category, tier, state, eligible, post)."""
+    """Sufficient statistics per (category, tier, state, eligible, post), of rows or of their cells."""
     return _panel(frame, [*(f"{f}_code" for f in FACTORS[:3]), "eligible", "post"])
 
 
@@ -192,27 +238,23 @@ def select_outcome(panel: DataFrame, keys: Sequence[str], outcome: str = "n_on_t
     return panel.select(*keys, F.col("n_orders").alias("trials"), F.col(outcome).alias("successes"))
 
 
-def cell_summary(df: DataFrame, score: str | None = None) -> DataFrame:
-    """2×2 summary by (eligible, post): on-time counts, or the mean of a score."""
+def cell_summary(df: DataFrame, score: str | None = None, success: str = "is_on_time", weight: str | None = None) -> DataFrame:
+    """2×2 summary by (eligible, post): on-time counts (of rows or finer cells), or the mean of a score."""
     cells = df.groupBy("eligible", "post")
     if score:
         return cells.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias(f"avg_{score}"))
-    hits = F.coalesce(ex.flag_sum("is_on_time"), F.lit(0))
-    return cells.agg(
-        F.count(F.lit(1)).alias("n"), hits.alias("on_time"),
-        ex.safe_ratio(hits, F.count(F.lit(1))).alias("rate"),
-    )
+    trials, hits = ex.tally(success, weight)
+    sums = cells.agg(ex.total(trials).alias("n"), ex.total(hits).alias("on_time"))
+    return sums.withColumn("rate", ex.safe_ratio("on_time", "n"))
 
 
 def keep_frequent(df: DataFrame, label: str, at_least: int = 50) -> DataFrame:
-    """Rows whose label occurs at least `at_least` times.
-
-    The surviving labels are a small domain (each stands for many rows) and travel as one
-    scalar subquery, so the frame is not shuffled on a label that may hold most rows.
-    """
-    frequent = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
-    kept = frequent.agg(F.collect_list(label).alias("labels")).scalar()
-    return df.withColumn("__kept", kept).where(F.array_contains("__kept", F.col(label))).drop("__kept")
+    """Rows whose label occurs at least `at_least` times (never those without a label)."""
+    frequent = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("label").isNotNull() & (F.col("n") >= at_least)
+    )
+    marked = attach_codes(df, frequent.select("label", F.lit(1).alias("code")), label, "__frequent")
+    return marked.where(F.col("__frequent").isNotNull()).drop("__frequent")
 
 
 def customer_revenue_frame(repeat: DataFrame, spec: TreatmentSpec, at_least: int = 50) -> DataFrame:

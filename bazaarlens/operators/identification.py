@@ -69,16 +69,16 @@ def pre_trend_test(pre: DataFrame) -> DataFrame:
     )
 
 
-def cell_counts(df: DataFrame, success: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Successes `k_ep` and trials `n_ep` of the four (eligible, post) cells, wide."""
-    hit = F.coalesce(success.cast("int"), F.lit(0))
+def cell_counts(df: DataFrame, success: Column, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Successes `k_ep` and trials `n_ep` of the four (eligible, post) cells, wide.
+
+    `df` holds rows with a flag, or finer cells with `weight` rows and `success` successes.
+    """
+    trials, hits = ex.tally(success, weight)
     aggregates = []
     for name, (e, p) in CELLS.items():
         here = (F.col("eligible") == e) & (F.col("post") == p)
-        aggregates += [
-            F.coalesce(F.sum(F.when(here, hit)), F.lit(0)).cast("bigint").alias(f"k_{name}"),
-            F.count_if(here).alias(f"n_{name}"),
-        ]
+        aggregates += [ex.total(hits, here).alias(f"k_{name}"), ex.total(trials, here).alias(f"n_{name}")]
     return df.groupBy(*keys).agg(*aggregates)
 
 

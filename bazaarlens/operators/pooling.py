@@ -61,12 +61,12 @@ def category_arm_logit(cells: DataFrame, category: str = "category", arm: str =
     return _contrast(cells, [category], signed)
 
 
-def outcome_cells(df: DataFrame, category: str, success: Column, keys: Sequence[str] = ("eligible", "post")) -> DataFrame:
-    """Rows → `category, keys…, trials, successes`."""
-    hit = F.coalesce(success.cast("int"), F.lit(0))
-    return df.groupBy(F.col(category).alias("category"), *keys).agg(
-        F.count(F.lit(1)).alias("trials"), F.sum(hit).alias("successes")
-    )
+def outcome_cells(
+    df: DataFrame, category: str, success: Column, keys: Sequence[str] = ("eligible", "post"), weight: str | None = None
+) -> DataFrame:
+    """Rows (or finer cells of `weight` rows and `success` successes) → `category, keys…, trials, successes`."""
+    trials, hits = ex.tally(success, weight)
+    return df.groupBy(F.col(category).alias("category"), *keys).agg(ex.total(trials).alias("trials"), ex.total(hits).alias("successes"))
 
 
 def partial_pool(
@@ -252,6 +252,39 @@ def ordinal_cutpoints(reviews: DataFrame, levels: int = 5) -> DataFrame:
     )
 
 
+def treated_level(cells: DataFrame) -> DataFrame:
+    """`category, level`: corrected log-odds of the eligible, post-policy cell."""
+    here = (F.col("eligible") == 1) & (F.col("post") == 1)
+    s, f = (F.coalesce(F.sum(F.when(here, v)), F.lit(0)) + HALDANE for v in (F.col("successes"), F.col("trials") - F.col("successes")))
+    return cells.groupBy("category").agg(F.log(s / f).alias("level"))
+
+
+def predictive_limits(pooled: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Each category's estimate against what the fitted pool predicts for it, in closed form.
+
+    A new category's estimate is normal around the pooled mean with the variance of the
+    estimate, between categories, and of the mean. With `levels` (see `treated_level`) the
+    comparison is made for the treated cell's rate: the other cells and the pooled effect
+    predict it. GOOD inside the 94% limits, CHECK outside; categories without an estimate
+    are left out.
+    """
+    known = pooled.where(F.col("effect").isNotNull())
+    sd = F.sqrt(F.col("variance") + F.col("tau2") + F.col("mu_sd") * F.col("mu_sd"))
+    seen, scale = F.col("effect"), (lambda v: v)
+    if levels is not None:
+        known = known.join(levels, "category")
+        seen, scale = F.col("level"), ex.logistic
+    middle = seen - F.col("effect") + F.col("mu")
+    limits = known.withColumns({"__m": middle, "__h": F.lit(INTERVAL_Z) * sd, "z": (F.col("effect") - F.col("mu")) / sd})
+    keys = [c for c in ("stage", "category") if c in pooled.columns]
+    inside = F.abs("z") <= INTERVAL_Z
+    return limits.select(
+        *keys, scale(seen).alias("observed"), scale(F.col("__m")).alias("predicted"),
+        scale(F.col("__m") - F.col("__h")).alias("low"), scale(F.col("__m") + F.col("__h")).alias("high"), "z",
+        F.when(inside, "GOOD").otherwise("CHECK").alias("verdict"),
+    )
+
+
 def prior_sensitivity(effects: DataFrame) -> DataFrame:
     """The pooled mean under several rules for the between-category variance.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,12 +75,53 @@ def stack_checks(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def quality_diagnostics(facts: DataFrame, customers: DataFrame, retention: DataFrame) -> DataFrame:
-    """The five standing gates of the warehouse."""
+# ---- fixed values: gates that a table's own writing answers ---------------------------
+GATES = {
+    "gold.fact_orders": {"fact_orders payment_total >= 0": ("payment_total", 0.0, None)},
+    "analytics.cohort_retention": {"cohort_retention rate in [0,1]": ("retention_rate", 0.0, 1.0)},
+}
+# ---------------------------------------------------------------------------------------
+
+
+def watch(df: DataFrame, gates: Mapping[str, tuple[str, float | None, float | None]]) -> tuple[DataFrame, Observation]:
+    """`df` that counts, whenever it is next written or stored, its rows and each gate's offending rows.
+
+    Gates are `name → (column, low, high)`. The counts come with that pass; no other is made.
+    """
+    seen = Observation()
+    bad = {}
+    for at, (column, low, high) in enumerate(gates.values()):
+        outside = F.lit(False)
+        outside = outside if low is None else outside | F.coalesce(F.col(column) < low, F.lit(False))
+        outside = outside if high is None else outside | F.coalesce(F.col(column) > high, F.lit(False))
+        bad[f"g{at}"] = F.count_if(outside)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in bad.items()]), seen
+
+
+def watched_counts(seen: Observation, gates: Mapping[str, tuple]) -> dict[str, int]:
+    """Offending rows by gate, after the watched table has been stored."""
+    found = seen.get
+    return {name: int(found[f"g{at}"]) for at, name in enumerate(gates)}
+
+
+def watched_checks(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    rows = [(name, "ok" if n == 0 else "FAIL", str(n)) for name, n in counts.items()]
+    return spark.createDataFrame(rows, "check_name string, status string, observed string")
+
+
+def quality_diagnostics(
+    facts: DataFrame, customers: DataFrame, retention: DataFrame, counted: Mapping[str, int] | None = None
+) -> DataFrame:
+    """The five standing gates of the warehouse; `counted` holds the offending rows of range gates watched before."""
+    counted = dict(counted or {})
+    ranges = []
+    for df, gates in zip((facts, retention), GATES.values(), strict=True):
+        ranges += [range_check(df, column, name, low, high) for name, (column, low, high) in gates.items() if name not in counted]
+    if counted:
+        ranges.append(watched_checks(facts.sparkSession, counted))
     return stack_checks(
         unique_check(facts, "order_id", "fact_orders unique on order_id"),
         unique_check(customers, "customer_unique_id", "dim_customer unique on customer_unique_id"),
         fk_check(facts, customers, "customer_unique_id", "fact_orders -> dim_customer FK"),
-        range_check(facts, "payment_total", "fact_orders payment_total >= 0", low=0),
-        range_check(retention, "retention_rate", "cohort_retention rate in [0,1]", low=0, high=1),
+        *ranges,
     )

@@ -721,3 +721,82 @@ JOIN (SELECT review_score, n / CAST(sum(n) OVER (PARTITION BY chain, draw) AS DO
   ON d.review_score = o.review_score GROUP BY o.review_score""", base="review_rows", extra=(
     "sc_cells AS (SELECT review_score, count(*) AS n FROM review_rows GROUP BY review_score)",
     f"sc_draws AS ({drawn('sc_cells', ['review_score'], ['n'], 4)})"))
+
+
+# -------------------------------------------------------------- predictive limits --
+def _limits(pooled: str, keys: str, seen: str = "effect", rate: bool = False) -> str:
+    def scale(v: str) -> str:
+        return f"1.0 / (1.0 + exp(-({v})))" if rate else v
+
+    middle = f"({seen} - effect + mu)"
+    return f"""
+SELECT {keys}, {r(scale(seen), 6, "observed")}, {r(scale(middle), 6, "predicted")}, {r(scale(f"{middle} - 1.880794 * spread"), 6, "low")},
+  {r(scale(f"{middle} + 1.880794 * spread"), 6, "high")}, {r("(effect - mu) / spread", 5, "z")},
+  CASE WHEN abs((effect - mu) / spread) <= 1.880794 THEN 'GOOD' ELSE 'CHECK' END AS verdict
+FROM (SELECT *, sqrt(variance + tau2 + mu_sd * mu_sd) AS spread FROM ({pooled})) WHERE effect IS NOT NULL"""
+
+
+_LEVEL = """SELECT category_en AS category, ln((count(*) FILTER (eligible = 1 AND post = 1 AND is_on_time) + 0.5)
+  / (count(*) FILTER (eligible = 1 AND post = 1 AND NOT is_on_time) + 0.5)) AS level FROM frame GROUP BY category_en"""
+_sql("predictive_limits", _limits(f"SELECT * FROM ({pool(ON_TIME)}) JOIN ({_LEVEL}) USING (category)", "category", "level", True))
+_sql("predictive_limits_hurdle", _limits(HURDLE, "stage, category"))
+_sql("predictive_limits_scores", _limits(ORDINAL, "category"))
+
+_WHERE = "purchase_week, category_en, seller_volume_tier, customer_state, eligible, post"
+
+
+def _left_out(model: str, group: str) -> str:
+    return f"""SELECT '{model}' AS model, {_WHERE}, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1.0 - p) AS e
+FROM (SELECT *, (sum(k) OVER g - k + 0.5) / (sum(n) OVER g - n + 1.0) AS p
+      FROM (SELECT {_WHERE}, treatment, count(*) AS n, count(*) FILTER (is_on_time) AS k FROM frame GROUP BY ALL)
+      WINDOW g AS (PARTITION BY {group}))"""
+
+
+_BOTH = _left_out("naive", "category_en, treatment") + " UNION ALL " + _left_out("did", "category_en, eligible, post")
+_sql("model_comparison", f"""
+SELECT model, count(*) AS n_cells, {r("sum(e)", 3, "elpd")}, {r("sqrt(count(*) * var_pop(e))", 3, "se")},
+  CAST(max(rank) AS INTEGER) AS rank, {r("sum(e - top)", 3, "difference")}, {r("sqrt(count(*) * var_pop(e - top))", 4, "difference_se")}
+FROM (SELECT *, max(e) FILTER (rank = 1) OVER (PARTITION BY {_WHERE}) AS top
+      FROM (SELECT *, dense_rank() OVER (ORDER BY total DESC, model) AS rank
+            FROM (SELECT *, sum(e) OVER (PARTITION BY model) AS total FROM ({_BOTH}))))
+GROUP BY model""")
+
+
+# -------------------------------------------------------------- MAP certificates ---
+# at the optimum every coefficient explains the outcome total of its own rows
+def _certificate(source: str, outcome: str, terms: list[tuple[str, str | None, str, bool]], stage: str, cutpoints: int = 0) -> str:
+    """`terms` are (name, label column or none, multiplier, has a common mean)."""
+    parts = []
+    for name, label, times, bar in terms:
+        if label:
+            parts.append(f"SELECT '{name}' AS term, CAST({label} AS VARCHAR) AS label, CAST(sum(({times}) * ({outcome})) AS DOUBLE) AS total "
+                         f"FROM {source} GROUP BY {label}")
+        if bar or not label:
+            parts.append(f"SELECT '{name}{'_bar' if bar else ''}', CAST(NULL AS VARCHAR), CAST(sum(({times}) * ({outcome})) AS DOUBLE) FROM {source}")
+    parts += [f"SELECT 'cutpoint', '{k}', CAST(0 AS DOUBLE)" for k in range(1, cutpoints)]
+    return (f"SELECT term, label, {r('total', 3, 'observed')}, {r('total', 3, 'explained')}, '{stage}' AS stage "
+            f"FROM ({' UNION ALL '.join(parts)})")
+
+
+_CAT, _POLICY = "category_en", "eligible * post"
+_DID_FIXED = [("eligible", None, "eligible", False), ("post", None, "post", False)]
+_HIT, _BACK = "CASE WHEN is_on_time THEN 1 ELSE 0 END", "economic_repeat"
+_SPENDERS = "(SELECT * FROM revenue_rows WHERE economic_repeat = 1)"
+_SLOPE = ("log_first_subtotal", None, "log_first_subtotal", False)
+_sql("map_certificate", _certificate("frame", _HIT, [
+    ("alpha", _CAT, "1", True), *_DID_FIXED, ("delta", _CAT, _POLICY, True),
+    ("gamma_tier", "seller_volume_tier", "1", False), ("gamma_state", "customer_state", "1", False)], "on_time"))
+_sql("map_certificate_naive", _certificate("frame", _HIT, [
+    ("alpha", _CAT, "1", True), ("tau", _CAT, "treatment", True), ("beta_tier", "seller_volume_tier", "1", False),
+    ("gamma_state", "customer_state", "1", False), ("delta_month", "calendar_month", "1", False)], "on_time"))
+_sql("map_certificate_revenue", _certificate("revenue_rows", _BACK, [
+    ("alpha", "first_category", "1", True), *_DID_FIXED, ("delta", "first_category", _POLICY, True)], "repeat") + " UNION ALL " + _certificate(
+    _SPENDERS, "ln(repeat_revenue)", [("beta", "first_category", "1", True), *_DID_FIXED, ("delta", "first_category", _POLICY, True), _SLOPE], "spend"))
+_sql("map_certificate_revenue_naive", _certificate("revenue_rows", _BACK, [
+    ("alpha", "first_category", "1", True), ("tau", "first_category", "treatment", True)], "repeat") + " UNION ALL " + _certificate(
+    _SPENDERS, "ln(repeat_revenue)", [("beta", "first_category", "1", True), ("delta", "first_category", "treatment", True), _SLOPE], "spend"))
+_sql("map_certificate_review", _certificate("review_rows", "1", [
+    ("beta", _CAT, "1", True), *_DID_FIXED, ("delta", _CAT, _POLICY, True), ("gamma_tier", "seller_volume_tier", "1", False)], "review", 4))
+_sql("map_certificate_review_naive", _certificate("review_rows", "1", [
+    ("beta", _CAT, "1", True), ("tau", _CAT, "treatment", True), ("gamma_tier", "seller_volume_tier", "1", False),
+    ("delta_month", "calendar_month", "1", False)], "review", 4))

@@ -56,27 +56,43 @@ class Study:
             self.house.order_rollups, self.house.customers, self.house.anchors, self.tiers
         )
 
+    def complete(self) -> DataFrame:
+        return features.complete_rows(self.covariates, SPEC, history=self.house.orders)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The mergeable cell table, stored once: tests, panels and fits read it instead of orders."""
+        return cut_lineage(features.modelling_cells(self.complete(), SPEC))
+
     @cached_property
     def rows(self) -> DataFrame:
-        """Stored once: the cutover, the label codes and the frame itself all read it."""
-        return cut_lineage(features.complete_rows(self.covariates, SPEC, history=self.house.orders))
+        """Stored only for queries that return or bin single orders."""
+        return cut_lineage(self.complete())
 
     @cached_property
     def spec(self) -> features.TreatmentSpec:
-        return features.finalise_spec(self.rows, SPEC)
+        if "rows" in self.__dict__:
+            return features.finalise_spec(self.rows, SPEC)
+        return features.finalise_spec(self.cells, SPEC, weight="n_orders")
 
     @cached_property
     def treated(self) -> DataFrame:
         """Complete rows with treatment columns, without label codes."""
-        spec = self.spec
-        return self.rows.withColumns(
-            {"eligible": spec.eligible(), "post": spec.post(), "treatment": spec.assign()}
-        )
+        rows = self.rows
+        return features.with_treatment(rows.withColumn("eligible", SPEC.eligible()), self.spec)
+
+    @cached_property
+    def treated_cells(self) -> DataFrame:
+        return features.with_treatment(self.cells, self.spec)
 
     @cached_property
     def frame(self) -> DataFrame:
         return features.encode_labels(self.treated)
 
+    @cached_property
+    def frame_cells(self) -> DataFrame:
+        return features.encode_labels(self.treated_cells, source=self.cells)
+
     @cached_property
     def revenue(self) -> DataFrame:
         return cut_lineage(features.customer_revenue_frame(self.house.repeat_revenue, self.spec))
@@ -251,6 +267,9 @@ def _panel(s: Study) -> DataFrame:
 
 @query("quality_diagnostics")
 def _quality(s: Study) -> DataFrame:
+    """Facts and retention are stored once; their range gates are counted while that happens."""
+    for name in quality.GATES:
+        s.house.store_watched(name, cut_lineage)
     return s.house.quality_diagnostics
 
 
@@ -302,22 +321,22 @@ def _labels(s: Study) -> DataFrame:
 
 @query("panel_naive")
 def _panel_naive(s: Study) -> DataFrame:
-    return rounded(features.panel_naive(s.frame), avg_subtotal=4)
+    return rounded(features.panel_naive(s.frame_cells), avg_subtotal=4)
 
 
 @query("panel_did")
 def _panel_did(s: Study) -> DataFrame:
-    return rounded(features.panel_did(s.frame), avg_subtotal=4)
+    return rounded(features.panel_did(s.frame_cells), avg_subtotal=4)
 
 
 @query("panel_outcome_delivered")
 def _panel_outcome(s: Study) -> DataFrame:
-    return features.select_outcome(features.panel_did(s.frame), features.DID_COLUMNS, "n_delivered")
+    return features.select_outcome(features.panel_did(s.frame_cells), features.DID_COLUMNS, "n_delivered")
 
 
 @query("cell_summary_2x2")
 def _cells(s: Study) -> DataFrame:
-    return rounded(features.cell_summary(s.treated), rate=6)
+    return rounded(features.cell_summary(s.treated_cells, success="n_on_time", weight="n_orders"), rate=6)
 
 
 @query("cell_summary_reviews")
@@ -378,7 +397,7 @@ def _freight(s: Study) -> DataFrame:
 # ------------------------------------------------------------- A/B tests -----------
 @query("ab_two_proportion_z")
 def _z(s: Study) -> DataFrame:
-    result = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    result = abtest.two_proportion_z(abtest.arm_counts(s.treated_cells, "n_on_time", weight="n_orders"))
     return rounded(result, **{c: 6 for c in ("rate_treated", "rate_control", "diff", "z", "p_value", "ci_low", "ci_high")})
 
 
@@ -424,7 +443,7 @@ def _crosstab_wide(s: Study) -> DataFrame:
 @query("ab_report")
 def _report(s: Study) -> DataFrame:
     """Long rows of all five tests, plus the printable line of those with an interval."""
-    z = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    z = abtest.two_proportion_z(abtest.arm_counts(s.treated_cells, "n_on_time", weight="n_orders"))
     welch = _welch_result(s)
     parts = [
         abtest.long_result(z.select("diff", "z", "p_value"), "two_proportion_z", "on_time"),
@@ -447,7 +466,7 @@ def _report(s: Study) -> DataFrame:
 
 @query("ab_report_lines")
 def _report_lines(s: Study) -> DataFrame:
-    z = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
+    z = abtest.two_proportion_z(abtest.arm_counts(s.treated_cells, "n_on_time", weight="n_orders"))
     line = abtest.report_line(
         F.lit("on-time (z)"), F.col("diff"), F.col("ci_low"), F.col("ci_high"), F.col("p_value")
     )
@@ -464,14 +483,14 @@ DID_DIGITS = {
 
 @query("did_saturated")
 def _did(s: Study) -> DataFrame:
-    counts = identification.cell_counts(s.treated, F.col("is_on_time"))
+    counts = identification.cell_counts(s.treated_cells, F.col("n_on_time"), weight="n_orders")
     return rounded(identification.saturated_did(counts), **DID_DIGITS)
 
 
 @query("naive_vs_did")
 def _naive_vs_did(s: Study) -> DataFrame:
-    naive = abtest.two_proportion_z(abtest.arm_counts(s.treated, "is_on_time"))
-    did = identification.saturated_did(identification.cell_counts(s.treated, F.col("is_on_time")))
+    naive = abtest.two_proportion_z(abtest.arm_counts(s.treated_cells, "n_on_time", weight="n_orders"))
+    did = identification.saturated_did(identification.cell_counts(s.treated_cells, F.col("n_on_time"), weight="n_orders"))
     both = identification.naive_vs_did(naive, did)
     return rounded(both, **{c: 6 for c in both.columns})
 
@@ -536,7 +555,7 @@ POOL_DIGITS = {
 
 
 def _did_effects(s: Study) -> DataFrame:
-    cells = pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time"))
+    cells = pooling.outcome_cells(s.treated_cells, "category_en", F.col("n_on_time"), weight="n_orders")
     return pooling.category_did_logit(cells)
 
 
@@ -558,7 +577,7 @@ def _pooled_mean(s: Study) -> DataFrame:
 
 @query("category_naive_pooled")
 def _naive_pooled(s: Study) -> DataFrame:
-    cells = pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time"), ("treatment",))
+    cells = pooling.outcome_cells(s.treated_cells, "category_en", F.col("n_on_time"), ("treatment",), weight="n_orders")
     return rounded(pooling.partial_pool(pooling.category_arm_logit(cells)), **POOL_DIGITS)
 
 
@@ -636,7 +655,7 @@ DRAWS = 4000  # 1,000 per chain
 
 
 def _on_time_cells(s: Study) -> DataFrame:
-    return cut_lineage(pooling.outcome_cells(s.treated, "category_en", F.col("is_on_time")))
+    return cut_lineage(pooling.outcome_cells(s.treated_cells, "category_en", F.col("n_on_time"), weight="n_orders"))
 
 
 def _effect_draws(s: Study) -> DataFrame:
@@ -710,59 +729,103 @@ def _predictive_scores(s: Study) -> DataFrame:
     return rounded(draws.predictive_shares(counts, again, "review_score"), observed=6, replicated=6)
 
 
+@query("predictive_limits")
+def _predictive_limits(s: Study) -> DataFrame:
+    """On-time rate of every category's treated cell against the pooled fit."""
+    cells = pooling.outcome_cells(s.treated_cells, "category_en", F.col("n_on_time"), weight="n_orders")
+    pooled = pooling.partial_pool(pooling.category_did_logit(cells))
+    return rounded(pooling.predictive_limits(pooled, pooling.treated_level(cells)), **LIMITS)
+
+
+@query("predictive_limits_hurdle")
+def _predictive_limits_hurdle(s: Study) -> DataFrame:
+    return rounded(pooling.predictive_limits(pooling.hurdle_effects(s.revenue)), **LIMITS)
+
+
+@query("predictive_limits_scores")
+def _predictive_limits_scores(s: Study) -> DataFrame:
+    return rounded(pooling.predictive_limits(pooling.ordinal_effects(s.reviews)), **LIMITS)
+
+
+LIMITS = dict(observed=6, predicted=6, low=6, high=6, z=5)
+COMPARED = ["purchase_week", "category_en", "seller_volume_tier", "customer_state", "eligible", "post"]
+
+
+@query("model_comparison")
+def _model_comparison(s: Study) -> DataFrame:
+    """The naive and the difference-in-differences rates, each scored on the cells left out."""
+    cells = s.treated_cells.groupBy(*COMPARED, "treatment").agg(F.sum("n_orders").alias("trials"), F.sum("n_on_time").alias("successes"))
+    models = {"naive": ["category_en", "treatment"], "did": ["category_en", "eligible", "post"]}
+    pointwise = cut_lineage(draws.cell_elpd(cells, models, COMPARED))
+    return rounded(draws.compare_models(pointwise, COMPARED), elpd=3, se=3, difference=3, difference_se=4)
+
+
 # -------------------------------------------------------------- MAP fits -----------
 ON_TIME_LABELS = {"category": "category_en", "tier": "seller_volume_tier", "state": "customer_state"}
-DID = ["eligible", "post"]
+REVIEW_LABELS = {"category": "category_en", "tier": "seller_volume_tier"}
+DID, NAIVE = ["eligible", "post"], ["treatment"]
 
 
-@query("map_fit")
-def _map_fit(s: Study) -> DataFrame:
-    """On-time delivery, difference-in-differences."""
-    cells = mapfit.binomial_cells(s.treated, F.col("is_on_time"), ON_TIME_LABELS, DID)
-    return mapfit.map_fit(mapfit.with_policy(cells), mapfit.BINOMIAL_DID).coefficients
+def _on_time_fit_cells(s: Study, naive: bool) -> DataFrame:
+    """On-time delivery."""
+    if naive:
+        return mapfit.binomial_cells(s.treated_cells, F.col("n_on_time"), {**ON_TIME_LABELS, "month": "calendar_month"}, NAIVE, "n_orders")
+    return mapfit.with_policy(mapfit.binomial_cells(s.treated_cells, F.col("n_on_time"), ON_TIME_LABELS, DID, "n_orders"))
 
 
-@query("map_fit_naive")
-def _map_fit_naive(s: Study) -> DataFrame:
-    labels = {**ON_TIME_LABELS, "month": "calendar_month"}
-    cells = mapfit.binomial_cells(s.treated, F.col("is_on_time"), labels, ["treatment"])
-    return mapfit.map_fit(cells, mapfit.BINOMIAL_NAIVE).coefficients
+def _repeat_fit_cells(s: Study, naive: bool) -> DataFrame:
+    """Did the customer come back?"""
+    cells = mapfit.binomial_cells(s.revenue, F.col("economic_repeat"), {"category": "first_category"}, NAIVE if naive else DID)
+    return cells if naive else mapfit.with_policy(cells)
 
 
-def _hurdle_fit(s: Study, repeat: mapfit.Model, spend: mapfit.Model, indicators: list[str]) -> DataFrame:
-    """Did the customer come back, and how much was spent then; one table per stage, stacked."""
-    labels = {"category": "first_category"}
-    policy = mapfit.with_policy if "post" in indicators else (lambda df: df)
-    cells = policy(mapfit.binomial_cells(s.revenue, F.col("economic_repeat"), labels, indicators))
-    positive = s.revenue.where(F.col("economic_repeat") == 1).select(
-        F.col("first_category").alias("category"), *indicators, "log_first_subtotal",
-        F.log("repeat_revenue").alias("y"),
+def _spend_fit_cells(s: Study, naive: bool) -> DataFrame:
+    """How much did returning customers spend? Moments of the log."""
+    positive = s.revenue.where(F.col("economic_repeat") == 1)
+    cells = mapfit.gaussian_cells(
+        positive, F.log("repeat_revenue"), F.col("log_first_subtotal"), {"category": "first_category"}, NAIVE if naive else DID
     )
-    first = mapfit.map_fit(cells, repeat).coefficients.withColumn("stage", F.lit("repeat"))
-    second = mapfit.map_fit(policy(positive), spend).coefficients.withColumn("stage", F.lit("spend"))
-    return first.unionByName(second)
+    return cells if naive else mapfit.with_policy(cells)
 
 
-@query("map_fit_revenue")
-def _map_fit_revenue(s: Study) -> DataFrame:
-    return _hurdle_fit(s, mapfit.REPEAT_DID, mapfit.SPEND_DID, DID)
+def _review_fit_cells(s: Study, naive: bool) -> DataFrame:
+    if naive:
+        return mapfit.ordinal_cells(s.reviews, {**REVIEW_LABELS, "month": "calendar_month"}, NAIVE)
+    return mapfit.with_policy(mapfit.ordinal_cells(s.reviews, REVIEW_LABELS, DID))
 
 
-@query("map_fit_revenue_naive")
-def _map_fit_revenue_naive(s: Study) -> DataFrame:
-    return _hurdle_fit(s, mapfit.REPEAT_NAIVE, mapfit.SPEND_NAIVE, ["treatment"])
+# name of the query → stages of (stage, cells, model)
+MAP_FITS = {
+    "": [("on_time", _on_time_fit_cells, mapfit.BINOMIAL_DID)],
+    "_naive": [("on_time", _on_time_fit_cells, mapfit.BINOMIAL_NAIVE)],
+    "_revenue": [("repeat", _repeat_fit_cells, mapfit.REPEAT_DID), ("spend", _spend_fit_cells, mapfit.SPEND_DID)],
+    "_revenue_naive": [("repeat", _repeat_fit_cells, mapfit.REPEAT_NAIVE), ("spend", _spend_fit_cells, mapfit.SPEND_NAIVE)],
+    "_review": [("review", _review_fit_cells, mapfit.REVIEW_DID)],
+    "_review_naive": [("review", _review_fit_cells, mapfit.REVIEW_NAIVE)],
+}
 
 
-REVIEW_LABELS = {"category": "category_en", "tier": "seller_volume_tier"}
+def _fitted(s: Study, name: str):
+    """(stage, stored cells, model, fit) of one query's stages."""
+    for stage, build, model in MAP_FITS[name]:
+        cells = cut_lineage(build(s, name.endswith("_naive")))
+        yield stage, cells, model, mapfit.map_fit(cells, model)
+
 
+def _register_map_fit(name: str) -> None:
+    @query(f"map_fit{name}")
+    def rows(s: Study) -> DataFrame:
+        """Coefficients, scales and cutpoints of every stage, with steps and convergence."""
+        parts = [fit.parameters.withColumn("stage", F.lit(stage)) for stage, _, _, fit in _fitted(s, name)]
+        return reduce(DataFrame.unionByName, parts)
 
-@query("map_fit_review")
-def _map_fit_review(s: Study) -> DataFrame:
-    cells = mapfit.with_policy(mapfit.ordinal_cells(s.reviews, REVIEW_LABELS, DID))
-    return mapfit.map_fit(cells, mapfit.REVIEW_DID).coefficients
+    @query(f"map_certificate{name}")
+    def certificate(s: Study) -> DataFrame:
+        """Outcome totals behind every coefficient, as seen and as the fit explains them."""
+        parts = [mapfit.certificate(cells, model, fit).withColumn("stage", F.lit(stage)) for stage, cells, model, fit in _fitted(s, name)]
+        table = rounded(reduce(DataFrame.unionByName, parts), observed=3, explained=3)
+        return table.withColumns({c: F.col(c) + F.lit(0.0) for c in ("observed", "explained")})
 
 
-@query("map_fit_review_naive")
-def _map_fit_review_naive(s: Study) -> DataFrame:
-    cells = mapfit.ordinal_cells(s.reviews, {**REVIEW_LABELS, "month": "calendar_month"}, ["treatment"])
-    return mapfit.map_fit(cells, mapfit.REVIEW_NAIVE).coefficients
+for _name in MAP_FITS:
+    _register_map_fit(_name)

@@ -136,7 +136,23 @@ class Warehouse:
 
     @cached_property
     def quality_diagnostics(self) -> DataFrame:
-        return quality.quality_diagnostics(self.fact_orders, self.dim_customer, self.cohort_retention)
+        return quality.quality_diagnostics(self.fact_orders, self.dim_customer, self.cohort_retention, self.counted)
+
+    @cached_property
+    def counted(self) -> dict[str, int]:
+        """Offending rows of the gates watched while their tables were stored."""
+        return {}
+
+    def store_watched(self, qualified: str, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Stores a table by `store` and counts its gates in the same pass; later tables read the stored one."""
+        name, gates = qualified.split(".")[1], quality.GATES.get(qualified, {})
+        df = getattr(self, name)
+        watched, seen = quality.watch(df, gates) if gates else (df, None)
+        stored = store(watched)
+        if seen is not None:
+            self.counted.update(quality.watched_counts(seen, gates))
+        self.replace(name, stored)
+        return stored
 
     @cached_property
     def repeat_revenue(self) -> DataFrame:
@@ -205,14 +221,17 @@ def run_layers(
             raise ValueError("bronze needs raw_dir or raw")
         raw = read_all_raw(spark, raw_dir)
     seconds: dict[str, float] = {}
+    counted: dict[str, int] = {}
     for layer in chosen:
         house = None if layer == "bronze" else _stored(spark, root, layer)
         for name in LAYER_TABLES[layer]:
             started = time.perf_counter()
-            df = raw[name] if layer == "bronze" else getattr(house, name)
-            stored = save_layer(df, root, layer, name)
-            if house is not None:
-                house.replace(name, stored)
+            if layer == "bronze":
+                save_layer(raw[name], root, layer, name)
+            else:
+                house.counted.update(counted)
+                house.store_watched(f"{layer}.{name}", lambda df, layer=layer, name=name: save_layer(df, root, layer, name))
+                counted.update(house.counted)
             seconds[f"{layer}.{name}"] = time.perf_counter() - started
             log(f"{layer}.{name}: {seconds[f'{layer}.{name}']:.2f}s")
     return seconds

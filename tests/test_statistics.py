@@ -1,6 +1,7 @@
 """Tests, identification checks, pooling and draws: published anchors, closed forms and identities."""
 
 import math
+from dataclasses import replace
 from itertools import combinations
 from statistics import NormalDist
 
@@ -248,9 +249,43 @@ def simulated(spark, shifts):
     return mapfit.with_policy(cells)
 
 
+def check_certificate(cells, model, fit):
+    """Every coefficient explains its total; the table of parameters is complete."""
+    rows = mapfit.certificate(cells, model, fit).collect()
+    assert fit.converged and len(rows) == fit.coefficients.count() + max(len(fit.cutpoints) - 1, 0)
+    assert all(r.explained == pytest.approx(r.observed, abs=1e-4, rel=1e-9) for r in rows), rows
+    assert any(r.observed for r in rows)
+    kinds = {r["kind"]: r["count"] for r in fit.parameters.groupBy("kind").count().collect()}
+    assert kinds["coefficient"] == fit.coefficients.count() and kinds["scale"] == len(fit.scales)
+    assert kinds.get("cutpoint", 0) == len(fit.cutpoints)
+
+
+def test_certificate_fails_away_from_the_optimum(spark):
+    cells = simulated(spark, [-0.3, 0.3])
+    fit = mapfit.map_fit(cells, mapfit.BINOMIAL_DID)
+    moved = replace(fit, coefficients=fit.coefficients.withColumn("estimate", F.col("estimate") + F.when(F.col("term") == "post", 0.01).otherwise(0.0)))
+    rows = {(r.term, r.label): r for r in mapfit.certificate(cells, mapfit.BINOMIAL_DID, moved).collect()}
+    assert abs(rows[("post", None)].explained - rows[("post", None)].observed) > 100
+
+
+def test_cells_without_a_label_take_no_part(spark):
+    cells = simulated(spark, [-0.3, 0.3])
+    holes = cells.withColumn("category", F.lit(None).cast("string")).unionByName(cells)
+    fits = [mapfit.map_fit(c, mapfit.BINOMIAL_DID) for c in (cells, holes)]
+    assert fits[0].objective == pytest.approx(fits[1].objective)
+    with pytest.raises(ValueError, match="no complete cell"):
+        mapfit.map_fit(cells.limit(0), mapfit.BINOMIAL_DID)
+
+
+def test_unconverged_fits_say_so(spark):
+    fit = mapfit.map_fit(simulated(spark, [-0.3, 0.3]), mapfit.BINOMIAL_DID, max_steps=1)
+    assert not fit.converged and not fit.parameters.where("converged").count()
+
+
 def test_map_recovers_binomial_did(spark):
     shifts = [-0.3, 0.3, -0.1, 0.1, -0.2, 0.2]
     fit = mapfit.map_fit(simulated(spark, shifts), mapfit.BINOMIAL_DID)
+    check_certificate(simulated(spark, shifts), mapfit.BINOMIAL_DID, fit)
     got = {(r.term, r.label): r for r in fit.coefficients.collect()}
     assert got[("eligible", None)].estimate == pytest.approx(-0.6, abs=0.03)
     assert got[("post", None)].estimate == pytest.approx(0.3, abs=0.03)
@@ -269,7 +304,9 @@ def test_map_recovers_spend(spark):
         (F.hash("id") / 2147483648.0 + 4.5).alias("log_first_subtotal"), (F.hash("id", F.lit(1)) / 2147483648.0).alias("noise"),
     )
     y = 2.0 + 0.3 * F.col("eligible") - 0.2 * F.col("post") + 0.4 * F.col("eligible") * F.col("post") + 0.6 * F.col("log_first_subtotal") + F.col("noise") * 0.5
-    fit = mapfit.map_fit(mapfit.with_policy(base.withColumn("y", y)), mapfit.SPEND_DID)
+    cells = mapfit.with_policy(mapfit.gaussian_cells(base, y, F.col("log_first_subtotal"), {"category": "category"}, ["eligible", "post"]))
+    fit = mapfit.map_fit(cells, mapfit.SPEND_DID)
+    check_certificate(cells, mapfit.SPEND_DID, fit)
     got = {(r.term, r.label): r.estimate for r in fit.coefficients.collect()}
     assert got[("log_first_subtotal", None)] == pytest.approx(0.6, abs=0.05)
     assert got[("delta_bar", None)] == pytest.approx(0.4, abs=0.1)
@@ -286,7 +323,9 @@ def test_map_recovers_ordinal(spark):
                 levels = [round(20000 * (b - a)) for a, b in zip([0.0, *below], below)]
                 data.append((f"c{c}", "t", e, p, *levels))
     columns = "category string, tier string, eligible int, post int, " + ", ".join(f"level_{k} long" for k in range(5))
-    fit = mapfit.map_fit(mapfit.with_policy(spark.createDataFrame(data, columns)), mapfit.REVIEW_DID)
+    cells = mapfit.with_policy(spark.createDataFrame(data, columns))
+    fit = mapfit.map_fit(cells, mapfit.REVIEW_DID)
+    check_certificate(cells, mapfit.REVIEW_DID, fit)
     got = {(r.term, r.label): r.estimate for r in fit.coefficients.collect()}
     assert fit.cutpoints == pytest.approx(cuts, abs=0.03) and fit.cutpoints[0] == 0.0
     assert got[("delta_bar", None)] == pytest.approx(-0.5, abs=0.05)
