@@ -40,6 +40,8 @@ SHAPES = {
     "wi": (HEADS, HIDDEN, CLASS_SIZE), "bi": (HEADS, CLASS_SIZE),
 }
 LOG10 = math.log(10.0)
+# bytes, which numpy sorts by counting
+CLASS_OF = np.concatenate((np.repeat(np.arange(HEADS), CLASS_SIZE), HEADS + np.arange(TAILS))).astype(np.uint8)
 
 
 # ---- words --------------------------------------------------------------------------------------------------------
@@ -216,7 +218,7 @@ def step(w, symbols, h):
 
 
 def class_of(targets: np.ndarray) -> np.ndarray:
-    return np.where(targets < SHORT, targets // CLASS_SIZE, HEADS + targets - SHORT)
+    return CLASS_OF[targets]
 
 
 def log_likelihood(w, states, targets) -> np.ndarray:
@@ -240,9 +242,12 @@ def log_likelihood(w, states, targets) -> np.ndarray:
 
 
 def gradients(w, inputs, targets, h):
-    """Gradients of one window (steps, lanes) by backpropagation through its steps, and the state after it."""
+    """Gradients of one window (steps, lanes) by backpropagation through its steps, and the state after it.
+
+    Those of "x" come for the window's own symbols only, which are the second result.
+    """
     steps, lanes = inputs.shape
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g = {k: np.zeros_like(w[k]) for k in ("wi", "bi")}
     states, saved, before = np.zeros((steps, lanes, HIDDEN), np.float32), [], []
     for t in range(steps):
         h = h * (inputs[t] != 0)[:, None]
@@ -286,16 +291,17 @@ def gradients(w, inputs, targets, h):
         carried = (d * z + da[t] @ w["u"].T) * (inputs[t] != 0)[:, None]
     dx, da = dx.reshape(-1, 3 * HIDDEN), da.reshape(-1, 3 * HIDDEN)
     g["b"], g["u"] = dx.sum(axis=0), np.concatenate(before).T @ da
-    by_symbol = np.argsort(inputs, axis=None, kind="stable")
-    ordered = inputs.reshape(-1)[by_symbol]
+    flat_inputs = inputs.reshape(-1).astype(np.uint16)
+    by_symbol = np.argsort(flat_inputs, kind="stable")
+    ordered = flat_inputs[by_symbol]
     begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    g["x"][ordered[begin]] = np.add.reduceat(dx[by_symbol], begin, axis=0)
-    return g, h
+    g["x"] = np.add.reduceat(dx[by_symbol], begin, axis=0)
+    return g, ordered[begin], h
 
 
 def train(w, symbols: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     """One pass of Adam over the concatenated targets of many texts, each ended by symbol 0."""
-    lanes = int(np.clip(len(symbols) // 2048, 4, 128))
+    lanes = int(np.clip(len(symbols) // 2048, 4, 512))
     length = len(symbols) // lanes
     targets = symbols[: lanes * length].reshape(lanes, length).T
     inputs = np.concatenate((np.zeros((1, lanes), targets.dtype), targets))[:length]
@@ -306,25 +312,31 @@ def train(w, symbols: np.ndarray, rate: float) -> dict[str, np.ndarray]:
         windows.append((np.concatenate((np.zeros((1, 1), rest.dtype), rest[:-1])), rest))
     h = np.zeros((lanes, HIDDEN), np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    seen = np.zeros(SYMBOLS, dtype=np.int64)
     for number, (before, after) in enumerate(windows, 1):
         h = h if before.shape[1] == len(h) else np.zeros((before.shape[1], HIDDEN), np.float32)
-        g, h = gradients(w, before, after, h)
+        g, rows, h = gradients(w, before, after, h)
         norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         size = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
+        # a symbol's moments fade for the windows it was absent from when it comes again
+        idle = (number - seen[rows])[:, None].astype(np.float32)
+        seen[rows] = number
         for k, v in g.items():
+            at, old, faded = (rows, np.float32(0.9) ** idle, np.float32(0.99) ** idle) if k == "x" else (..., np.float32(0.9), np.float32(0.99))
             v *= clip
-            first[k] *= 0.9
-            first[k] += 0.1 * v
+            one = first[k][at] * old
+            one += 0.1 * v
             v *= v
             v *= 0.01
-            second[k] *= 0.99
-            second[k] += v
-            np.sqrt(second[k], out=v)
+            two = second[k][at] * faded
+            two += v
+            first[k][at], second[k][at] = one, two
+            np.sqrt(two, out=v)
             v += 1e-8
-            np.divide(first[k], v, out=v)
+            np.divide(one, v, out=v)
             v *= size
-            w[k] -= v
+            w[k][at] -= v
     return w
 
 
@@ -348,7 +360,7 @@ def symbols_of(texts: pa.Array, vocabulary: Vocabulary):
     return coded, symbols, counts, listed, sizes
 
 
-def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds: int = 4, shard_tokens: int = 1_500_000) -> dict[str, np.ndarray]:
+def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds: int = 4, shard_tokens: int = 6_000_000) -> dict[str, np.ndarray]:
     """One pass over one in `share` of the (doc_id, content) rows, one part of them in each round.
 
     Copies of the network learn on parts of about `shard_tokens` tokens and are averaged after each round.
@@ -358,7 +370,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds
 
     def encode(batches):
         v = unpack(shared)
-        for part in slices(batches, 1000):
+        for part in slices(batches, 1000, 1_000_000):
             coded, symbols, _, _, sizes = symbols_of(part.column("content"), v)
             flat = symbols[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
             ids = np.insert(flat, np.cumsum(sizes), 0).astype(np.int32)
@@ -393,6 +405,9 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
 
+SCORED = ("key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times")
+
+
 def score_symbols(w, symbols: np.ndarray, sizes: np.ndarray, tile: int = 1024) -> np.ndarray:
     """Natural log-likelihood of each text's symbols (its end included); texts of like length run side by side."""
     out = np.zeros(len(sizes))
@@ -401,12 +416,13 @@ def score_symbols(w, symbols: np.ndarray, sizes: np.ndarray, tile: int = 1024) -
     for first in range(0, len(order), tile):
         lanes = order[first : first + tile]
         length = sizes[lanes]
+        negative = -length
         h = np.zeros((len(lanes), HIDDEN), np.float32)
         total = np.zeros(len(lanes))
         for begin in range(0, int(length[0]), STEPS):
             states, goals, rows = [], [], []
             for t in range(begin, min(begin + STEPS, int(length[0]))):
-                n = int(np.searchsorted(-length, -t, side="left"))
+                n = int(np.searchsorted(negative, -t, side="left"))
                 at = starts[lanes[:n]] + t
                 inputs = symbols[at - 1] if t else np.zeros(n, symbols.dtype)
                 h = step(w, inputs, h[:n])[0]
@@ -419,12 +435,25 @@ def score_symbols(w, symbols: np.ndarray, sizes: np.ndarray, tile: int = 1024) -
     return out
 
 
-def score_rows(batches, vocabulary: Vocabulary, w):
-    """Per text: token counts, partial scores in log10, and its rare words with their numbers."""
+def score_rows(batches, vocabulary: Vocabulary, w, together: int = 2_000_000):
+    """Per text: token counts, partial scores in log10, and its rare words with their numbers.
+
+    Texts are read in small slices; about `together` tokens of them, 4 bytes each, go through the network side by side.
+    """
     v = vocabulary
     number = TaskContext.get().partitionId() << 36
     static = np.log10(v.tail_tokens + v.tail_words + 1)
-    for part in slices(batches, 6000):
+    waiting, tokens = [], 0
+
+    def scored():
+        logs = score_symbols(w, np.concatenate([p[0] for p in waiting]), np.concatenate([p[1] for p in waiting])) / LOG10
+        at = 0
+        for _, sizes, inner, columns in waiting:
+            columns["score"] = pa.array(logs[at : at + len(sizes)] + inner)
+            at += len(sizes)
+            yield pa.RecordBatch.from_pydict({name: columns[name] for name in SCORED})
+
+    for part in slices(batches, 6000, 1_000_000):
         coded, symbols, counts, listed, sizes = symbols_of(part.column("content"), v)
         index = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -436,20 +465,25 @@ def score_rows(batches, vocabulary: Vocabulary, w):
         def total(values, doc=doc, index=index, n=len(sizes)):
             return np.bincount(doc, values[index], n) if len(index) else np.zeros(n)
 
-        score = score_symbols(w, with_end, sizes + 1) / LOG10 + total(inner)
         base = total(known) + math.log10(v.texts + 1)
         rare = ~listed[index] if len(index) else np.zeros(0, dtype=bool)
         key, times = np.unique(doc[rare] * np.int64(len(listed) + 1) + index[rare], return_counts=True)
         owner, word = key // (len(listed) + 1), key % (len(listed) + 1)
         bounds = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(number + np.arange(len(sizes))), part.column("doc_id"), part.column("held_out"), pa.array(sizes + 1, pa.int64()),
-             pa.array(total(listed.astype(float)).astype(np.int64) + (v.texts > 0)), pa.array(base), pa.array(score),
-             pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(word)).cast(pa.string())),
-             pa.ListArray.from_arrays(bounds, pa.array(times, pa.int64()))],
-            ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"],
-        )
+        waiting.append((with_end, sizes + 1, total(inner), {
+            "key": pa.array(number + np.arange(len(sizes))), "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
+            "n_tokens": pa.array(sizes + 1, pa.int64()), "base": pa.array(base),
+            "n_known": pa.array(total(listed.astype(float)).astype(np.int64) + (v.texts > 0)),
+            "words": pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(word)).cast(pa.string())),
+            "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int64())),
+        }))
         number += len(sizes)
+        tokens += len(with_end)
+        if tokens > together:
+            yield from scored()
+            waiting, tokens = [], 0
+    if waiting:
+        yield from scored()
 
 
 def score_documents(docs: DataFrame, held_out: Column, known_words: int = 200_000, share: int = 1) -> DataFrame:

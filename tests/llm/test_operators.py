@@ -339,6 +339,22 @@ def test_scores_beat_the_baseline_and_count_exactly(spark, docs):
     assert lm.score_documents(empty(spark), held).count() == 0
 
 
+def test_side_by_side_scores_equal_token_by_token():
+    """Lanes, windows and tiles against one plain pass per text."""
+    rng = np.random.default_rng(3)
+    weights = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in lm.SHAPES.items()}
+    sizes = np.concatenate((rng.integers(1, 70, 40), [1, 1, 333]))
+    texts = [np.append(rng.integers(1, lm.SYMBOLS, n - 1), 0).astype(np.int32) for n in sizes]
+    found = lm.score_symbols(weights, np.concatenate(texts), sizes, tile=16)
+    for text, score in zip(texts, found, strict=True):
+        h, total, before = np.zeros((1, lm.HIDDEN), np.float32), 0.0, 0
+        for symbol in text:
+            h = lm.step(weights, np.array([before]), h)[0]
+            total += lm.log_likelihood(weights, h, np.array([symbol]))[0]
+            before = symbol
+        assert abs(total - score) < 1e-3 * max(1, abs(total))
+
+
 def test_every_training_text_reaches_the_network(spark):
     rows = [(i, " ".join(f"w{i}x{j % 5}" for j in range(23))) for i in range(12)]
     texts = spark.createDataFrame(rows, "doc_id long, content string")
@@ -356,7 +372,7 @@ def test_backpropagation_matches_differences():
     weights = {k: rng.normal(0, 0.3, s) for k, s in lm.SHAPES.items()}
     targets = rng.integers(0, lm.SYMBOLS, (5, 3))
     inputs = np.concatenate((np.zeros((1, 3), int), targets[:-1]))
-    found, _ = lm.gradients(weights, inputs, targets, np.zeros((3, lm.HIDDEN), np.float32))
+    found, rows, _ = lm.gradients(weights, inputs, targets, np.zeros((3, lm.HIDDEN), np.float32))
 
     def loss():
         h, total = np.zeros((3, lm.HIDDEN)), 0.0
@@ -365,8 +381,12 @@ def test_backpropagation_matches_differences():
             total -= lm.log_likelihood(weights, h, targets[t]).sum()
         return total / targets.size
 
-    for key in ("u", "b", "wc", "bc"):
-        at = tuple(0 for _ in lm.SHAPES[key])
+    at_row = int(np.flatnonzero(rows == inputs[2, 1])[0])
+    whole = np.zeros(lm.SHAPES["x"])
+    whole[rows] = found["x"]
+    found["x"] = whole
+    for key in ("u", "b", "wc", "bc", "x"):
+        at = (int(rows[at_row]), 3) if key == "x" else tuple(0 for _ in lm.SHAPES[key])
         kept = weights[key][at]
         weights[key][at] = kept + 1e-4
         up = loss()
