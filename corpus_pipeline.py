@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last keep the columns of `docs`, whatever they are called; they read
-doc_id and text only. Rows without doc_id pass the near-duplicate and benchmark stages. Null texts count as empty and stay null.
+doc_id and text only. Rows that share a doc_id are judged each by its own text. Null texts count as empty and stay null. An empty
+table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -31,16 +32,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*").select(*(f"`{c}`" for c in docs.columns))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, stored, as (row, place): decisions are made for rows, since rows may share a doc_id or lack one."""
+    return store(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near duplicates."""
-    drop = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept AND doc_id IS NOT NULL")
-    return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """One row of each group of near duplicates: the one with the smallest doc_id (rows without one come last)."""
+    rows = numbered(docs)
+    found = near_dedup.near_duplicates(rows.selectExpr("place AS doc_id", "row.text AS text")).select(F.col("doc_id").alias("place"), "component_id")
+    ids = rows.selectExpr("place", "row.doc_id AS id")
+    first = found.join(ids, "place").groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "place")).alias("first"))
+    return rows.join(first.select("first.place"), "place", "left_semi").select("row.*")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    rows = numbered(docs)
+    leaks = decontaminate.contaminated(rows.selectExpr("place AS doc_id", "row.text AS text"), read_table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("place")).distinct(), "place", "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
