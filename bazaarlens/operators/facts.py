@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import calendar as cal
 from bazaarlens.functions import expressions as ex
 from bazaarlens.operators.ordered import ROWS_PER_SLICE, distributed_ntile, group_sequence
+from bazaarlens.session import cut_lineage
 
 PLACED = "order_purchase_timestamp"
 # Sums of doubles depend on the order of addition; ranks use them at this many decimals.
@@ -44,35 +45,36 @@ def payment_rollup(payments: DataFrame) -> DataFrame:
 
 
 def item_rollup(items: DataFrame) -> DataFrame:
-    """Sums, exact distinct counts and the most frequent category per order.
+    """Sums, exact distinct counts and the most frequent category per order, from one pass over the lines.
 
-    Sums and the category come from (order, category) counts. Distinct products and
-    sellers use Spark's two-level distinct aggregation, which spreads an order with very
-    many lines over its products and sellers before counting.
+    Every line leaves a mark for its category (with its amounts), its product and its
+    seller. Marks are tallied per (order, label) first, which spreads an order with very
+    many lines over its labels; the order then adds up tallies.
     """
-    per_category = items.groupBy("order_id", "category_en").agg(
-        F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"),
-        F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
-        F.sum("line_revenue").alias("revenue"), F.max("price").alias("top_price"),
-    )
-    sums = per_category.groupBy("order_id").agg(
-        F.sum("n").alias("n_items"),
-        F.count("category_en").alias("n_unique_categories"),
-        F.sum("price").alias("items_subtotal"),
-        F.sum("freight").alias("items_freight"),
-        F.sum("revenue").alias("items_revenue"),
-        ex.safe_ratio(F.sum("price"), F.sum("priced")).alias("avg_unit_price"),
-        F.max("top_price").alias("max_unit_price"),
-        _most_frequent("category_en").alias("dominant_category"),
-    )
-    distinct = items.groupBy("order_id").agg(
-        F.count_distinct("product_id").alias("n_unique_products"),
-        F.count_distinct("seller_id").alias("n_unique_sellers"),
+
+    def mark(kind: str, **values: Column) -> Column:
+        blank = {name: F.lit(None).cast(kinds[name]) for name in kinds}
+        return F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for n, c in {**blank, **values}.items()])
+
+    kinds = {c: items.schema[c].dataType.simpleString() for c in ("category_en", "product_id", "seller_id")}
+    kinds |= {c: "double" for c in ("price", "freight_value", "line_revenue")}
+    amounts = {c: F.col(c).cast("double") for c in ("price", "freight_value", "line_revenue")}
+    marks = items.select("order_id", F.inline(F.array(
+        mark("category", category_en=F.col("category_en"), **amounts),
+        mark("product", product_id=F.col("product_id")), mark("seller", seller_id=F.col("seller_id")),
+    )))
+    tallies = marks.groupBy("order_id", "kind", "category_en", "product_id", "seller_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"), F.sum("price").alias("price"),
+        F.sum("freight_value").alias("freight"), F.sum("line_revenue").alias("revenue"), F.max("price").alias("top_price"),
     )
-    return sums.join(distinct, "order_id").select(
-        "order_id", "n_items", "n_unique_products", "n_unique_categories", "n_unique_sellers",
-        "items_subtotal", "items_freight", "items_revenue", "avg_unit_price", "max_unit_price",
-        "dominant_category",
+    line = F.col("kind") == "category"
+    return tallies.groupBy("order_id").agg(
+        F.sum(F.when(line, F.col("n"))).alias("n_items"),
+        F.count("product_id").alias("n_unique_products"), F.count("category_en").alias("n_unique_categories"),
+        F.count("seller_id").alias("n_unique_sellers"),
+        F.sum("price").alias("items_subtotal"), F.sum("freight").alias("items_freight"), F.sum("revenue").alias("items_revenue"),
+        ex.safe_ratio(F.sum("price"), F.sum("priced")).alias("avg_unit_price"), F.max("top_price").alias("max_unit_price"),
+        _most_frequent("category_en").alias("dominant_category"),
     )
 
 
@@ -151,8 +153,11 @@ def customer_lifetime(facts: DataFrame) -> DataFrame:
 
 
 def dim_customer(facts: DataFrame, customers: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Customers with lifetime totals, exact spend quartile and first address."""
-    lifetime = customer_lifetime(facts).withColumn("__money", F.round("lifetime_revenue", MONEY_DECIMALS))
+    """Customers with lifetime totals, exact spend quartile and first address.
+
+    The totals are stored once: the quartile reads them three times.
+    """
+    lifetime = cut_lineage(customer_lifetime(facts).withColumn("__money", F.round("lifetime_revenue", MONEY_DECIMALS)))
     banded = distributed_ntile(
         lifetime, ["__money", "customer_unique_id"], 4, "spend_quartile", rows_per_slice
     )
@@ -211,7 +216,8 @@ def seller_lifetime(items: DataFrame, orders: DataFrame, products: DataFrame, re
 
 
 def with_volume_tier(sellers: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    tiered = distributed_ntile(sellers, ["n_orders", "seller_id"], 4, "volume_quartile", rows_per_slice)
+    """Exact volume quartile of sellers, which are stored once for it."""
+    tiered = distributed_ntile(cut_lineage(sellers), ["n_orders", "seller_id"], 4, "volume_quartile", rows_per_slice)
     return tiered.withColumn("volume_tier", ex.band_label("volume_quartile", ex.VOLUME_TIERS))
 
 

@@ -25,7 +25,7 @@ ROWS_PER_SLICE = 1_000_000
 MIN_CUTS = 4
 SEARCH_STEPS = 24  # binary search over up to 2^24 cut points
 
-_CUTS, _SLICE, _AT = "__cuts", "__slice", "__at"
+_CUTS, _SLICE, _AT, _CUT = "__cuts", "__slice", "__at", "__cut"
 
 
 def sort_key(order: Sequence[str]) -> Column:
@@ -64,12 +64,15 @@ def _position(cuts: Column, at: Column) -> Column:
 def slice_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """`df` plus the slice number of each row (0 everywhere in groups that are not cut)."""
+    """`df` plus the slice number of each row (0 everywhere in groups that are not cut) and whether its group is cut.
+
+    The cut points are dropped where the rows have found their slice, so no exchange carries them.
+    """
     sample = _sampled(df, keys, order, rows_per_slice)
     if not keys:
         cuts = sample.agg(F.sort_array(F.collect_list(_AT)).alias(_CUTS)).scalar()
         whole = df.withColumn(_CUTS, cuts)
-        return whole.withColumn(_SLICE, _position(F.col(_CUTS), sort_key(order)))
+        return whole.withColumn(_SLICE, _position(F.col(_CUTS), sort_key(order))).withColumn(_CUT, F.lit(True)).drop(_CUTS)
     renamed = {k: f"__k{i}" for i, k in enumerate(keys)}
     large = (
         sample.groupBy(*keys)
@@ -79,7 +82,7 @@ def slice_groups(
     )
     joined = df.join(F.broadcast(large), _same_keys(df, large, renamed), "left").drop(*renamed.values())
     found = F.when(F.col(_CUTS).isNotNull(), _position(F.col(_CUTS), sort_key(order))).otherwise(0)
-    return joined.withColumn(_SLICE, found)
+    return joined.withColumn(_SLICE, found).withColumn(_CUT, F.col(_CUTS).isNotNull()).drop(_CUTS)
 
 
 def _carried(
@@ -90,7 +93,7 @@ def _carried(
     `totals` aggregates one slice; `carries` are window columns over those totals, one
     group of slices at a time. Only cut groups appear here, one row per slice.
     """
-    cut_only = sliced.where(F.col(_CUTS).isNotNull()) if keys else sliced
+    cut_only = sliced.where(_CUT) if keys else sliced
     per_slice = cut_only.groupBy(*keys, _SLICE).agg(*[c.alias(n) for n, c in totals.items()])
     return per_slice.select(*keys, _SLICE, *[c.alias(n) for n, c in carries.items()])
 
@@ -161,7 +164,7 @@ def group_sequence(
     for i, name in enumerate(first.values()):
         # a cut group always has carried values, so its first value may legitimately be NULL
         columns[name] = F.when(F.col("__all").isNotNull(), F.col(f"__first{i}")).otherwise(F.col(f"__top{i}"))
-    kept = [*df.columns, *([_SLICE, _CUTS] if keep_slices else [])]
+    kept = [*df.columns, *([_SLICE, _CUT] if keep_slices else [])]
     return out.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 

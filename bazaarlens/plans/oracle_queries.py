@@ -74,6 +74,10 @@ FROM facts""")
 _sql("dim_customer", _replace("d_customer", lifetime_revenue=4, avg_order_value=6, avg_review_score=6, pct_on_time=6))
 _sql("dim_seller", _replace("d_seller", seller_lat=6, seller_lng=6, lifetime_revenue=4, avg_line_revenue=6,
                             avg_review_score=6))
+_sql("layers_customer_value", f"""
+SELECT customer_unique_id, n_orders, {r("lifetime_revenue", 4)}, {r("pct_on_time", 6)}, first_category, {r("repeat_revenue", 4)}, n_repeat_orders
+FROM d_customer JOIN repeats USING (customer_unique_id)""")
+
 _sql("ntile_distributed", """
 SELECT o_orderkey, o_totalprice, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS quartile FROM orders""")
 
@@ -676,6 +680,23 @@ _draw_sql("draw_rhat", f"""
 SELECT param, category, count(*) AS chains, {r("sqrt((avg(v) * (avg(n) - 1.0) / avg(n) + var_samp(m)) / avg(v))", 6, "rhat")}
 FROM (SELECT param, category, chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n
       FROM effect_draws GROUP BY param, category, chain) GROUP BY param, category""")
+# lag by lag, each draw joined to the later ones of its chain
+_draw_sql("draw_ess", f"""
+SELECT param, category, {r("total / greatest(2.0 * coalesce(sum(pair) FILTER (least_pair > 0), 0.0) - 1.0, 1.0 / log10(total))", 4, "ess")}
+FROM (SELECT *, min(pair) OVER (PARTITION BY param, category ORDER BY k) AS least_pair
+  FROM (SELECT param, category, lag // 2 AS k, max(total) AS total,
+          sum(CASE WHEN lag = 0 THEN 1.0 ELSE 1.0 - (within_v - acov) / (within_v * (n - 1.0) / n + between_v) END) AS pair
+    FROM (SELECT param, category, lag, avg(acov) AS acov, avg(v) AS within_v, coalesce(var_samp(m), 0.0) AS between_v,
+            avg(n) AS n, CAST(sum(n) AS DOUBLE) AS total
+      FROM (SELECT a.param, a.category, a.chain, b.draw - a.draw AS lag, sum(a.x * b.x) / max(a.n) AS acov,
+              max(a.v) AS v, max(a.m) AS m, max(a.n) AS n
+            FROM centred a JOIN centred b ON b.param = a.param AND b.category = a.category AND b.chain = a.chain AND b.draw >= a.draw
+            WHERE b.draw - a.draw <= a.n - 2 GROUP BY ALL)
+      GROUP BY param, category, lag)
+    WHERE lag < 2 * ((n - 1) // 2) GROUP BY param, category, lag // 2))
+GROUP BY param, category, total""", extra=(*EFFECT_DRAWS, """centred AS (SELECT param, category, chain, draw, value - avg(value) OVER c AS x,
+  avg(value) OVER c AS m, var_samp(value) OVER c AS v, count(*) OVER c AS n
+  FROM effect_draws WINDOW c AS (PARTITION BY param, category, chain))"""))
 LOGLIK = """loglik AS (SELECT c.category, c.eligible, c.post,
   lgamma(c.trials + 1) - lgamma(c.successes + 1) - lgamma(c.failures + 1)
     + c.successes * ln((d.successes + 0.5) / (d.successes + d.failures + 1.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -23,8 +24,9 @@ from bazaarlens.operators import (
 from bazaarlens.operators.ordered import distributed_ntile
 from bazaarlens.plans.warehouse import Warehouse
 from bazaarlens.sources.binding import LINE_ORDER, SUBTOTAL_THRESHOLD, StarTables
-from bazaarlens.session import cut_lineage
+from bazaarlens.session import cut_lineage, ensure_checkpoint_dir
 from bazaarlens.sources.raw import row_count_audit
+from bazaarlens.sources.tables import save_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +229,23 @@ def _ntile(s: Study) -> DataFrame:
     return distributed_ntile(totals, ["o_totalprice", "o_orderkey"], 4, "quartile")
 
 
+@query("layers_customer_value")
+def _layers_customer_value(s: Study) -> DataFrame:
+    """Lifetime totals beside the spend of the first half year, from facts stored in buckets of their customer.
+
+    Both groupings and their join read the buckets; nothing but the facts' own writing deals rows by customer.
+    """
+    spark = s.star.spark
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = save_bucketed(s.house.fact_orders, root, "gold", "fact_orders", ["customer_unique_id"], buckets)
+    lifetime, repeat = facts.customer_lifetime(stored), analytics.repeat_revenue(stored)
+    both = lifetime.join(repeat.drop("first_order_at"), "customer_unique_id").select(
+        "customer_unique_id", "n_orders", "lifetime_revenue", "pct_on_time", "first_category", "repeat_revenue", "n_repeat_orders"
+    )
+    return rounded(both, lifetime_revenue=4, pct_on_time=6, repeat_revenue=4)
+
+
 # ------------------------------------------------------------- analytics -----------
 @query("cohort_retention")
 def _retention(s: Study) -> DataFrame:

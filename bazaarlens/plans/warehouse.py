@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlens.operators import analytics, cleaning, facts, quality
 from bazaarlens.operators.ordered import ROWS_PER_SLICE
 from bazaarlens.sources.raw import read_all_raw
-from bazaarlens.sources.tables import LAYERS, read_table, save_layer
+from bazaarlens.sources.tables import LAYERS, read_table, save_bucketed, save_layer
 
 
 class Warehouse:
@@ -181,6 +181,14 @@ LAYER_TABLES: dict[str, tuple[str, ...]] = {
 }
 
 
+# Keys that later layers join and group by; with buckets they do so without an exchange.
+BUCKET_KEYS = {
+    "silver.orders": ("order_id",), "silver.order_items": ("order_id",), "silver.order_payments": ("order_id",),
+    "silver.order_reviews": ("order_id",), "silver.customers": ("customer_unique_id",),
+    "gold.fact_orders": ("customer_unique_id",), "gold.dim_customer": ("customer_unique_id",),
+}
+
+
 def check_layers(layers: Sequence[str] | None) -> list[str]:
     chosen = list(layers or LAYERS)
     unknown = [layer for layer in chosen if layer not in LAYERS]
@@ -209,9 +217,12 @@ def run_layers(
     layers: Sequence[str] | None = None,
     raw: Mapping[str, DataFrame] | None = None,
     log: Callable[[str], None] = print,
+    buckets: int | None = None,
 ) -> dict[str, float]:
     """Build the chosen layers in the order given; stops at the first failure.
 
+    With `buckets` the tables of `BUCKET_KEYS` are dealt into so many buckets by their key.
+
     Returns seconds per `layer.table`. Bronze reads `raw_dir` (all files are checked
     before any work) or takes the frames of `raw`.
     """
@@ -230,7 +241,12 @@ def run_layers(
                 save_layer(raw[name], root, layer, name)
             else:
                 house.counted.update(counted)
-                house.store_watched(f"{layer}.{name}", lambda df, layer=layer, name=name: save_layer(df, root, layer, name))
+                keys = BUCKET_KEYS.get(f"{layer}.{name}") if buckets else None
+
+                def keep(df, layer=layer, name=name, keys=keys):
+                    return save_bucketed(df, root, layer, name, keys, buckets) if keys else save_layer(df, root, layer, name)
+
+                house.store_watched(f"{layer}.{name}", keep)
                 counted.update(house.counted)
             seconds[f"{layer}.{name}"] = time.perf_counter() - started
             log(f"{layer}.{name}: {seconds[f'{layer}.{name}']:.2f}s")

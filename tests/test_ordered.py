@@ -84,3 +84,23 @@ def test_midranks_and_medians(spark):
         ordered.median_of_counts("value", "n0", "below0", "total0").alias("m0"),
     ).first()
     assert (medians.m1, medians.m0) == (2.0, 4.5)
+
+
+def test_no_exchange_carries_cut_points(spark):
+    """What is shuffled for sessions is rows and flags, never an array."""
+    df = skewed(spark).select("id", "k", "ts")
+    got = analytics.sessionize(df, ["k"], "ts", "id", gap_days=2, rows_per_slice=13)
+    node = got._jdf.queryExecution().executedPlan()
+    plans = [node]
+    wide = []
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "Exchange":
+            wide.append(plan.schema().catalogString())
+        if name == "AdaptiveSparkPlan":
+            plans.append(plan.initialPlan())
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    # the sampled cut points themselves are grouped once; the rows of the table are not among them
+    assert wide and all("array" not in schema for schema in wide if "id:" in schema)
