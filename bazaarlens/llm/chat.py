@@ -9,9 +9,10 @@ Grammar (a conversation is the concatenation of its turns in order):
 
 The parser is deterministic: an opening mark chooses the rule, and a field ends at the first closing mark of its rule.
 In every field it reads, a control string with k >= 1 backslashes after its first character stands for one with k - 1. A
-turn is rendered raw, parsed again and compared with its source; while they differ, its fields are escaped once more
-(one backslash added to every control string, with or without backslashes). One escape always suffices, because an
-escaped field holds no bare control string and no control string overlaps itself; more is an error.
+turn is rendered raw, parsed again and compared with its source; while they differ, or a bare control string of any role stands
+in a field, its fields are escaped once more (one backslash added to every control string, with or without backslashes). One
+escape always suffices, because an escaped field holds no bare control string and no control string overlaps itself; more is
+an error. Reading back parses the joined text of a conversation, not single turns.
 
 A null role or text is empty. Rows of a conversation are ordered by turn, then role, then text, nulls first; repeated rows
 are repeated turns. A null conv_id is a conversation of its own. An empty table gives no rows.
@@ -36,6 +37,7 @@ CONTROLS = sorted({m for pair in MARKS.values() for m in pair} | set(OTHER), key
 _STEM = "(?:" + "|".join(re.escape(c[0]) + r"(?=\\*" + re.escape(c[1:]) + ")" for c in CONTROLS) + ")"
 _ANY = re.compile(f"({_STEM})")
 _ESCAPED = re.compile(f"({_STEM})" + r"\\")
+_BARE = re.compile("|".join(map(re.escape, CONTROLS)))
 
 
 def escape(text: str) -> str:
@@ -78,7 +80,8 @@ def format_turn(role: str, text: str) -> tuple[str, int, int, bool]:
     for attempt in range(3):
         block, begin, end = render(role, text)
         found = parse(block)
-        if found and found[:2] == source and found[2] == len(block):
+        clean = not _BARE.search(text) and (role in MARKS or not _BARE.search(role))
+        if clean and found and found[:2] == source and found[2] == len(block):
             return block, begin, end, attempt > 0
         text = escape(text)
         role = role if role in MARKS else escape(role)
@@ -118,21 +121,22 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
 
 
 class Reader:
-    """Digests of one conversation, read back block by block."""
+    """Digests of one conversation, parsed as one text that arrives block by block."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+        self.conv_id, self.turns, self.loss_chars, self.chars, self.rest = conv_id, 0, 0, 0, ""
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, block: str, begin: int | None, end: int | None):
-        at = 0
-        while at < len(block):
-            found = parse(block, at)
+        joined, at = self.rest + block, 0
+        while at < len(joined):
+            found = parse(joined, at)
             if found is None:
-                raise ValueError("the formatted text does not follow the grammar")
+                break  # its end may be in a later block
             role, text, at = found
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.rest = joined[at:]
         if begin is not None:
             text = unescape(block[begin:end])
             self.loss_chars += len(text)
@@ -140,6 +144,8 @@ class Reader:
         self.chars += len(block)
 
     def row(self):
+        if self.rest:
+            raise ValueError("the formatted text does not follow the grammar")
         return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
