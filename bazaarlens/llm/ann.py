@@ -7,8 +7,9 @@ when the opened leaves are the share `visit` of all leaves and hold that share o
 `least` different vectors (all of them, if fewer are stored), so small tables are searched whole. The leaves' vectors are then scored exactly in blocks of bounded size, and the best are scored once more, in double
 precision on the original vectors, before the final ranking.
 
-Equal vectors form a class that is indexed and searched once and stands for all its rows; only the smallest ids of a class
-can rank. Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, neither do
+Vectors are divided by their largest component (by size), which leaves every cosine as it is. Those that are equal then form a
+class that is indexed and searched once and stands for all its rows; only the smallest ids of a class can rank. Candidates that
+tie with the last one kept are kept too. Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, neither do
 rows without an id. Rows with the same id and vector count once. An empty table gives no rows.
 """
 
@@ -22,7 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import ship, slices, store, unpack
+from bazaarlens.llm.common import mix64, ship, slices, store, unpack
+
+
+#: Scores this close may tie once they are computed in double precision on the vectors themselves.
+TIE = 1e-9
+
+
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """A block by hash, as ids may all be multiples of one number."""
+    return (mix64(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
 
 class Forest:
@@ -103,6 +113,8 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         F.col("id").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
+    top = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("top", top).select("id", F.zip_with("v", F.array_repeat("top", F.size("v")), lambda x, t: F.try_divide(x, t) + 0.0).alias("v"))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
@@ -175,7 +187,7 @@ def nearest(
             ids, v = part.column("class").to_numpy(), part.column("v")
             leaf = (f.leaf_of(unit_rows(to_matrix(v))) + np.arange(trees) * f.leaves).ravel()
             row = np.repeat(np.arange(len(ids)), trees)
-            yield rows_of(leaf, ids.repeat(trees) % index_blocks, row, ids, v, False)
+            yield rows_of(leaf, block_of(ids, index_blocks).repeat(trees), row, ids, v, False)
 
     def probe(batches):
         f = unpack(shared)
@@ -184,7 +196,7 @@ def nearest(
             found = [f.search(u, budget, visit * trees * total, least, counts) for u in unit_rows(to_matrix(v))]
             leaf = np.array([t * f.leaves + x for places in found for t, x in places])
             row = np.repeat(np.arange(len(ids)), [len(x) for x in found])
-            yield rows_of(leaf, ids[row] % query_blocks, row, ids, v, True)
+            yield rows_of(leaf, block_of(ids, query_blocks)[row], row, ids, v, True)
 
     def rows_of(leaf, own_block, row, ids, v, is_query):
         """Index rows meet every query block and query rows every index block."""
@@ -208,10 +220,11 @@ def nearest(
             some = q[start : start + 256]
             scores = matrix[some] @ matrix[x].T
             take = min(keep, len(x))
-            best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-            out_q.append(np.repeat(ids[some], take))
-            out_x.append(ids[x][best].ravel())
-            out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
+            last = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+            row, column = np.nonzero(scores >= last[:, None] - TIE)
+            out_q.append(ids[some][row])
+            out_x.append(ids[x][column])
+            out_s.append(scores[row, column])
         cat = [np.concatenate(o) if o else np.zeros(0, t) for o, t in ((out_q, np.int64), (out_x, np.int64), (out_s, np.float64))]
         return pa.table({"query": cat[0], "class": cat[1], "near": cat[2]})
 
@@ -219,7 +232,9 @@ def nearest(
     hits = index.unionByName(probes).groupBy("leaf", "ib", "qb").applyInArrow(score, "query long, class long, near double")
     found = hits.groupBy("query", "class").agg(F.max("near").alias("near"))
     first = Window.partitionBy("query").orderBy(F.desc("near"), "class")
-    pairs = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).select("query", "class")
+    placed = found.withColumn("r", F.row_number().over(first))
+    last_kept = placed.where(F.col("r") == keep).select("query", (F.col("near") - TIE).alias("least"))
+    pairs = placed.join(last_kept, "query", "left").where((F.col("r") <= keep) | (F.col("near") >= F.col("least"))).select("query", "class")
     left, right = classes.select(F.col("class").alias("query"), F.col("v").alias("qv")), classes
     exact = pairs.join(left, "query").join(right, "class").select("query", "class", cosine(F.col("qv"), F.col("v")).alias("score"))
     member = members.select("v", "id").join(classes, "v").select("class", F.col("id").alias("vec_id"))
