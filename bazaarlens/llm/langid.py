@@ -31,13 +31,15 @@ EDGES = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 @dataclass
 class LanguageModel:
-    """`table` holds each bucket's contribution to the logits: embedding times output weights."""
+    """`table` holds each bucket's contribution to the logits, embedding times output weights; with more languages than
+    dimensions it holds the embeddings, and `out` the weights."""
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     least_score: float
+    out: np.ndarray | None = None
 
     @property
     def buckets(self) -> int:
@@ -125,8 +127,10 @@ def fit_language_model(
             # a row moves by its share of the text; the factor keeps rare subwords from standing still
             embed[ids] -= (now * 20) * share[:, None] * back[None]
             step += 1
-    table = (embed @ out).astype(np.float32)
-    logits = np.array([(c / c.sum()) @ table[ids] + bias for _, ids, c, _ in held])
+    wide = len(labels) > width
+    table = embed if wide else (embed @ out).astype(np.float32)
+    logits = np.array([(c / c.sum()) @ table[ids] for _, ids, c, _ in held])
+    logits = (logits @ out if wide else logits) + bias
     truth = np.array([code[e[0]] for e in held])
 
     def loss(temperature):
@@ -139,7 +143,7 @@ def fit_language_model(
     order = np.argsort(-score, kind="stable")
     precise = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision
     least = float(score[order[np.flatnonzero(precise)[-1]]]) if precise.any() else 1.0
-    return LanguageModel(labels, table, bias.astype(np.float64), float(temperature), least)
+    return LanguageModel(labels, table, bias.astype(np.float64), float(temperature), least, out if wide else None)
 
 
 def training_examples(batches, buckets: int):
@@ -161,17 +165,21 @@ def training_examples(batches, buckets: int):
 
 
 def learn_languages(
-    labelled: DataFrame, rows_per_language: int = 700, languages: int = 200, buckets: int = 1 << 16, **fit
+    labelled: DataFrame, rows_per_language: int = 700, max_texts: int = 140_000, buckets: int = 1 << 16, **fit
 ) -> LanguageModel:
-    """Fit on at most `rows_per_language` distinct texts of each of the `languages` most frequent values of `lang` (bounded sample)."""
+    """Fit on at most `rows_per_language` distinct texts of each language, fewer if all would be more than `max_texts` (bounded
+    sample; every language keeps at least one)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", text_or_empty().alias("content"), F.xxhash64("text").alias("pick")
     )
-    texts = store(rows.groupBy("lang", "pick").agg(F.count("*").alias("n")), "lang-texts")
-    top = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    # the limit is applied before the shuffle too
+    texts = store(rows.select("lang", "pick").distinct(), "lang-texts")
+    languages = texts.select("lang").distinct().count()
+    each = max(1, min(rows_per_language, max_texts // max(languages, 1)))
+    # the smallest hashes of each part of a language first, so that no task meets all of a frequent one
+    part = F.pmod(F.xxhash64(F.lit(2), "pick"), F.lit(64))
+    cut = texts.withColumn("place", F.row_number().over(Window.partitionBy("lang", part).orderBy("pick"))).where(F.col("place") <= each)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("pick")).alias("place")
-    picked = texts.select("lang", "pick", first).where(F.col("place") <= rows_per_language).join(F.broadcast(top), "lang", "left_semi")
+    picked = cut.select("lang", "pick", first).where(F.col("place") <= each)
     # copies of a text meet inside each partition first
     chosen = rows.join(F.broadcast(picked), ["lang", "pick"]).groupBy("lang", "pick", "place").agg(F.first("content").alias("content")).select(
         "lang", "content", ((F.col("place") > 1) & (F.pmod(F.xxhash64(F.lit(1), "pick"), F.lit(4)) == 0)).alias("apart")
@@ -196,7 +204,8 @@ def predict_rows(batches, model: LanguageModel):
         known = np.array([letter.search(t) is not None for t in texts])
         if model.labels:
             total, n = text_logits(texts, model.table)
-            chance = softmax((total / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+            mean = total / np.maximum(n, 1)[:, None]
+            chance = softmax(((mean if model.out is None else mean @ model.out) + model.bias) / model.temperature)
             best, score = chance.argmax(axis=1), chance.max(axis=1)
             names = [model.labels[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             score = np.where(known, score, 0.0)
