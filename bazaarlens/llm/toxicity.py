@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import ship, slices, split_words, text_or_empty, unpack
+from bazaarlens.llm.common import ship, slices, split_words, store, text_or_empty, unpack
 
 #: Second-person pronouns of the languages served.
 SECOND_PERSON = (
@@ -239,15 +239,20 @@ def learn_lexicon(rows: DataFrame, size: int, least: int) -> dict[str, float]:
     return {r["term"]: float(r["weight"]) for r in top.collect()}
 
 
-def learn_toxicity(labelled: DataFrame, max_rows: int = 24_000, lexicon_size: int = 3000, least: int = 4) -> ToxicityModel:
-    """Fit on (text, toxic) rows with toxic 0 or 1; a bounded sample of at most about `max_rows`, chosen by hash of the text."""
+def learn_toxicity(labelled: DataFrame, max_texts: int = 24_000, lexicon_size: int = 3000, least: int = 4) -> ToxicityModel:
+    """Fit on (text, toxic) rows with toxic 0 or 1.
+
+    A bounded sample: the `max_texts` distinct texts with the smallest hashes, each once, so copies add nothing to it. A text
+    counts as toxic if at least half of its rows do.
+    """
     rows = labelled.where("toxic IN (0, 1)").select(
         text_or_empty().alias("content"), F.col("toxic").cast("int").alias("toxic")
-    ).withColumn("pick", F.pmod(F.xxhash64("content"), F.lit(1 << 40)))
+    ).withColumn("pick", F.xxhash64("content"))
+    chosen = rows.groupBy("pick").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy("pick").limit(max_texts)
+    rows = store(rows.select("pick", "content").join(F.broadcast(chosen), "pick").dropDuplicates(["pick"]), "toxicity-texts")
     counts = rows.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     if not counts["n"] or counts["share"] in (0.0, 1.0):
         return ToxicityModel(share=float(counts["share"] or 0.0))
-    rows = rows.where(F.col("pick") < int(min(1.0, max_rows / counts["n"]) * (1 << 40)))
     part = F.pmod(F.xxhash64(F.lit(5), "pick"), F.lit(10))
     lexicon = learn_lexicon(rows.where(part < 4), lexicon_size, least)
 
