@@ -2,14 +2,12 @@
 
 The tree has a fixed depth: the first level is a line's number of tokens (runs of no white space), the next `depth` levels
 are its leading tokens; a token with a digit is a variable field `<*>`. Lines that end in one leaf are generalised position
-by position: a token that stands there in fewer than `min_docs` texts is a variable field too. A template with at least
-`constant` constant tokens that occurs in `min_docs` different texts recurs; its lines are dropped from all documents but
-the first (smallest doc_id) and those with the first one's text. Documents with equal texts count once, so whole copies are
-no recurrence; they are the next step's work.
-
-With `words`, the share `constant` is one of the tokens without a digit, of which at least `words` must be constant, so that
-dates, years and page numbers do not shield a line; and a line that stands verbatim in `min_docs` texts recurs whatever its
-digits. With `long_tokens`, a line of at least so many tokens that stands verbatim in two different texts recurs too.
+by position: a token that stands there in fewer than `min_docs` texts is a variable field too. A template recurs if it occurs in
+`min_docs` different texts and the share `constant` of its tokens without a digit is constant, at least `words` of them, so
+that dates, years and page numbers do not shield a line. A line that stands verbatim in `min_docs` texts recurs whatever its
+digits, one of at least `long_tokens` tokens in two. Recurring lines are dropped from all documents but the first (smallest
+doc_id) and those with the first one's text. Documents with equal texts count once, so whole copies are no recurrence; they
+are the next step's work.
 
 Lines of fewer than `min_tokens` tokens are left alone. A null text is empty. Repeated rows are treated alike. A document
 without doc_id is cleaned too, and never the first if another has one. An empty table gives no rows.
@@ -44,14 +42,14 @@ def lines_of(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int | None, words: int | None
+    docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int, words: int
 ) -> DataFrame:
     """(doc_id, content, place) of the lines to drop."""
     lines = lines_of(docs, min_tokens, depth)
 
     def enough(tokens: str) -> Column:
         """Texts in which a line of so many tokens must stand verbatim."""
-        return F.lit(min_docs) if long_tokens is None else F.when(F.col(tokens) >= long_tokens, min(2, min_docs)).otherwise(min_docs)
+        return F.when(F.col(tokens) >= long_tokens, min(2, min_docs)).otherwise(min_docs)
 
     # a leaf holds lines of one length only
     reached = lines.select("leaf", "n", "content").distinct().groupBy("leaf", "n").count()
@@ -72,13 +70,12 @@ def recurring_lines(
         "leaf", "line_key", "texts", "at", (F.col("token") == FIELD).alias("field"), F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"), fixed.cast("int").alias("fixed")
     )
     templates = general.groupBy("leaf", "line_key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "token"))).alias("path"), F.avg("fixed").alias("share"),
+        F.array_sort(F.collect_list(F.struct("at", "token"))).alias("path"),
         F.avg(F.when(~F.col("field"), F.col("fixed"))).alias("word_share"), F.sum("fixed").alias("constants"),
         F.first("texts").alias("texts"), F.count("*").alias("n"),
     )
-    by_words = (F.coalesce("word_share", F.lit(0.0)) >= constant) & (F.col("constants") >= (words or 0))
-    by_template = F.col("share") >= constant if words is None else by_words
-    verbatim = F.lit(False) if long_tokens is None and words is None else (F.col("texts") >= enough("n")) & ~(by_template & (F.col("texts") >= min_docs))
+    by_template = (F.coalesce("word_share", F.lit(0.0)) >= constant) & (F.col("constants") >= words)
+    verbatim = (F.col("texts") >= enough("n")) & ~(by_template & (F.col("texts") >= min_docs))
     ways = F.array(
         F.when(by_template, F.struct(F.xxhash64("leaf", "path.token").alias("template"), F.lit(min_docs).alias("least"))),
         F.when(verbatim, F.struct(F.xxhash64("leaf", "line_key", F.lit("verbatim")).alias("template"), F.lit(1).alias("least"))),
@@ -99,7 +96,7 @@ def recurring_lines(
 
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, constant: float = 0.8,
-    long_tokens: int | None = 50, words: int | None = 2,
+    long_tokens: int = 50, words: int = 2,
 ) -> DataFrame:
     """All columns of `docs` in a struct `row`, its new `text`, n_lines and n_dropped."""
     drops = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens, depth, constant, long_tokens, words)

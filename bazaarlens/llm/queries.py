@@ -54,9 +54,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the twin's rule: templates only
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = line_dedup.drop_recurring_lines(docs, long_tokens=None, words=None)
+    cleaned = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     )
@@ -117,12 +115,18 @@ ORACLE: dict[str, str] = {
         p AS (SELECT n, lead, line, any_value(g) AS g, count(DISTINCT t) AS texts FROM f GROUP BY n, lead, line),
         e AS (SELECT n, lead, line, texts, unnest(g) AS token, generate_subscripts(g, 1) AS pos FROM p),
         s AS (SELECT *, sum(texts) OVER (PARTITION BY n, lead, pos, token) AS support FROM e),
-        c AS (SELECT n, lead, line, list(CASE WHEN support >= 3 THEN token ELSE '<*>' END ORDER BY pos) AS template,
-                     avg(CASE WHEN support >= 3 AND token <> '<*>' THEN 1.0 ELSE 0.0 END) AS share
-              FROM s GROUP BY n, lead, line),
-        u AS (SELECT f.doc_id, f.t, f.place, c.n, c.lead, c.template FROM f JOIN c USING (n, lead, line) WHERE share >= 0.8),
-        r AS (SELECT n, lead, template, arg_min(t, doc_id) AS keeper FROM u GROUP BY n, lead, template HAVING count(DISTINCT t) >= 3),
-        x AS (SELECT DISTINCT u.doc_id, u.t, u.place FROM u JOIN r USING (n, lead, template) WHERE u.t <> r.keeper)
+        c AS (SELECT n, lead, line, texts, list(CASE WHEN support >= 3 THEN token ELSE '<*>' END ORDER BY pos) AS template,
+                     coalesce(avg(CASE WHEN support >= 3 THEN 1.0 ELSE 0.0 END) FILTER (token <> '<*>'), 0.0) >= 0.8
+                       AND count(*) FILTER (support >= 3 AND token <> '<*>') >= 2 AS general
+              FROM s GROUP BY n, lead, line, texts),
+        y AS (SELECT n, lead, line, 'template' AS way, template, 3 AS least FROM c WHERE general
+              UNION ALL
+              SELECT n, lead, line, 'verbatim', [line], 1 FROM c
+              WHERE texts >= CASE WHEN n >= 50 THEN 2 ELSE 3 END AND NOT (general AND texts >= 3)),
+        u AS (SELECT f.doc_id, f.t, f.place, y.n, y.lead, y.way, y.template, y.least FROM f JOIN y USING (n, lead, line)),
+        r AS (SELECT n, lead, way, template, arg_min(t, doc_id) AS keeper FROM u
+              GROUP BY n, lead, way, template, least HAVING count(DISTINCT t) >= least),
+        x AS (SELECT DISTINCT u.doc_id, u.t, u.place FROM u JOIN r USING (n, lead, way, template) WHERE u.t <> r.keeper)
         SELECT l.doc_id, count(*) AS n_lines, count(x.place) AS n_dropped,
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (x.place IS NULL), '')) AS text_sha256
         FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.t = x.t AND l.place = x.place
