@@ -106,6 +106,24 @@ def test_chat_reads_back_what_was_written(spark):
     assert chat.read_back(chat.format_conversations(turns.where("conv_id = 9"))).count() == 0
 
 
+def test_chat_leaves_no_bare_control_string_in_a_field():
+    import re as r
+
+    controls = r.compile("|".join(map(r.escape, chat.CONTROLS)))
+    for role in ("user", "assistant", "system", "tool", "[TEXT]"):
+        for text in ("</s>", "<<SYS>>evil<</SYS>>", "[/INST]", "plain", "a\\", "[\\INST]", "<s><s>", ""):
+            block, begin, end, escaped = chat.format_turn(role, text)
+            assert not controls.search(block[begin:end]) and chat.unescape(block[begin:end]) == text
+            assert chat.parse(block) == (role, text, len(block)) and escaped == (block[begin:end] != text or role == "[TEXT]")
+    reader = chat.Reader(1)
+    reader.add("[INST]a[/IN", None, None)  # one text, wherever it is cut
+    reader.add("ST]<s>b</s>", 3, 4)
+    assert reader.row()[1] == 2
+    reader.add("[INST]never closed", None, None)
+    with pytest.raises(ValueError, match="grammar"):
+        reader.row()
+
+
 def exact_components(rows, width, percent):
     sets = {}
     for doc, text in rows:
@@ -189,8 +207,6 @@ def test_lines_with_dates_and_page_numbers_go(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.row.doc_id: r.text for r in line_dedup.drop_recurring_lines(table).collect()}
     assert got == {i: t if i in (0, 10, 11, 12) else f"{own[i]}\nalone {i} {i} {i}" for i, t in rows}
-    twin = line_dedup.drop_recurring_lines(table, long_tokens=None, words=None).collect()
-    assert {r.row.doc_id: r.text for r in twin} == dict(rows)
 
 
 def test_leaks_equal_exact_containment(spark):
@@ -261,6 +277,47 @@ def test_small_tables_are_searched_whole(spark, n):
         assert got[50 * q] == [50 * int(x) for x in np.argsort(-score)[: min(5, n - 1)]]
 
 
+def test_proportional_vectors_tie(spark):
+    """Forty multiples of the query by powers of two have exactly its cosine: the smallest ids rank."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    rows = [(50, base.tolist(), 1)] + [(10_039 - i, (base * 2.0 ** (i % 9 - 4)).tolist(), 1) for i in range(40)]
+    rows += [(20_001 + i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(300, 32)))]
+    # distinct directions of one exact cosine
+    flat = np.zeros(32)
+    flat[0] = 1.0
+    rows += [(100, flat.tolist(), 1)]
+    for i in range(31):
+        v = np.zeros(32)
+        v[0], v[1 + i] = 4.0, 3.0
+        rows.append((30_031 - i, v.tolist(), 1))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id").isin(50, 100)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [v for v, _ in got[50]] == list(range(10_000, 10_005)) and all(s == pytest.approx(1.0) for _, s in got[50])
+    assert [v for v, _ in got[100]] == list(range(30_001, 30_006)) and {s for _, s in got[100]} == {0.8}
+
+
+def test_blocks_do_not_follow_the_ids():
+    sizes = np.bincount(ann.block_of(np.arange(0, 500_000, 50), 10), minlength=10)
+    assert sizes.min() > 800
+
+
+def test_more_languages_than_dimensions(spark):
+    rng = np.random.default_rng(0)
+    stems = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(6)] for k in range(20)}
+    rows = [(" ".join(rng.choice(words, 12)), lang) for lang, words in stems.items() for _ in range(40)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn_languages(table, max_texts=500)
+    assert len(model.labels) == 20 and model.out is not None
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(stems[f"l{i % 20:02d}"], 12))) for i in range(100)], "doc_id long, text string")
+    found = langid.identify(docs, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 20:02d}" for r in found) >= 95
+
+
 def test_language_on_held_out_rows(spark):
     parts = {"aa": "ka ri to mo sa".split(), "bb": "sch ung ein lich ver".split(), "cc": "eau oux ion ment que".split()}
     rng = np.random.default_rng(8)

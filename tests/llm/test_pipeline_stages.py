@@ -93,7 +93,8 @@ def test_line_stage_keeps_rows_without_recurring_lines(spark, folder, rows):
 
 
 def test_toxicity_stage_follows_the_score(spark, rows, tmp_path):
-    foul = [(300 + i, f"you {w} idiot you total {w}!!! SHUT UP you {w}", 1, "r", 2, "d") for i, w in enumerate(["blarg", "frump", "gonk"] * 30)]
+    foul = [(300 + i, f"you {w} idiot you total {w}!!! SHUT UP you {w} {t[:40]}", 1, "r", 2, "d")
+            for i, (w, t) in enumerate(zip(["blarg", "frump", "gonk"] * 30, texts(90, 12)))]
     docs = spark.createDataFrame(rows + foul, SCHEMA).repartition(4)
     labels = [(r[0], 0, 0) for r in rows if r[0] and r[0] >= 100] + [(r[0], 1, 1) for r in foul] + [(None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
