@@ -45,19 +45,22 @@ def recurring_lines(
     docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int, words: int
 ) -> DataFrame:
     """(doc_id, content, place) of the lines to drop."""
-    lines = lines_of(docs, min_tokens, depth)
+    lines = lines_of(docs, min_tokens, depth).withColumn("line_key", F.xxhash64("line"))
 
     def enough(tokens: str) -> Column:
         """Texts in which a line of so many tokens must stand verbatim."""
         return F.when(F.col(tokens) >= long_tokens, min(2, min_docs)).otherwise(min_docs)
 
-    # a leaf holds lines of one length only
-    reached = lines.select("leaf", "n", "content").distinct().groupBy("leaf", "n").count()
-    shared = reached.where(F.col("count") >= enough("n")).select("leaf")
-    # only lines of leaves that several texts reach go on
-    found = store(lines.drop("n").join(store(shared, "leaves"), "leaf", "left_semi"), "leaf-lines")
-    line = F.xxhash64("line").alias("line_key")
-    distinct = found.select("leaf", line, "line", "content").distinct().groupBy("leaf", "line_key").agg(
+    # only lines go on that may recur: those of leaves that several texts reach, and long ones that fewer texts share verbatim
+    narrow = store(lines.select("leaf", "n", "line_key", "content").distinct(), "line-keys")
+    reached = narrow.select("leaf", "content").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    leaves = store(reached, "leaves")
+    twice = narrow.where(F.col("n") >= long_tokens).groupBy("leaf", "line_key").count().where(F.col("count") >= min(2, min_docs))
+    few = twice.join(leaves, "leaf", "left_anti").groupBy("leaf").agg(F.collect_set("line_key").alias("keys"))
+    none = F.lit(None).cast("array<bigint>").alias("keys")
+    shared = store(leaves.select("leaf", none).unionByName(few), "leaf-marks")
+    found = store(lines.drop("n").join(shared, "leaf").where("keys IS NULL OR array_contains(keys, line_key)").drop("keys"), "leaf-lines")
+    distinct = found.select("leaf", "line_key", "line", "content").distinct().groupBy("leaf", "line_key").agg(
         F.first("line").alias("line"), F.count("*").alias("texts")
     )
     placed = store(
@@ -83,7 +86,7 @@ def recurring_lines(
     templates = templates.select("leaf", "line_key", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("way"))
     templates = templates.select("leaf", "line_key", "way.template", "way.least")
     used = store(
-        found.select("doc_id", "content", "place", "leaf", line).join(templates, ["leaf", "line_key"])
+        found.select("doc_id", "content", "place", "leaf", "line_key").join(templates, ["leaf", "line_key"])
         .select("doc_id", "content", "place", "template", "least"), "template-lines",
     )
     each = used.groupBy("template", "least", "content").agg(F.min("doc_id").alias("doc_id"))
