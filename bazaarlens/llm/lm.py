@@ -396,9 +396,11 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, share: int = 1, rounds
             learned = flatten(train(unflatten(unpack(now)), symbols, 0.006 / (1 + turn)))
             yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary()), pa.array([len(symbols)], pa.int64())], ["w", "n"])
 
-        parts = sample.where(F.col("pick") == turn).select("ids").repartition(math.ceil(tokens[turn] / shard_tokens))
+        shards = math.ceil(tokens[turn] / shard_tokens)
+        parts = sample.where(F.col("pick") == turn).select("ids").repartition(shards)
         copies = parts.mapInArrow(learn, "w binary, n long").rdd.map(lambda r: (np.frombuffer(r["w"], np.float32) * float(r["n"]), r["n"]))
-        total, n = copies.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        # about sixteen copies meet at the driver, however many shards there are
+        total, n = copies.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=max(2, math.ceil(math.log(shards, 16))))
         weights = (total / n).astype(np.float32)
     return unflatten(weights)
 
