@@ -23,6 +23,7 @@ CELL_SIGNS = {(1, 1): 1, (1, 0): -1, (0, 1): -1, (0, 0): 1}
 ARM_SIGNS = {1: 1, 0: -1}
 PRIOR_SCENARIOS = {"estimated": 1.0, "halved": 0.5, "fixed_0.04": None}
 FIXED_TAU2 = 0.04
+BASE_RATES = {"on_time": 0.89, "repeat": 0.023}  # rates at which logit effects are read as points
 PP_PER_LOGIT = 0.11       # probability points per logit near the 89% base rate
 # -----------------------------------------------------------------------------------
 
@@ -336,6 +337,27 @@ def rollout_shortlist(favourable: dict[str, DataFrame], harmed: DataFrame, n: in
     return memberships.where(F.col("lists") >= at_least).join(worst, "category", "left_anti")
 
 
+def recommendations(outcomes: dict[str, DataFrame], n: int = 5) -> DataFrame:
+    """The n best and n worst categories of every outcome, with the `size` of the effect in its own terms.
+
+    Logit effects with a base rate become percentage points there, spend a multiplier; other
+    scales have no size.
+    """
+    parts = []
+    for name, pooled in outcomes.items():
+        size = F.lit(None).cast("double")
+        if name in BASE_RATES:
+            size = ex.logit_to_points("shrunk", BASE_RATES[name])
+        elif name == "spend":
+            size = F.exp("shrunk")
+        for direction, ascending in (("best", False), ("worst", True)):
+            parts.append(top_effects(pooled, n, ascending).select(
+                F.lit(name).alias("outcome"), F.lit(direction).alias("direction"), "rank", "category",
+                "shrunk", "low", "high", "p_positive", size.alias("size"),
+            ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def effect_points(pooled: DataFrame, base: float) -> DataFrame:
     """Shrunk logit effects as probability points at a base rate."""
     return pooled.withColumn("points", ex.logit_to_points("shrunk", base))

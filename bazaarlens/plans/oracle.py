@@ -219,11 +219,15 @@ LEFT JOIN s_customers c USING (customer_unique_id)""")
 _cte("seller_orders", """
 SELECT seller_id, order_id, count(*) AS n_lines, sum(line_revenue) AS revenue FROM s_items GROUP BY seller_id, order_id""")
 
-_cte("seller_range", """
-SELECT seller_id, count(product_id) AS n_unique_products, count(DISTINCT category_en) AS n_unique_categories
-FROM (SELECT DISTINCT seller_id, product_id, category_en FROM s_items JOIN s_orders USING (order_id)) GROUP BY seller_id""")
+AS_OF = "1997-01-01 00:00:00"
+
 
-_cte("d_seller", f"""
+def _seller_tables(suffix: str, orders: str) -> None:
+    """Ranges and lifetimes of sellers over the orders given."""
+    _cte(f"seller_range{suffix}", f"""
+SELECT seller_id, count(product_id) AS n_unique_products, count(DISTINCT category_en) AS n_unique_categories
+FROM (SELECT DISTINCT seller_id, product_id, category_en FROM s_items JOIN {orders} USING (order_id)) GROUP BY seller_id""")
+    _cte(f"d_seller{suffix}", f"""
 SELECT * EXCLUDE (place, amount, volume_quartile), CAST(volume_quartile AS BIGINT) AS volume_quartile,
   ['small', 'mid_small', 'mid_large', 'large'][volume_quartile] AS volume_tier
 FROM (SELECT *, {_quarter("place", "amount")} AS volume_quartile
@@ -232,10 +236,15 @@ FROM (SELECT *, {_quarter("place", "amount")} AS volume_quartile
             max(o.order_purchase_timestamp) AS last_seen_at, sum(revenue) AS lifetime_revenue,
             sum(revenue) / sum(n_lines) AS avg_line_revenue,
             sum(n_lines * review_score) / CAST(sum(n_lines) FILTER (review_score IS NOT NULL) AS DOUBLE) AS avg_review_score
-          FROM seller_orders JOIN s_orders o USING (order_id) LEFT JOIN s_reviews USING (order_id) GROUP BY seller_id)
-    JOIN seller_range USING (seller_id)
+          FROM seller_orders JOIN {orders} o USING (order_id) LEFT JOIN s_reviews USING (order_id) GROUP BY seller_id)
+    JOIN seller_range{suffix} USING (seller_id)
     LEFT JOIN (SELECT seller_id, state AS seller_state, lat AS seller_lat, lng AS seller_lng FROM s_sellers) USING (seller_id)))""")
 
+
+_seller_tables("", "s_orders")
+_cte("early_orders", f"SELECT * FROM s_orders WHERE order_purchase_timestamp < TIMESTAMP '{AS_OF}'")
+_seller_tables("_early", "early_orders")
+
 # ---------------------------------------------------------------- analytics --------
 _cte("retention", """
 SELECT a.cohort_month, a.activity_month, date_diff('month', a.cohort_month, a.activity_month) AS month_offset,

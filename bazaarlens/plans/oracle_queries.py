@@ -74,6 +74,8 @@ FROM facts""")
 _sql("dim_customer", _replace("d_customer", lifetime_revenue=4, avg_order_value=6, avg_review_score=6, pct_on_time=6))
 _sql("dim_seller", _replace("d_seller", seller_lat=6, seller_lng=6, lifetime_revenue=4, avg_line_revenue=6,
                             avg_review_score=6))
+_sql("dim_seller_as_of", _replace("d_seller_early", seller_lat=6, seller_lng=6, lifetime_revenue=4, avg_line_revenue=6,
+                                  avg_review_score=6))
 _sql("layers_customer_value", f"""
 SELECT customer_unique_id, n_orders, {r("lifetime_revenue", 4)}, {r("pct_on_time", 6)}, first_category, {r("repeat_revenue", 4)}, n_repeat_orders
 FROM d_customer JOIN repeats USING (customer_unique_id)""")
@@ -320,6 +322,18 @@ for _name, _test in (("ab_mann_whitney", REVENUE_RANKS), ("ab_mann_whitney_score
 SELECT n_treated, n_control, {r("median_treated", 4)}, {r("median_control", 4)}, {r("u_statistic", 1)}, {r("p_value", 6)}
 FROM ({_test})""")
 
+# all ways to give five of the ranks to the small arm
+ORACLE["ab_mann_whitney_exact"] = f"""
+WITH v AS (SELECT n_regionkey = 0 AS treated, round(sum(c_acctbal), 2) AS v
+           FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey),
+s AS (SELECT count(*) FILTER (treated) AS n1, count(*) FILTER (NOT treated) AS n0, median(v) FILTER (treated) AS m1,
+        median(v) FILTER (NOT treated) AS m0, sum(k) FILTER (treated) - 15 AS u
+      FROM (SELECT *, row_number() OVER (ORDER BY v) AS k FROM v)),
+g AS (SELECT unnest(range(1, n1 + n0 + 1)) AS k FROM s),
+w AS (SELECT a.k + b.k + c.k + d.k + e.k - 15 AS u FROM g a JOIN g b ON b.k > a.k JOIN g c ON c.k > b.k JOIN g d ON d.k > c.k JOIN g e ON e.k > d.k)
+SELECT n1 AS n_treated, n0 AS n_control, {r("m1", 4, "median_treated")}, {r("m0", 4, "median_control")}, {r("CAST(u AS DOUBLE)", 1, "u_statistic")},
+  {r("least(1.0, 2.0 * (SELECT count(*) FROM w WHERE w.u <= least(s.u, n1 * n0 - s.u)) / (SELECT count(*) FROM w))", 6, "p_value")}
+FROM s"""
 CHI = """
 SELECT n, chi2, df, exp(-chi2 / 2.0) * (1.0 + chi2 / 2.0) AS p_value
 FROM (SELECT CAST(max(total) AS BIGINT) AS n, sum(pow(k - rows_n * cols_n / total, 2) / (rows_n * cols_n / total)) AS chi2,
@@ -594,6 +608,15 @@ _sql("rollout_shortlist", f"""
 SELECT category, count(*) AS lists, string_agg(outcome, ',' ORDER BY outcome) AS outcomes FROM ({_LISTS})
 WHERE category NOT IN (SELECT category FROM ({ORDINAL}) ORDER BY shrunk, category LIMIT 5)
 GROUP BY category HAVING count(*) >= 2""")
+# each outcome in its own terms: points at a base rate, a multiplier, or none
+_TERMS = {"on_time": "(1.0 / (1.0 + exp(-(ln(0.89 / 0.11) + shrunk))) - 0.89) * 100",
+          "repeat": "(1.0 / (1.0 + exp(-(ln(0.023 / 0.977) + shrunk))) - 0.023) * 100",
+          "spend": "exp(shrunk)", "review": "CAST(NULL AS DOUBLE)"}
+_sql("category_recommendations", " UNION ALL ".join(
+    f"""SELECT '{n}' AS outcome, '{word}' AS direction, rank, category, {", ".join(r(c, 6) for c in ("shrunk", "low", "high", "p_positive"))},
+  {r(_TERMS[n], 6, "size")}
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY shrunk {way}, category) AS INTEGER) AS rank FROM ({sub})) WHERE rank <= 5"""
+    for n, sub in _OUTCOMES.items() for word, way in (("best", "DESC"), ("worst", "ASC"))))
 _sql("cost_benefit", f"""
 SELECT n_orders, {r("avg_freight", 4)}, {r("avg_payment", 4)}, {r("p0", 6, "p_control")}, {r("p1", 6, "p_treated")},
   {r("m", 6, "spend_multiplier")}, {r("subsidy", 2)}, {r("gmv", 2, "incremental_gmv")},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -223,6 +224,17 @@ def _dim_seller(s: Study) -> DataFrame:
     )
 
 
+@query("dim_seller_as_of")
+def _dim_seller_as_of(s: Study) -> DataFrame:
+    """Sellers by what they had sold before a moment, so that the tier cannot depend on later orders."""
+    house = s.house
+    early = facts.dim_seller(
+        house.order_lines, house.orders, house.products, house.sellers, house.order_reviews,
+        as_of=datetime(1997, 1, 1), rows_per_slice=house.rows_per_slice,
+    )
+    return rounded(early, seller_lat=6, seller_lng=6, lifetime_revenue=4, avg_line_revenue=6, avg_review_score=6)
+
+
 @query("ntile_distributed")
 def _ntile(s: Study) -> DataFrame:
     totals = s.star.table("orders").select("o_orderkey", "o_totalprice")
@@ -443,6 +455,17 @@ def _mann_whitney_score(s: Study) -> DataFrame:
     return rounded(result, median_treated=4, median_control=4, u_statistic=1, p_value=6)
 
 
+@query("ab_mann_whitney_exact")
+def _mann_whitney_exact(s: Study) -> DataFrame:
+    """The nations of one region against all others by their customers' balance: an arm small enough for the exact test."""
+    nations = s.star.table("nation").select("n_nationkey", "n_regionkey")
+    people = s.star.table("customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    arms = people.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        (F.col("n_regionkey") == 0).cast("int").alias("treatment"), "balance"
+    )
+    return rounded(abtest.mann_whitney(arms, "balance"), median_treated=4, median_control=4, u_statistic=1, p_value=6)
+
+
 @query("ab_chi_square")
 def _chi(s: Study) -> DataFrame:
     return rounded(abtest.chi_square(s.reviews, "treatment", "review_score"), chi2=6, p_value=6)
@@ -646,6 +669,13 @@ def _side_by_side(s: Study) -> DataFrame:
     return rounded(table, **{c: 6 for c in table.columns if c != "category"})
 
 
+@query("category_recommendations")
+def _recommendations(s: Study) -> DataFrame:
+    """Five best and five worst categories for each of the four outcomes."""
+    table = pooling.recommendations({name: cut_lineage(df) for name, df in _four_outcomes(s).items()})
+    return rounded(table, shrunk=6, low=6, high=6, p_positive=6, size=6)
+
+
 @query("rollout_shortlist")
 def _shortlist(s: Study) -> DataFrame:
     outcomes = _four_outcomes(s)
