@@ -253,7 +253,7 @@ def learn_toxicity(labelled: DataFrame, max_texts: int = 24_000, lexicon_size: i
     counts = rows.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     if not counts["n"] or counts["share"] in (0.0, 1.0):
         return ToxicityModel(share=float(counts["share"] or 0.0))
-    part = F.pmod(F.xxhash64(F.lit(5), "pick"), F.lit(10))
+    part = F.pmod(F.xxhash64(F.lit(5), F.pmod("pick", F.lit(1 << 40))), F.lit(10))
     lexicon = learn_lexicon(rows.where(part < 4), lexicon_size, least)
 
     def features(batches):
