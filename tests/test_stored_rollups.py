@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import analytics, facts, features
-from bazaarlens.plans.queries import SPEC, Study
-from bazaarlens.sources.binding import LINE_ORDER, STAR_SCHEMAS
+from bazaarlens.plans.queries import QUERIES, SPEC, Study
+from bazaarlens.sources.binding import LINE_ORDER, STAR_SCHEMAS, SUBTOTAL_THRESHOLD
 
 LINES = "order_id bigint, product_id bigint, category_en string, seller_id bigint, price double, freight_value double, line_revenue double"
 
@@ -105,3 +105,10 @@ def test_freight_column_is_stored_when_asked_for(spark, folder):
     assert "items_freight" in study.keep_orders("items_freight").columns
     cells = features.freight_cells(study.keep_orders("items_freight"), study.spec)
     assert cells.count() > 1
+
+
+def test_pre_trend_has_the_columns_it_reads(spark, rows, folder):
+    weekly = features.weekly_by_eligibility(Study(spark, folder).house.order_rollups, SUBTOTAL_THRESHOLD)
+    kept = features.weekly_by_eligibility(Study(spark, folder).keep_orders("items_freight"), SUBTOTAL_THRESHOLD)
+    near(rows(kept), rows(weekly))
+    assert QUERIES["pre_trend"](spark, folder).count()
