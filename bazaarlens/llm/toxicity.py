@@ -239,17 +239,27 @@ def learn_lexicon(rows: DataFrame, size: int, least: int) -> dict[str, float]:
     return {r["term"]: float(r["weight"]) for r in top.collect()}
 
 
-def learn_toxicity(labelled: DataFrame, max_texts: int = 24_000, lexicon_size: int = 3000, least: int = 4) -> ToxicityModel:
-    """Fit on (text, toxic) rows with toxic 0 or 1.
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def sample_texts(labels: DataFrame, texts: DataFrame, max_texts: int = 24_000) -> DataFrame:
+    """A bounded sample (pick, content, toxic), stored: the `max_texts` distinct texts with the smallest hashes, each once.
 
-    A bounded sample: the `max_texts` distinct texts with the smallest hashes, each once, so copies add nothing to it. A text
-    counts as toxic if at least half of its rows do.
+    `labels` holds (pick, toxic) rows, pick being the `text_hash` of a text of `texts`; copies add nothing to the sample. A
+    text counts as toxic if at least half of its labels do. Only hashes are grouped; texts are read for the chosen ones alone.
     """
-    rows = labelled.where("toxic IN (0, 1)").select(
-        text_or_empty().alias("content"), F.col("toxic").cast("int").alias("toxic")
-    ).withColumn("pick", F.xxhash64("content"))
-    chosen = rows.groupBy("pick").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy("pick").limit(max_texts)
-    rows = store(rows.select("pick", "content").join(F.broadcast(chosen), "pick").dropDuplicates(["pick"]), "toxicity-texts")
+    known = labels.where("toxic IN (0, 1)")
+    chosen = known.groupBy("pick").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy("pick").limit(max_texts)
+    hashed = texts.select(text_hash().alias("pick"), text_or_empty().alias("content"))
+    return store(hashed.join(F.broadcast(chosen), "pick").dropDuplicates(["pick"]), "toxicity-texts")
+
+
+def learn_toxicity(labelled: DataFrame, max_texts: int = 24_000, lexicon_size: int = 3000, least: int = 4) -> ToxicityModel:
+    """Fit on a sample made by `sample_texts`, or on such a sample of (text, toxic) rows with toxic 0 or 1."""
+    rows = labelled
+    if "pick" not in labelled.columns:
+        rows = sample_texts(labelled.select(text_hash().alias("pick"), F.col("toxic").cast("int").alias("toxic")), labelled, max_texts)
     counts = rows.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     if not counts["n"] or counts["share"] in (0.0, 1.0):
         return ToxicityModel(share=float(counts["share"] or 0.0))

@@ -1,6 +1,7 @@
 """Each stage of the corpus pipeline against brute force, on a table with repeated rows, shared ids, nulls and clashing columns."""
 
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -117,3 +118,21 @@ def test_stages_take_an_empty_table(spark, folder, rows, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path) if name == "toxicity" else folder).count() == 0, name
+
+
+def test_only_hashes_of_texts_meet_the_labels(spark):
+    """Copies, shared and null ids, null texts: each text once, by the majority of its labelled rows."""
+    docs = [(1, "a"), (2, "a"), (3, "a"), (4, "b"), (4, "c"), (None, "d"), (5, None), (6, ""), (7, "e"), (8, "never labelled")]
+    labels = [(1, 1), (2, 1), (3, 0), (4, 1), (4, 0), (None, 1), (5, 1), (6, 0), (7, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = corpus_pipeline.labelled_texts(docs, labels)
+    learned = {k for k in range(1, 9) if zlib.crc32(str(k).encode()) % 3 != 1}
+    of = {1: ("a", 1), 2: ("a", 1), 3: ("a", 0), 5: ("", 1), 6: ("", 0)}
+    votes = {}
+    for k in learned & of.keys():
+        votes.setdefault(of[k][0], []).append(of[k][1])
+    expected = {t: int(2 * sum(v) >= len(v)) for t, v in votes.items()} | ({"b": 1, "c": 1} if 4 in learned else {})
+    assert sorted((r.content, r.toxic) for r in found.select("content", "toxic").collect()) == sorted(expected.items())
+    smallest = toxicity.sample_texts(found.select("pick", "toxic"), docs, 2)
+    assert {r.pick for r in smallest.collect()} == set(sorted(r.pick for r in found.collect())[:2])
