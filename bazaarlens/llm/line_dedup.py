@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.common import store, text_or_empty
 
 FIELD = "<*>"
+#: The most bits of the filter that lines pass before they are dealt: 8 MB, broadcast. Bits that clash let a line through.
+FILTER_BITS = 1 << 26
 
 
 def tokens_of(line: Column) -> Column:
@@ -41,6 +43,19 @@ def lines_of(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return split.select("doc_id", "content", "place", "line", size.alias("n"), F.xxhash64(size, *lead).alias("leaf"))
 
 
+def likely_in(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> DataFrame:
+    """The `rows` whose hash `key` is in `keys` (stored), and some others: tested against bitmaps of one bit per hash, sixteen bits a key."""
+    bits = min(most_bits, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    spot = F.pmod(F.col(key), F.lit(bits)) + 1
+    marks = keys.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")
+    )
+    at = F.bitmap_bit_position(spot).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = (F.bitmap_bucket_number(spot) == F.col("bucket")) & (F.getbit(byte, F.pmod(at, F.lit(8))) == 1)
+    return rows.join(F.broadcast(marks), met, "left_semi")
+
+
 def recurring_lines(
     docs: DataFrame, min_docs: int, min_tokens: int, depth: int, constant: float, long_tokens: int, words: int
 ) -> DataFrame:
@@ -59,7 +74,9 @@ def recurring_lines(
     few = twice.join(leaves, "leaf", "left_anti").groupBy("leaf").agg(F.collect_set("line_key").alias("keys"))
     none = F.lit(None).cast("array<bigint>").alias("keys")
     shared = store(leaves.select("leaf", none).unionByName(few), "leaf-marks")
-    found = store(lines.drop("n").join(shared, "leaf").where("keys IS NULL OR array_contains(keys, line_key)").drop("keys"), "leaf-lines")
+    # other lines, most of the text, are let go before any is dealt by leaf
+    likely = likely_in(lines.drop("n"), shared, "leaf")
+    found = store(likely.join(shared, "leaf").where("keys IS NULL OR array_contains(keys, line_key)").drop("keys"), "leaf-lines")
     distinct = found.select("leaf", "line_key", "line", "content").distinct().groupBy("leaf", "line_key").agg(
         F.first("line").alias("line"), F.count("*").alias("texts")
     )

@@ -209,6 +209,19 @@ def test_lines_with_dates_and_page_numbers_go(spark):
     assert got == {i: t if i in (0, 10, 11, 12) else f"{own[i]}\nalone {i} {i} {i}" for i, t in rows}
 
 
+@pytest.mark.parametrize("most_bits", [1 << 15, 1 << 20])
+def test_lines_are_let_go_before_they_are_dealt(spark, most_bits):
+    from pyspark.sql import functions as F
+
+    hashed = spark.range(20_000).select("id", F.xxhash64("id").alias("leaf"))
+    keys = hashed.where("id % 40 = 0").select("leaf").unionByName(spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,)], "leaf long"))
+    rows = hashed.unionByName(keys.select(F.lit(-1).cast("long").alias("id"), "leaf"))
+    kept = line_dedup.likely_in(rows, keys, "leaf", most_bits)
+    assert kept.join(keys, "leaf", "left_semi").count() == rows.join(keys, "leaf", "left_semi").count()
+    assert kept.join(keys, "leaf", "left_anti").count() < 2_500
+    assert line_dedup.likely_in(rows, keys.limit(0), "leaf").count() == 0
+
+
 def test_leaks_equal_exact_containment(spark):
     items = [(i, t) for i, t in enumerate(random_texts(20, 6, 6, 40))] + [(50, "Tiny item"), (51, None), (52, "...")]
     fill = random_texts(30, 7, 100, 900)
