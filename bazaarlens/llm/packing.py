@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.common import Memory, load_tokenizer, slices, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+# Punctuation that may follow a word, the letters below U+0100, and about how many bytes of words a task remembers in each generation.
+TAIL, LETTERS, MEMORY = ".,;:!?", "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", 72_000_000
 
 
 @dataclass(frozen=True)
@@ -50,23 +53,28 @@ class Example:
 
 
 def make_encoder(path: str, end_id: int):
-    """A function from texts to arrays of ids (end id last), equal to the library's on whole texts.
+    """A function from an Arrow array of texts to arrays of ids (end id last), equal to the library's on whole texts.
 
-    The tokenizer drops white space and never joins words across it, so the chunks between blanks and line feeds are
-    encoded alone and remembered in bounded memory. A text with a chunk that holds any other white space or unprintable character is encoded whole.
+    The tokenizer drops white space and never joins words across it, so the distinct chunks between blanks and line feeds
+    are encoded alone, and their ids are laid out by number. A text with a chunk that holds any other white space or unprintable
+    character is encoded whole.
     Letters and a tail of punctuation are separate words for it too, and it folds case, so chunks share their stems;
-    stems of letters only are encoded many at a time and told apart by the mark that ends a word.
+    stems and tails are remembered in bounded memory. Stems of letters only are encoded many at a time and told apart by the
+    mark that ends a word.
     """
     tokenizer = load_tokenizer(path)
     ends_word = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    chunks_known, stems_known = Memory(), Memory(24_000_000)
-    end = np.array([end_id], "<u4").tobytes()
+    known = Memory(MEMORY)
 
     def encode(texts):
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_stems(stems):
+    def learn(pieces):
+        stems, alone = [], []
+        for piece in pieces:
+            (stems if piece.isalpha() and (piece.isascii() or max(piece) < "\u0100") else alone).append(piece)
+        known.put(alone, [ids.tobytes() for ids in encode(alone)])
         for start in range(0, len(stems), 4096):
             some = stems[start : start + 4096]
             ids = np.concatenate(encode([" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]))
@@ -74,40 +82,55 @@ def make_encoder(path: str, end_id: int):
             if len(stops) == len(some) and stops[-1] == ids.nbytes:
                 raw = ids.tobytes()
                 stops = stops.tolist()
-                stems_known.put(some, [raw[begin:stop] for begin, stop in zip([0, *stops], stops)])
+                known.put(some, [raw[begin:stop] for begin, stop in zip([0, *stops], stops)])
             else:
-                stems_known.put(some, [ids.tobytes() for ids in encode(some)])
-
-    def learn(fresh):
-        shared, alone, other = [], [], []
-        for chunk in fresh:
-            letters = chunk.rstrip(".,;:!?")
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
-                shared.append((chunk, letters.lower(), chunk[len(letters) :]))
-            elif chunk.isprintable():
-                alone.append(chunk)
-            else:
-                other.append(chunk)
-        chunks_known.put(other, [None] * len(other))
-        learn_stems(list(stems_known.missing({stem for _, stem, _ in shared})))
-        tails = list({tail for _, _, tail in shared})
-        tail_ids = dict(zip(tails, (ids.tobytes() for ids in encode(tails)), strict=True))
-        stem_ids = stems_known.young
-        chunks_known.put([chunk for chunk, _, _ in shared], [stem_ids[stem] + tail_ids[tail] for _, stem, tail in shared])
-        chunks_known.put(alone, [ids.tobytes() for ids in encode(alone)])
+                known.put(some, [ids.tobytes() for ids in encode(some)])
+
+    def ids_of_chunks(distinct):
+        """Raw ids of each distinct chunk, and the places of those that only a whole text can tell."""
+        letters = pc.utf8_rtrim(distinct, TAIL)
+        plain = pc.match_substring_regex(letters, LETTERS).to_numpy(zero_copy_only=False)
+        cut = (pc.binary_length(distinct).to_numpy() - pc.binary_length(letters).to_numpy()).astype(np.int64)
+        stems = pc.utf8_lower(pc.if_else(pa.array(plain), letters, "")).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        alone = distinct.take(pa.array(rest)).to_numpy(zero_copy_only=False)
+        seen = np.fromiter(map(str.isprintable, alone), bool, len(alone))
+        stems[rest] = np.where(seen, alone, "")
+        tailed = np.flatnonzero(plain & (cut > 0))
+        ends = distinct.take(pa.array(tailed)).to_numpy(zero_copy_only=False).tolist()
+        tails = [chunk[-k:] for chunk, k in zip(ends, cut[tailed].tolist(), strict=True)]
+        stems = stems.tolist()
+        learn(known.missing({*stems, *tails}))
+        ids = known.young
+        raw = list(map(ids.__getitem__, stems))
+        for i, tail in zip(tailed.tolist(), tails, strict=True):
+            raw[i] += ids[tail]
+        return raw, rest[~seen]
 
     def ids_of(texts):
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        learn(chunks_known.missing(set(chain.from_iterable(cut)) | {""}) - {""})
-        known = chunks_known.young
-        known[""] = b""
-        out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            try:
-                raw = b"".join(map(known.__getitem__, chunks))
-            except TypeError:
-                raw = encode([text])[0].tobytes()
-            out.append(np.frombuffer(raw + end, "<u4"))
+        # a copy whose offsets begin at 0, as for `split_words`
+        texts = pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())])
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = cut.flatten().dictionary_encode()
+        raw, whole = ids_of_chunks(chunks.dictionary)
+        # the end is one more chunk after each text
+        last = np.asarray(cut.offsets)[1:] - cut.offsets[0].as_py()
+        place = np.insert(chunks.indices.to_numpy(), last, len(raw))
+        stop = last + np.arange(1, len(last) + 1)
+        pool = np.frombuffer(b"".join(raw) + np.array([end_id], "<u4").tobytes(), "<u4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        size = np.append(size, 1)
+        begin = np.cumsum(size) - size
+        length = size[place]
+        after = np.cumsum(length)
+        ids = pool[np.repeat(begin[place] - (after - length), length) + np.arange(after[-1] if len(after) else 0)]
+        ends = after[stop - 1].tolist()
+        # copies, so that a waiting example holds no more than its own ids
+        out = [ids[start:end].copy() for start, end in zip([0, *ends], ends)]
+        if len(whole):
+            odd = np.unique(np.searchsorted(stop, np.flatnonzero(np.isin(place, whole)), side="right"))
+            for i, found in zip(odd.tolist(), encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                out[i] = np.append(found, np.array(end_id, "<u4"))
         return out
 
     return ids_of
@@ -218,11 +241,11 @@ def pack_sequences(
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in PIECES.split(", ")])
 
-        for part in slices(batches, 256):
+        for part in slices(batches, 2048):
             keys = part.column("doc_id").to_pylist()
-            texts, heads = ids_of(part.column("content").to_pylist()), [0] * len(keys)
+            texts, heads = ids_of(part.column("content")), [0] * len(keys)
             if prompt:
-                before = [h[:-1] for h in ids_of(part.column("head").to_pylist())]
+                before = [h[:-1] for h in ids_of(part.column("head"))]
                 texts, heads = [np.concatenate(pair) for pair in zip(before, texts, strict=True)], [len(h) for h in before]
             made = (packer.add(Example(k, t, 0, len(t), h)) for k, t, h in zip(keys, texts, heads, strict=True))
             yield rows(chain.from_iterable(made))
