@@ -95,5 +95,6 @@ def test_words_are_looked_up_once(spark):
     met = {i for r in got.values() if not r["held_out"] for i in r["ids"]}
     start = lm.new_weights(vocabulary)["x"]
     for learned in (lm.learn_rows(encoded, vocabulary), lm.fit_network(docs.where("NOT held_out").select("doc_id", "content"), vocabulary)):
-        moved = set(np.flatnonzero((learned["x"] != start).any(axis=1)).tolist())
+        # averaging rounds the others
+        moved = set(np.flatnonzero((abs(learned["x"] - start) > 1e-4).any(axis=1)).tolist())
         assert {0} <= moved <= met
