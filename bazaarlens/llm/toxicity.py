@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import ship, slices, split_words, store, text_or_empty, unpack
+from bazaarlens.llm.common import give_back, ship, slices, split_words, store, text_or_empty, unpack
 
 #: Second-person pronouns of the languages served.
 SECOND_PERSON = (
@@ -301,6 +301,7 @@ def toxicity_score(spark, model: ToxicityModel):
         for texts in batches:
             parts = [m.score(text_features(texts.slice(i, 500), m.lexicon)) for i in range(0, len(texts), 500)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        give_back()
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(score, "double")

@@ -98,3 +98,29 @@ def test_words_are_looked_up_once(spark):
         # averaging rounds the others
         moved = set(np.flatnonzero((abs(learned["x"] - start) > 1e-4).any(axis=1)).tolist())
         assert {0} <= moved <= met
+
+
+def test_lanes_hold_every_text_once():
+    sizes = np.array([3, 9, 1, 4, 4, 0, 7])
+    texts, of_lane, loads = lm.deal_lanes(sizes, 3)
+    assert sorted(texts.tolist()) == [0, 1, 2, 3, 4, 6] and of_lane.sum() == 6
+    assert loads.tolist() == sorted((sizes[x].sum() for x in np.split(texts, np.cumsum(of_lane)[:-1])), reverse=True)
+    assert loads.max() - loads.min() <= 2
+    rng = np.random.default_rng(4)
+    weights = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in lm.SHAPES.items()}
+    symbols = [np.append(rng.integers(1, lm.SYMBOLS, max(n - 1, 0)), 0)[:n].astype(np.int32) for n in sizes]
+    # a text's score does not depend on those before it in its lane
+    alone = [lm.score_symbols(weights, s, np.array([len(s)]))[0] for s in symbols]
+    assert np.allclose(lm.score_symbols(weights, np.concatenate(symbols), sizes, tile=3), alone, rtol=1e-5) and alone[5] == 0
+
+
+def test_words_are_found_by_their_bytes():
+    listed = pa.array(["the", "größe", "a"], pa.large_string())
+    none = np.zeros(0)
+    table = np.random.default_rng(5).normal(size=(lm.GRAM_BUCKETS, lm.TAILS)).astype(np.float32)
+    vocabulary = lm.Vocabulary(listed, np.array([9, 5, 5]), lm.tail_class(listed, table), table, 1, 20, 4, none, none)
+    words = pa.array(["x", "a", "größe", "grosse", "the"], pa.large_string())
+    for some in (words, words.slice(1)):
+        symbols, counts, found = vocabulary.look_up(some)
+        assert counts.tolist()[-4:] == [5, 5, 0, 9] and found.tolist()[-4:] == [True, True, False, True]
+        assert symbols.tolist()[-4:-2] == [3, 2] and symbols[-1] == 1 and symbols[-2] >= lm.SHORT
