@@ -241,7 +241,7 @@ def pack_sequences(
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in PIECES.split(", ")])
 
-        for part in slices(batches, 2048):
+        for part in slices(batches, 2048, 2_000_000):
             keys = part.column("doc_id").to_pylist()
             texts, heads = ids_of(part.column("content")), [0] * len(keys)
             if prompt:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from bazaarlens.llm import packing
+from bazaarlens.llm import common
 from bazaarlens.llm.common import Memory, load_tokenizer
 
 AWKWARD = [
@@ -44,3 +45,15 @@ def test_memory_moves_keys_met_again():
     memory.put(["x"], ["X"])
     assert memory.missing({"a", "c", "x", "y"}) == {"y"}
     assert memory.young == {"a": "A", "b": "B", "c": "C", "x": "X"}
+
+
+def test_slices_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 10] * 7})
+    parts = common.slices([batch, batch.slice(0, 0)], 3, 25)
+    assert [p.num_rows for p in parts] == [2, 2, 2, 1] and given == [1]
+    stopped = common.slices([batch], 3)
+    next(stopped)
+    stopped.close()
+    assert given == [1, 1]
