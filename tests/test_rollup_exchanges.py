@@ -4,9 +4,12 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bazaarlens.operators import facts
 from bazaarlens.operators.ordered import split_crowded
+from bazaarlens.plans import queries
+from bazaarlens.sources.binding import STAR_SCHEMAS
 
 LINES = "order_id bigint, product_id bigint, category_en string, seller_id bigint, price double, freight_value double, line_revenue double"
 
@@ -74,3 +77,36 @@ def test_payments_are_dealt_once_and_the_smallest_of_equally_frequent_types_coun
     got = facts.payment_rollup(payments)
     assert rows(got) == [(1, 4.5, 5, 9, "A"), (2, None, 1, None, None), (None, 12.0, 3, 1, "R")]
     assert len(final_exchanges(got)) == 1
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    root, rng = str(tmp_path_factory.mktemp("star")), random.Random(8)
+
+    def save(name, rows, date=None):
+        schema = " ".join(STAR_SCHEMAS[name].split())
+        if date:
+            schema = schema.replace(f"{date} timestamp_ntz", f"{date} int")
+        df = spark.createDataFrame(rows, schema)
+        if date:
+            df = df.withColumn(date, F.timestamp_seconds(F.col(date) * 86400).cast("timestamp_ntz"))
+        df.coalesce(2).write.parquet(f"{root}/{name}.parquet")
+
+    save("orders", [(i, rng.choice([None, *range(30)]), "O", 1.0, 9000 + rng.randrange(200), "1") for i in range(120)], "o_orderdate")
+    save("lineitem", [(rng.randrange(120), rng.randint(1, 4), rng.randrange(5), 1, 2.0, rng.choice([None, 5.5, -9.0]), 0.0, 0.1, "A", "O",
+                       9000) for _ in range(400)], "l_shipdate")
+    save("customer", [(i, "c", i % 2, 1.0, "x") for i in range(30)])
+    save("nation", [(i, f"n{i}", 0) for i in range(2)])
+    save("supplier", [(i, "s", i % 2, 1.0) for i in range(5)])
+    save("part", [(i, "p", f"Brand#{i % 2}", "t", 1, 1.0) for i in range(1, 4)])
+    return root
+
+
+def test_quality_gates_read_facts_stored_in_columns(spark, rows, folder):
+    study, plain = queries.Study(spark, folder), queries.Study(spark, folder)
+    got = rows(queries._quality(study))
+    for name in ("fact_orders", "cohort_retention"):
+        stored = study.house.__dict__[name]
+        assert stored.inputFiles() and all(f.endswith(".parquet") for f in stored.inputFiles())
+        assert stored.columns == getattr(plain.house, name).columns
+    assert got == rows(plain.house.quality_diagnostics) and {r[1] for r in got} == {"ok", "FAIL"}
